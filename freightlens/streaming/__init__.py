@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analysis this library rebuilds is batch only. It has no watermarks,
+event-time windows, state or late data, and its "real-time" wording describes
+a dashboard. So there is no streaming operator to provide. The batch
+operators take any DataFrame, so a caller can apply them to each micro-batch
+of a ``foreachBatch`` sink if needed.
+"""
