@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's ``str.strip()`` removes (the ones for
-# which ``str.isspace()`` is true), written as a Java regex character class.
-PY_WHITESPACE_CLASS = (
-    r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0"
-    r"\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# The characters Python's ``str.strip()`` removes, i.e. those
+# for which ``str.isspace()`` is true.
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Rounding goes through a decimal with this many fraction digits, so a double
@@ -41,11 +42,10 @@ def round_half_up(c: Column | str, scale: int) -> Column:
 def strip_py(c: Column | str) -> Column:
     """Remove leading and trailing white space the way Python's ``strip`` does.
 
-    ``F.trim`` only removes blanks; the cleaning step strips every white-space
-    character.
+    ``F.trim`` only removes blanks. ``btrim`` with the full white-space set
+    is a plain character scan (no regex) and stays in codegen.
     """
-    ws = PY_WHITESPACE_CLASS
-    return F.regexp_replace(_col(c), f"^{ws}+|{ws}+$", "")
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def pct_of(num: Column | str, den: Column | str) -> Column:
