@@ -1,0 +1,52 @@
+"""IQR fences, flags and directions on an inline frame with known quartiles."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from freightlens.operators import outliers
+
+
+def _da(spark, delays):
+    rows = [
+        (i, "seg", "M", "K", "R", "C", d, Decimal("1.00"), Decimal("0.1000"))
+        for i, d in enumerate(delays)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "Order_Id long, route_segment string, Shipping_Mode string, Market string, "
+        "Order_Region string, Category_Name string, delay_days int, Sales decimal(12,2), "
+        "Order_Profit_Per_Order decimal(16,4)",
+    )
+
+
+DELAYS = [0] * 10 + [4] * 10 + [10, 11, -50, 17]  # Q1 = 0, Q3 = 4 -> fences -6..10, -12..16
+
+
+def test_bounds(spark):
+    b = outliers.iqr_bounds(_da(spark, DELAYS)).first()
+    assert (b["Q1"], b["Q3"], b["IQR"]) == (0.0, 4.0, 4.0)
+    assert (b["lower_bound_mild"], b["upper_bound_mild"]) == (-6.0, 10.0)
+    assert (b["lower_bound_extreme"], b["upper_bound_extreme"]) == (-12.0, 16.0)
+
+
+def test_anomalies_flags_directions_and_order(spark):
+    rows = outliers.iqr_anomalies(_da(spark, DELAYS)).collect()
+    got = [(r["delay_days"], r["anomaly_flag"], r["anomaly_direction"]) for r in rows]
+    # a value equal to the fence (10) is not an outlier; farthest from the midpoint first
+    assert got == [
+        (-50, "Extreme", "Unusually Early"),
+        (17, "Extreme", "Unusually Late"),
+        (11, "Outlier", "Unusually Late"),
+    ]
+    assert {r["expected_range"] for r in rows} == {"-6 to 10"}
+
+
+def test_flag_all_keeps_normal_rows(spark):
+    rows = outliers.iqr_flag_all(_da(spark, DELAYS)).collect()
+    assert len(rows) == len(DELAYS)
+    normal = [r for r in rows if r["anomaly_flag"] == "Normal"]
+    assert len(normal) == 21 and all(r["anomaly_direction"] == "Within Range" for r in normal)
+    share = outliers.anomaly_share(_da(spark, DELAYS)).first()
+    assert (share["outlier_orders"], share["total_orders"]) == (3, 24)
+    assert share["outlier_pct"] == 12.5

@@ -1,0 +1,59 @@
+"""Properties on the test tables: partitioning and row order do not change
+results; outputs stay inside their domains; counts add up."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from freightlens.operators import margins, outliers, scoring
+from freightlens.plans import pipeline as P
+from tests.conftest import SF_SMALL
+
+
+@pytest.fixture(scope="module")
+def da(spark):
+    return P.view(spark, SF_SMALL)
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("op", ["scorecard", "risk", "erosion"])
+def test_partitioning_does_not_change_results(spark, da, op):
+    fns = {
+        "scorecard": lambda d: scoring.segment_scorecard(d, min_n=5),
+        "risk": lambda d: scoring.corridor_risk(d, min_n=5),
+        "erosion": lambda d: margins.cost_erosion(d, min_n=2),
+    }
+    f = fns[op]
+    one = _rows(f(da.repartition(1)))
+    many = _rows(f(da.repartition(17).orderBy(F.rand(7))))
+    assert one == many and len(one) > 0
+
+
+def test_scores_in_range(da):
+    for r in scoring.segment_scorecard(da, min_n=5).collect():
+        assert 0.0 <= r["reliability_score"] <= 100.0
+    for r in scoring.corridor_risk(da, min_n=5).collect():
+        assert 0.0 <= r["risk_score"] <= 100.0
+
+
+def test_outliers_are_a_subset_of_input(da):
+    out = outliers.iqr_anomalies(da).select("Order_Id", "delay_days")
+    assert out.join(da.select("Order_Id", "delay_days"), ["Order_Id", "delay_days"], "left_anti").count() == 0
+
+
+def test_lookup_counts_sum_to_rows(spark):
+    ships = P.shipments(spark, SF_SMALL)
+    total = margins.route_lookup(ships).agg(F.sum("total_shipments")).first()[0]
+    assert total == ships.where(F.col("route_segment").isNotNull()).count()
+
+
+def test_status_breakdown_sums(spark, da):
+    from freightlens.operators.views import status_breakdown
+
+    rows = status_breakdown(da).collect()
+    assert sum(r["order_count"] for r in rows) == da.count()
+    assert abs(float(sum(r["pct"] for r in rows)) - 100.0) <= 0.02 * len(rows)
