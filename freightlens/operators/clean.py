@@ -227,6 +227,16 @@ def sql_friendly_columns(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 # whole cleaning
 # --------------------------------------------------------------------------
+def clean_features(first_lines: DataFrame) -> DataFrame:
+    """Feature steps on rows that are already one per order: parse dates,
+    delivery features, route segment, cost metrics, export names."""
+    df = parse_dates(first_lines)
+    df = derive_delivery(df)
+    df = add_route_segment(df)
+    df = add_cost_metrics(df)
+    return sql_friendly_columns(df)
+
+
 def clean_shipments(
     raw: DataFrame,
     order_by: Sequence[str | Column],
@@ -237,16 +247,11 @@ def clean_shipments(
 
     ``order_by`` defines "first line" (file position for file input, the line
     sort key for the test adapter); ``drop`` removes helper columns after the
-    de-duplication.
+    de-duplication. Parsing is row-wise and the "first line" order does not
+    use the parsed dates, so the dates are parsed after the de-duplication:
+    same rows, one parse per order instead of one per line.
     """
-    # Parsing is row-wise and the "first line" order does not use the parsed
-    # dates, so parsing after the de-duplication gives the same rows while
-    # parsing one line per order instead of every line.
     df = dedup_first(raw, [key], order_by)
     if drop:
         df = df.drop(*drop)
-    df = parse_dates(df)
-    df = derive_delivery(df)
-    df = add_route_segment(df)
-    df = add_cost_metrics(df)
-    return sql_friendly_columns(df)
+    return clean_features(df)

@@ -11,9 +11,12 @@ are built separately and meet in one equi-join on the order key. nation and
 region are fixed-size dimensions (25 and 5 rows), so they are broadcast; the
 customer and part joins are left to the planner, which broadcasts them only
 when their measured size is under ``spark.sql.autoBroadcastJoinThreshold`` and
-otherwise sort-merge joins them. The last join is hash-partitioned on the
-order key, which is also the key the cleaning step de-duplicates on, so that
-step adds no exchange of its own.
+otherwise sort-merge joins them (AQE splits skewed partitions).
+
+The pieces (``lineitem_lines``, ``with_part``, ``order_side``,
+``to_raw_layout``) are exposed separately so the pipeline can keep the first
+line per order on narrow lineitem rows, before the part and order joins (see
+``plans.pipeline.first_order_lines``).
 """
 
 from __future__ import annotations
@@ -43,15 +46,41 @@ def _scheduled_days(priority_digit: Column) -> Column:
     return expr.cast("int")
 
 
-def raw_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw order lines in the export layout (column names with blanks,
-    dates as ``M/d/yyyy H:mm`` text), plus ``line_sort_key``."""
+def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` rows whose part exists, plus ``line_sort_key``.
+
+    The existence test is a left-semi join on the part key alone. It keeps
+    the row selection of the inner join with ``part`` while the rows stay
+    narrow (no part names yet).
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         "l_shipdate",
     )
+    part_keys = read_table(spark, sf_dir, "part").select("p_partkey")
+    return li.join(part_keys, li.l_partkey == part_keys.p_partkey, "left_semi").withColumn(
+        LINE_SORT_KEY,
+        F.struct(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+            "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        ),
+    )
+
+
+def with_part(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Attach part name and type to line rows."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return lines.join(part, lines.l_partkey == part.p_partkey).drop("p_partkey")
+
+
+def line_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-level inputs: ``lineitem`` with its part, plus ``line_sort_key``."""
+    return with_part(spark, sf_dir, lineitem_lines(spark, sf_dir))
+
+
+def order_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-level inputs: ``orders`` with customer, nation and region."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
@@ -62,10 +91,9 @@ def raw_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_nationkey", "n_name", "n_regionkey"
     )
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-
     # nation x region: 25 rows by the TPC-H definition, independent of scale.
     geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-    order_side = (
+    return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
@@ -73,9 +101,12 @@ def raw_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "c_mktsegment", "n_nationkey", "n_name", "r_name",
         )
     )
-    line_side = li.join(part, li.l_partkey == part.p_partkey).drop("p_partkey")
-    joined = line_side.join(order_side, line_side.l_orderkey == order_side.o_orderkey)
 
+
+def to_raw_layout(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Join line-level and order-level inputs on the order key and map them to
+    the raw export layout (plus ``line_sort_key``)."""
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     key = F.col("l_orderkey")
     priority_digit = F.substring("o_orderpriority", 1, 1).cast("int")
     real_days = (
@@ -138,13 +169,16 @@ def raw_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("Order Country"),
         ((nk * 7) % 120 - 60).cast("double").alias("Latitude"),
         ((nk * 13) % 360 - 180).cast("double").alias("Longitude"),
-        F.struct(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-            "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        ).alias(LINE_SORT_KEY),
+        F.col(LINE_SORT_KEY),
     )
 
 
+def raw_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw order lines in the export layout (column names with blanks,
+    dates as ``M/d/yyyy H:mm`` text), one per line, plus ``line_sort_key``."""
+    return to_raw_layout(line_side(spark, sf_dir), order_side(spark, sf_dir))
+
+
 def stock_days_rule(product_id: Column) -> Column:
     """Days of stock per product for the test data (an input, not a draw)."""
     return (F.lit(1) + (product_id * 7919 + 104729) % 120).cast("double")

@@ -57,3 +57,14 @@ def test_status_breakdown_sums(spark, da):
     rows = status_breakdown(da).collect()
     assert sum(r["order_count"] for r in rows) == da.count()
     assert abs(float(sum(r["pct"] for r in rows)) - 100.0) <= 0.02 * len(rows)
+
+
+def test_line_side_dedup_equals_dedup_of_raw_lines(spark):
+    from freightlens.operators.clean import clean_shipments
+    from freightlens.sources.tpch import LINE_SORT_KEY, raw_order_lines
+
+    raw = raw_order_lines(spark, SF_SMALL)
+    literal = clean_shipments(raw, order_by=[LINE_SORT_KEY], drop=[LINE_SORT_KEY])
+    pushed = P.shipments_lazy(spark, SF_SMALL)
+    assert literal.columns == pushed.columns
+    assert literal.exceptAll(pushed).count() == 0 and pushed.exceptAll(literal).count() == 0
