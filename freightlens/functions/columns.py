@@ -83,9 +83,22 @@ def add_days(ts: Column | str, days: Column | str) -> Column:
     return F.timestamp_add("DAY", _col(days), _col(ts))
 
 
+_NTZ_EPOCH = "1970-01-01 00:00:00"
+
+
 def parse_timestamp(c: Column | str, fmt: str) -> Column:
-    """Parse text to ``timestamp_ntz``; text that does not parse gives NULL."""
-    return F.try_to_timestamp(_col(c), F.lit(fmt)).cast("timestamp_ntz")
+    """Parse text to ``timestamp_ntz``; text that does not parse gives NULL.
+
+    The session time zone plays no part. The text is parsed as UTC (an
+    explicit ``+0000`` offset is appended), and the instant is turned back
+    into a wall-clock ``timestamp_ntz`` through its epoch microseconds. A
+    plain ``try_to_timestamp(...).cast('timestamp_ntz')`` would move wall
+    times that fall in a daylight-saving gap of the session zone.
+    """
+    instant = F.try_to_timestamp(F.concat(_col(c), F.lit(" +0000")), F.lit(f"{fmt} Z"))
+    return F.timestamp_add(
+        "MICROSECOND", F.unix_micros(instant), F.lit(_NTZ_EPOCH).cast("timestamp_ntz")
+    )
 
 
 def sql_friendly_name(name: str) -> str:

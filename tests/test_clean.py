@@ -167,3 +167,15 @@ def test_clean_shipments_end_to_end(spark):
     assert r["route_segment"] == "Second Class > Europe > West"
     assert r["implied_total_cost"] == Decimal("8.0000") and r["cost_pct_revenue"] == 80.0
     assert r["order_date"] == dt.datetime(2018, 1, 2, 10, 30)
+
+
+def test_parse_dates_ignores_session_time_zone(spark):
+    df = spark.createDataFrame([("3/11/2018 2:30",), ("10/28/2018 2:30",)], "`order date (DateOrders)` string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("America/New_York", "Europe/Berlin", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = [r[0] for r in clean.parse_dates(df, {"d": "order date (DateOrders)"}).select("d").collect()]
+            assert got == [dt.datetime(2018, 3, 11, 2, 30), dt.datetime(2018, 10, 28, 2, 30)], tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
