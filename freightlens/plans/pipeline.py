@@ -45,10 +45,12 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(materialise_path(spark, df, name))
 
 
-def _cached_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def _cached_table(
+    spark: SparkSession, sf_dir: str, name: str, build, refresh: bool = False
+) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     with _lock:
-        path = _materialised.get(key)
+        path = None if refresh else _materialised.get(key)
         if path is None:
             path = materialise_path(spark, build(), name)
             _materialised[key] = path
@@ -89,9 +91,12 @@ def shipments_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_features(first_order_lines(spark, sf_dir).drop(LINE_SORT_KEY))
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned shipments, materialised once per session and input folder."""
-    return _cached_table(spark, sf_dir, "shipments", lambda: shipments_lazy(spark, sf_dir))
+def shipments(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Cleaned shipments, materialised once per session and input folder
+    (``refresh=True`` rebuilds and re-registers the table)."""
+    return _cached_table(
+        spark, sf_dir, "shipments", lambda: shipments_lazy(spark, sf_dir), refresh
+    )
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
