@@ -14,10 +14,10 @@ Plan:
    points (a bounded sketch, one row, broadcast). Each distinct value goes to
    the bucket ``#splits < value``. Equal values always share a bucket, and
    buckets hold about the same number of distinct values.
-3. Per-bucket totals form one row per bucket (``buckets`` rows, a parameter).
-   An exclusive running sum over them gives each bucket's offset.
-4. Inside each bucket, a window partitioned by bucket and ordered by value
-   gives the exclusive running count.
+3. One window pass partitioned by bucket gives, per distinct value, the
+   exclusive running count inside its bucket and the bucket's total.
+4. The bucket totals form one row per bucket (``buckets`` rows, a
+   parameter). An exclusive running sum over them gives each bucket's offset.
 5. ``rank_below = offset + running count``. It is joined back to the rows by
    value. A hot value is one row on the rank side, and AQE's skew-join
    handling splits the big side.
@@ -54,9 +54,23 @@ def rank_below(
         "_b", F.size(F.filter("_splits", lambda s: s < F.col("_v")))
     )
     before = Window.unboundedPreceding
+    by_bucket = Window.partitionBy("_b")
+    # One exchange on the bucket serves both windows: the running count of
+    # smaller values inside the bucket and the bucket's total.
+    in_bucket = bucketed.withColumns(
+        {
+            "_within": F.coalesce(
+                F.sum("_cnt").over(by_bucket.orderBy("_v").rowsBetween(before, -1)), F.lit(0)
+            ),
+            "_btotal": F.sum("_cnt").over(by_bucket),
+        }
+    )
+    # Offsets: one row per bucket (already partitioned by bucket, so the
+    # group-by adds no exchange); the running sum over them is a window over
+    # ``buckets`` rows.
     offsets = (
-        bucketed.groupBy("_b")
-        .agg(F.sum("_cnt").alias("_bcnt"))
+        in_bucket.groupBy("_b")
+        .agg(F.max("_btotal").alias("_bcnt"))
         .withColumn(
             "_off",
             F.coalesce(
@@ -65,15 +79,10 @@ def rank_below(
         )
         .select("_b", "_off")
     )
-    in_bucket = Window.partitionBy("_b").orderBy("_v").rowsBetween(before, -1)
-    ranks = (
-        bucketed.withColumn("_within", F.coalesce(F.sum("_cnt").over(in_bucket), F.lit(0)))
-        .join(F.broadcast(offsets), "_b")
-        .select(
-            "_v",
-            (F.col("_off") + F.col("_within")).cast("bigint").alias(out_col),
-            F.col("_n").cast("bigint").alias(total_col),
-        )
+    ranks = in_bucket.join(F.broadcast(offsets), "_b").select(
+        "_v",
+        (F.col("_off") + F.col("_within")).cast("bigint").alias(out_col),
+        F.col("_n").cast("bigint").alias(total_col),
     )
     return df.join(ranks, v.eqNullSafe(F.col("_v")), "left").drop("_v")
 

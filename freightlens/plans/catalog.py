@@ -222,7 +222,7 @@ def q_revenue_quartile(spark, sf):
 
 @query("inventory_build")
 def q_inventory_build(spark, sf):
-    return P.inventory(spark, sf)
+    return P.inventory_lazy(spark, sf)
 
 
 @query("inventory_health")

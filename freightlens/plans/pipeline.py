@@ -29,7 +29,7 @@ from freightlens.sources.tpch import (
     with_part,
 )
 
-_lock = threading.Lock()
+_lock = threading.RLock()  # re-entrant: building one table may build another
 _materialised: dict[tuple[str, str, str], str] = {}
 
 
@@ -103,7 +103,13 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery_analysis(shipments(spark, sf_dir))
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory built from the shipments; days of stock per product is the
-    test mapping's rule over the product id."""
+def inventory_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory built from the shipments as one plan; days of stock per
+    product is the test mapping's rule over the product id."""
     return inventory_build(shipments(spark, sf_dir), stock_days_rule(F.col("product_id")))
+
+
+def inventory(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The inventory table, written once per session and input folder, the
+    way the cleaning step writes it for the stock-cover analysis to read."""
+    return _cached_table(spark, sf_dir, "inventory", lambda: inventory_lazy(spark, sf_dir), refresh)
