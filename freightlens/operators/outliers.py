@@ -5,14 +5,14 @@ quantile, not ``percentile_approx``). Spark computes it as a partial
 aggregate per task whose buffer holds one counter per *distinct* value, then
 merges the buffers in one task. For ``delay_days`` the distinct values are a
 few dozen small integers, so the buffer stays tiny whatever the row count.
-The one-row bounds relation is broadcast (one row by construction: a global
-aggregate) and the outlier test becomes the condition of a
-BroadcastNestedLoopJoin, so the shipments are scanned once and never shuffled.
+The one-row bounds enter the row-level plan as a scalar subquery (one
+struct, one small job), not as a join. The outlier test is then a plain filter
+on the scan, so the shipments are scanned once and never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.functions.columns import round_half_up
@@ -51,17 +51,22 @@ def iqr_bounds(
     )
 
 
+def bound_values(df: DataFrame, col: str = "delay_days", k_mild: float = 1.5,
+                 k_extreme: float = 3.0) -> dict[str, Column]:
+    """The ``iqr_bounds`` row as scalar-subquery column expressions."""
+    b = iqr_bounds(df, col, k_mild, k_extreme)
+    packed = b.select(F.struct(*b.columns).alias("b")).scalar()
+    return {c: packed[c] for c in b.columns}
+
+
 def _flagged(df: DataFrame, col: str, k_mild: float, k_extreme: float, only_outliers: bool):
-    b = F.broadcast(iqr_bounds(df, col, k_mild, k_extreme))
+    bv = bound_values(df, col, k_mild, k_extreme)
     v = F.col(col)
-    lo, hi = F.col("lower_bound_mild"), F.col("upper_bound_mild")
-    if only_outliers:
-        # A strict test: a value equal to a fence is not an outlier.
-        joined = df.join(b, (v < lo) | (v > hi), "inner")
-    else:
-        joined = df.crossJoin(b)
+    lo, hi = bv["lower_bound_mild"], bv["upper_bound_mild"]
+    # A strict test: a value equal to a fence is not an outlier.
+    joined = df.where((v < lo) | (v > hi)) if only_outliers else df
     flag = (
-        F.when((v < F.col("lower_bound_extreme")) | (v > F.col("upper_bound_extreme")), "Extreme")
+        F.when((v < bv["lower_bound_extreme"]) | (v > bv["upper_bound_extreme"]), "Extreme")
         .when((v < lo) | (v > hi), "Outlier")
         .otherwise("Normal")
     )
@@ -76,15 +81,15 @@ def _flagged(df: DataFrame, col: str, k_mild: float, k_extreme: float, only_outl
     cols = list(OUTLIER_COLUMNS) + ([col] if col not in OUTLIER_COLUMNS else [])
     return joined.select(
         *cols,
-        round_half_up("Q1", 2).alias("Q1"),
-        round_half_up("Q3", 2).alias("Q3"),
-        round_half_up("IQR", 2).alias("IQR"),
+        round_half_up(bv["Q1"], 2).alias("Q1"),
+        round_half_up(bv["Q3"], 2).alias("Q3"),
+        round_half_up(bv["IQR"], 2).alias("IQR"),
         round_half_up(lo, 2).alias("lower_bound"),
         round_half_up(hi, 2).alias("upper_bound"),
         expected_range.alias("expected_range"),
         flag.alias("anomaly_flag"),
         direction.alias("anomaly_direction"),
-        F.abs(v - (F.col("Q1") + F.col("Q3")) / 2).alias("_distance"),
+        F.abs(v - (bv["Q1"] + bv["Q3"]) / 2).alias("_distance"),
     )
 
 
@@ -106,13 +111,12 @@ def iqr_flag_all(
 
 def anomaly_share(da: DataFrame, col: str = "delay_days", k_mild: float = 1.5) -> DataFrame:
     """One row: outliers, all rows, and the outlier share in percent."""
-    b = F.broadcast(iqr_bounds(da, col, k_mild))
+    bv = bound_values(da, col, k_mild)
     v = F.col(col)
-    j = da.select(col).crossJoin(b)
-    is_out = (v < F.col("lower_bound_mild")) | (v > F.col("upper_bound_mild"))
+    is_out = (v < bv["lower_bound_mild"]) | (v > bv["upper_bound_mild"])
     n_out = F.count_if(is_out)
     n = F.count(F.lit(1))
-    return j.agg(
+    return da.agg(
         n_out.alias("outlier_orders"),
         n.alias("total_orders"),
         (n_out.cast("double") * F.lit(100.0) / F.nullif(n, F.lit(0))).alias("outlier_pct"),

@@ -11,7 +11,7 @@ Plan:
 1. ``groupBy(value).count()``. One row per distinct value, combined map-side,
    so a value that holds a third of all rows is one row here.
 2. ``percentile_approx`` over the distinct values gives ``buckets - 1`` split
-   points (a bounded sketch, one row, broadcast). Each distinct value goes to
+   points (a bounded sketch; one row, used as a scalar subquery). Each distinct value goes to
    the bucket ``#splits < value``. Equal values always share a bucket, and
    buckets hold about the same number of distinct values.
 3. One window pass partitioned by bucket gives, per distinct value, the
@@ -46,12 +46,22 @@ def rank_below(
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
     probs = [i / buckets for i in range(1, buckets)]
-    splits = counts.agg(
-        F.percentile_approx("_v", probs, accuracy).alias("_splits"),
-        F.sum("_cnt").alias("_n"),
-    )
-    bucketed = counts.crossJoin(F.broadcast(splits)).withColumn(
-        "_b", F.size(F.filter("_splits", lambda s: s < F.col("_v")))
+    # One row (a global aggregate), used as a scalar subquery.
+    stats = counts.select(
+        F.struct(
+            F.percentile_approx("_v", probs, accuracy).alias("splits"),
+            F.sum("_cnt").alias("n"),
+        ).alias("s")
+    ).scalar()
+    bucketed = counts.withColumns(
+        {
+            # number of split points strictly below the value: its first
+            # position among the sorted splits plus itself, minus one
+            "_b": F.array_position(
+                F.sort_array(F.concat(stats["splits"], F.array(F.col("_v")))), F.col("_v")
+            ).cast("int") - F.lit(1),
+            "_n": stats["n"],
+        }
     )
     before = Window.unboundedPreceding
     by_bucket = Window.partitionBy("_b")
