@@ -173,12 +173,22 @@ def inventory_build(
     )
 
 
-def stock_status_summary(inventory: DataFrame) -> DataFrame:
-    """Products per stock band and their share. The share is a window over
-    the (at most four) band rows."""
+def stock_status_summary(
+    inventory: DataFrame, bands=STOCK_BANDS, over: str = STOCK_BAND_OVER
+) -> DataFrame:
+    """Products per stock band and their share of all products. Every band
+    is listed, with 0 when no product falls in it. The share uses a window
+    over the band rows (as many as there are bands)."""
+    labels = [label for _, label in bands] + [over]
+    all_bands = inventory.sparkSession.createDataFrame(
+        [(label,) for label in labels], "stock_status string"
+    )
     counts = inventory.groupBy("stock_status").agg(F.count(F.lit(1)).alias("products"))
+    rows = all_bands.join(counts, "stock_status", "left").select(
+        "stock_status", F.coalesce(F.col("products"), F.lit(0)).cast("bigint").alias("products")
+    )
     total = F.sum("products").over(Window.partitionBy())
-    return counts.withColumn("pct", pct_of(F.col("products"), total))
+    return rows.withColumn("pct", pct_of(F.col("products"), total))
 
 
 def priority_critical_count(inventory: DataFrame) -> DataFrame:

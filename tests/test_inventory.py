@@ -108,3 +108,14 @@ def test_rolling_cover_gap_and_no_demand(spark):
     assert health[1]["adjusted_days_of_stock"] == 10.0  # 165 / 16.5
     assert health[2]["latest_rolling_demand"] == 0.0
     assert health[2]["adjusted_days_of_stock"] == 999.0
+
+
+def test_stock_status_summary_lists_every_band(spark):
+    inventory = spark.createDataFrame(
+        [(1, "Critical"), (2, "Critical"), (3, "Healthy")], "product_id long, stock_status string"
+    )
+    got = {r["stock_status"]: (r["products"], r["pct"]) for r in inv.stock_status_summary(inventory).collect()}
+    assert got == {
+        "Critical": (2, 200.0 / 3), "Warning": (0, 0.0), "Healthy": (1, 100.0 / 3),
+        "Overstocked": (0, 0.0),
+    }
