@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freightlens.operators import clean, inventory as inv, margins, outliers, scoring, trends, views
 from freightlens.plans import pipeline as P
@@ -19,9 +20,26 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def decimals_as_double(df: DataFrame) -> DataFrame:
+    """Report money and rates as doubles. Inside the library they are exact
+    decimals (so sums do not depend on row order); a reported value is the
+    nearest double to the exact one."""
+    casts = {
+        f.name: F.col(f"`{f.name}`").cast("double")
+        for f in df.schema.fields
+        if isinstance(f.dataType, T.DecimalType)
+    }
+    return df.withColumns(casts) if casts else df
+
+
 def query(name: str):
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return decimals_as_double(fn(spark, sf_dir))
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
 
     return register
