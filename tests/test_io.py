@@ -85,3 +85,35 @@ def test_parquet_sink_round_trip(spark, tmp_dir):
     out = os.path.join(tmp_dir, "pq")
     write_parquet(df, out, partition_by=["v"])
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(out).collect()) == [("a ", 1), ("b", 2)]
+
+
+def test_cleaning_job_writes_three_tables(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from freightlens.plans.export import run_cleaning_job
+
+    header = ",".join(f'"{f.name}"' for f in RAW_ORDER_LINE_SCHEMA.fields)
+    lines = [header,
+             _raw_line(1, "South of  USA", "Japón", "327.75"),
+             _raw_line(1, "South of  USA", "Japón", "1.00"),
+             _raw_line(2, "Caribbean", "EE. UU.", "10.00")]
+    raw = os.path.join(tmp_dir, "raw.csv")
+    with open(raw, "wb") as fh:
+        fh.write(("\n".join(lines) + "\n").encode("latin-1"))
+    for fmt in ("parquet", "csv"):
+        out = os.path.join(tmp_dir, f"out_{fmt}")
+        paths = run_cleaning_job(spark, raw, out, F.lit(5.0), fmt=fmt)
+        if fmt == "parquet":
+            ships = spark.read.parquet(paths["shipments"])
+            inv = spark.read.parquet(paths["inventory"])
+            lookup = spark.read.parquet(paths["route_segment_lookup"])
+        else:
+            ships = spark.read.option("header", True).csv(paths["shipments"])
+            inv = files.read_inventory_csv(spark, paths["inventory"])
+            lookup = files.read_route_lookup_csv(spark, paths["route_segment_lookup"])
+        assert ships.count() == 2
+        assert inv.count() == 1  # one product with dated demand
+        r = inv.first()
+        assert r["stock_status"] == "Critical" and r["days_of_stock"] == 5.0
+        segs = {x["route_segment"]: x["total_shipments"] for x in lookup.collect()}
+        assert segs == {"Standard Class > LATAM > South of  USA": 1, "Standard Class > LATAM > Caribbean": 1}
