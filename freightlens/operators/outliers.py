@@ -51,8 +51,9 @@ def iqr_bounds(
     )
 
 
-def bound_values(df: DataFrame, col: str = "delay_days", k_mild: float = 1.5,
-                 k_extreme: float = 3.0) -> dict[str, Column]:
+def bound_values(
+    df: DataFrame, col: str = "delay_days", k_mild: float = 1.5, k_extreme: float = 3.0
+) -> dict[str, Column]:
     """The ``iqr_bounds`` row as scalar-subquery column expressions."""
     b = iqr_bounds(df, col, k_mild, k_extreme)
     packed = b.select(F.struct(*b.columns).alias("b")).scalar()
@@ -64,7 +65,7 @@ def _flagged(df: DataFrame, col: str, k_mild: float, k_extreme: float, only_outl
     v = F.col(col)
     lo, hi = bv["lower_bound_mild"], bv["upper_bound_mild"]
     # A strict test: a value equal to a fence is not an outlier.
-    joined = df.where((v < lo) | (v > hi)) if only_outliers else df
+    rows = df.where((v < lo) | (v > hi)) if only_outliers else df
     flag = (
         F.when((v < bv["lower_bound_extreme"]) | (v > bv["upper_bound_extreme"]), "Extreme")
         .when((v < lo) | (v > hi), "Outlier")
@@ -79,7 +80,7 @@ def _flagged(df: DataFrame, col: str, k_mild: float, k_extreme: float, only_outl
         F.coalesce(round_half_up(hi, 0).cast("int").cast("string"), F.lit("")),
     )
     cols = list(OUTLIER_COLUMNS) + ([col] if col not in OUTLIER_COLUMNS else [])
-    return joined.select(
+    return rows.select(
         *cols,
         round_half_up(bv["Q1"], 2).alias("Q1"),
         round_half_up(bv["Q3"], 2).alias("Q3"),

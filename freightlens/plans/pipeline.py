@@ -23,10 +23,10 @@ from freightlens.sources.tpch import (
     LINE_SORT_KEY,
     lineitem_lines,
     order_side,
+    part_side,
     raw_order_lines,
     stock_days_rule,
     to_raw_layout,
-    with_part,
 )
 
 _lock = threading.RLock()  # re-entrant: building one table may build another
@@ -83,7 +83,7 @@ def first_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     per order instead of one per line.
     """
     first = dedup_first(lineitem_lines(spark, sf_dir), ["l_orderkey"], [LINE_SORT_KEY])
-    return to_raw_layout(with_part(spark, sf_dir, first), order_side(spark, sf_dir))
+    return to_raw_layout(first, order_side(spark, sf_dir), part_side(spark, sf_dir))
 
 
 def shipments_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:

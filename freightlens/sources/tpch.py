@@ -13,7 +13,7 @@ broadcasts a side only when its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge joins, with
 AQE splitting skewed partitions. No broadcast is forced.
 
-The pieces (``lineitem_lines``, ``with_part``, ``order_side``,
+The pieces (``lineitem_lines``, ``order_side``, ``part_side``,
 ``to_raw_layout``) are exposed separately so the pipeline can keep the first
 line per order on narrow lineitem rows, before the part and order joins (see
 ``plans.pipeline.first_order_lines``).
@@ -68,15 +68,9 @@ def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_part(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    """Attach part name and type to line rows."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    return lines.join(part, lines.l_partkey == part.p_partkey).drop("p_partkey")
-
-
-def line_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line-level inputs: ``lineitem`` with its part, plus ``line_sort_key``."""
-    return with_part(spark, sf_dir, lineitem_lines(spark, sf_dir))
+def part_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part attributes the raw layout carries: name and type."""
+    return read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
 
 
 def order_side(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +96,16 @@ def order_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def to_raw_layout(lines: DataFrame, orders: DataFrame) -> DataFrame:
-    """Join line-level and order-level inputs on the order key and map them to
-    the raw export layout (plus ``line_sort_key``)."""
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+def to_raw_layout(lines: DataFrame, orders: DataFrame, parts: DataFrame) -> DataFrame:
+    """Join lines with their order (order key) and part (part key) and map
+    them to the raw export layout (plus ``line_sort_key``).
+
+    The order join comes first: lines that are already partitioned by the
+    order key (after the first-line step) then move at most once more, for
+    the part join, and not at all when the part side is broadcast.
+    """
+    with_order = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    joined = with_order.join(parts, with_order.l_partkey == parts.p_partkey)
     key = F.col("l_orderkey")
     priority_digit = F.substring("o_orderpriority", 1, 1).cast("int")
     real_days = (
@@ -175,7 +175,9 @@ def to_raw_layout(lines: DataFrame, orders: DataFrame) -> DataFrame:
 def raw_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw order lines in the export layout (column names with blanks,
     dates as ``M/d/yyyy H:mm`` text), one per line, plus ``line_sort_key``."""
-    return to_raw_layout(line_side(spark, sf_dir), order_side(spark, sf_dir))
+    return to_raw_layout(
+        lineitem_lines(spark, sf_dir), order_side(spark, sf_dir), part_side(spark, sf_dir)
+    )
 
 
 def stock_days_rule(product_id: Column) -> Column:
