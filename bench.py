@@ -8,7 +8,8 @@
    of ``$BENCH_RUNS`` runs. A run executes the full plan into Spark's
    ``noop`` sink (nothing collected to the driver).
 
-Prints one JSON line on stdout; logs go to stderr.
+Prints one JSON line on stdout; logs go to stderr. Set ``BENCH_EVENT_LOG_DIR``
+to a scratch folder to keep Spark's event log (stage and task times).
 """
 
 from __future__ import annotations
@@ -52,11 +53,16 @@ def main() -> None:
     from freightlens.plans.catalog import QUERIES
     from freightlens.plans.session import build_session
 
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")}
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")  # stage/task times, no UI
+    if event_dir:
+        os.makedirs(event_dir, exist_ok=True)
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
     spark = build_session(
         f"local[{cpus}]",
         app_name="freightlens-bench",
         shuffle_partitions=max(cpus, 8),
-        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
+        extra=extra,
     )
     times: dict[str, float] = {}
 
