@@ -70,17 +70,27 @@ def dedup_first(
     task instead of being sorted in a single task. Ties on ``order_by`` are
     broken by the remaining columns, so the survivor is fully determined
     (``dropDuplicates`` keeps an arbitrary row). NULL keys form one group.
+    Order columns given by name are carried once, in the order part of the
+    struct, not again in the row part.
     """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
+    order_names = {c: i for i, c in enumerate(order_by) if isinstance(c, str)}
+    rest = [c for c in df.columns if c not in keys and c not in order_names]
     order_fields = [
-        (F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order_by)
+        (F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"_o{i}")
+        for i, c in enumerate(order_by)
     ]
     packed = F.struct(*order_fields, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     first = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(packed).alias("_first"))
-    return first.select(
-        *[F.col(f"`{c}`") if c in keys else F.col(f"_first.row.`{c}`").alias(c) for c in df.columns]
-    )
+
+    def pick(c: str) -> Column:
+        if c in keys:
+            return F.col(f"`{c}`")
+        if c in order_names:
+            return F.col(f"_first._o{order_names[c]}").alias(c)
+        return F.col(f"_first.row.`{c}`").alias(c)
+
+    return first.select(*[pick(c) for c in df.columns])
 
 
 def dedup_stats(df: DataFrame, key: str = "Order Id") -> DataFrame:

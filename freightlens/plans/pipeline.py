@@ -20,6 +20,7 @@ from freightlens.operators.inventory import inventory_build
 from freightlens.operators.views import delivery_analysis
 from freightlens.plans.session import checkpoint_dir
 from freightlens.sources.tpch import (
+    LINE_ORDER,
     LINE_SORT_KEY,
     lineitem_lines,
     order_side,
@@ -82,7 +83,7 @@ def first_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     no part names. The joins and the raw-layout expressions run on one row
     per order instead of one per line.
     """
-    first = dedup_first(lineitem_lines(spark, sf_dir), ["l_orderkey"], [LINE_SORT_KEY])
+    first = dedup_first(lineitem_lines(spark, sf_dir), ["l_orderkey"], LINE_ORDER)
     return to_raw_layout(first, order_side(spark, sf_dir), part_side(spark, sf_dir))
 
 

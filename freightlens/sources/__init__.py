@@ -12,6 +12,7 @@ from freightlens.sources.schemas import (  # noqa: F401
     ROUTE_LOOKUP_SCHEMA,
 )
 from freightlens.sources.tpch import (  # noqa: F401
+    LINE_ORDER,
     LINE_SORT_KEY,
     raw_order_lines,
     read_table,

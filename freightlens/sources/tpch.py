@@ -46,26 +46,23 @@ def _scheduled_days(priority_digit: Column) -> Column:
     return expr.cast("int")
 
 
+# Columns that order the lines of one order ("first line" = smallest).
+LINE_ORDER = (
+    "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+    "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+)
+
+
 def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` rows whose part exists, plus ``line_sort_key``.
+    """``lineitem`` rows whose part exists.
 
     The existence test is a left-semi join on the part key alone. It keeps
     the row selection of the inner join with ``part`` while the rows stay
     narrow (no part names yet).
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        "l_shipdate",
-    )
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
     part_keys = read_table(spark, sf_dir, "part").select("p_partkey")
-    return li.join(part_keys, li.l_partkey == part_keys.p_partkey, "left_semi").withColumn(
-        LINE_SORT_KEY,
-        F.struct(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-            "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        ),
-    )
+    return li.join(part_keys, li.l_partkey == part_keys.p_partkey, "left_semi")
 
 
 def part_side(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +165,7 @@ def to_raw_layout(lines: DataFrame, orders: DataFrame, parts: DataFrame) -> Data
         F.col("n_name").alias("Order Country"),
         ((nk * 7) % 120 - 60).cast("double").alias("Latitude"),
         ((nk * 13) % 360 - 180).cast("double").alias("Longitude"),
-        F.col(LINE_SORT_KEY),
+        F.struct(*LINE_ORDER).alias(LINE_SORT_KEY),
     )
 
 

@@ -25,7 +25,7 @@ def _tree(text: str) -> str:
 
 def test_dedup_combines_before_the_shuffle(spark):
     lines = tpch.lineitem_lines(spark, SF_SMALL)
-    text = _plan(clean.dedup_first(lines, ["l_orderkey"], [tpch.LINE_SORT_KEY]))
+    text = _plan(clean.dedup_first(lines, ["l_orderkey"], tpch.LINE_ORDER))
     # the partial aggregate sits below the exchange on the order key
     assert re.search(r"Functions \[1\]: \[partial_min\(", text)
     tree = _tree(text).splitlines()
