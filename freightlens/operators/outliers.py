@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.functions.columns import round_half_up
+from freightlens.operators.ranking import exact_quantiles
 
 OUTLIER_COLUMNS = (
     "Order_Id",
@@ -35,10 +36,24 @@ def iqr_bounds(
     col: str = "delay_days",
     k_mild: float = 1.5,
     k_extreme: float = 3.0,
+    method: str = "percentile",
 ) -> DataFrame:
-    """One row: Q1, Q3, IQR and the mild and extreme fences (unrounded)."""
-    q = df.agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    """One row: Q1, Q3, IQR and the mild and extreme fences (unrounded).
+
+    ``method="percentile"`` (default) uses Spark's exact ``percentile``: its
+    buffer holds one counter per distinct value, fine for day counts.
+    ``method="distributed"`` computes the same quantiles with
+    ``ranking.exact_quantiles`` and never holds the distinct values in one
+    task; use it for continuous measures.
+    """
+    if method == "distributed":
+        q = exact_quantiles(df, col, {"_q1": 0.25, "_q3": 0.75})
+        q1, q3 = F.col("_q1"), F.col("_q3")
+    elif method == "percentile":
+        q = df.agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    else:
+        raise ValueError(f"unknown method {method!r}")
     iqr = q3 - q1
     return q.select(
         q1.alias("Q1"),

@@ -29,16 +29,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_below(
-    df: DataFrame,
-    value_col: str,
-    buckets: int = 64,
-    accuracy: int = 10_000,
-    out_col: str = "n_below",
-    total_col: str = "n_valid",
+def value_ranks(
+    df: DataFrame, value_col: str, buckets: int = 64, accuracy: int = 10_000
 ) -> DataFrame:
-    """Add ``n_below`` (rows whose value is strictly smaller) and ``n_valid``
-    (rows with a non-NULL value). Both are NULL for a NULL value."""
+    """One row per distinct non-NULL value: ``_v``, its count ``_cnt``, the
+    number of rows with a smaller value ``n_below`` and the number of
+    non-NULL rows ``n_valid``."""
     v = F.col(value_col)
     counts = (
         df.where(v.isNotNull())
@@ -89,12 +85,64 @@ def rank_below(
         )
         .select("_b", "_off")
     )
-    ranks = in_bucket.join(F.broadcast(offsets), "_b").select(
+    return in_bucket.join(F.broadcast(offsets), "_b").select(
         "_v",
-        (F.col("_off") + F.col("_within")).cast("bigint").alias(out_col),
-        F.col("_n").cast("bigint").alias(total_col),
+        "_cnt",
+        (F.col("_off") + F.col("_within")).cast("bigint").alias("n_below"),
+        F.col("_n").cast("bigint").alias("n_valid"),
+    )
+
+
+def rank_below(
+    df: DataFrame,
+    value_col: str,
+    buckets: int = 64,
+    accuracy: int = 10_000,
+    out_col: str = "n_below",
+    total_col: str = "n_valid",
+) -> DataFrame:
+    """Add ``n_below`` (rows whose value is strictly smaller) and ``n_valid``
+    (rows with a non-NULL value). Both are NULL for a NULL value."""
+    ranks = value_ranks(df, value_col, buckets, accuracy).select(
+        "_v", F.col("n_below").alias(out_col), F.col("n_valid").alias(total_col)
     )
-    return df.join(ranks, v.eqNullSafe(F.col("_v")), "left").drop("_v")
+    return df.join(ranks, F.col(value_col).eqNullSafe(F.col("_v")), "left").drop("_v")
+
+
+def exact_quantiles(
+    df: DataFrame,
+    value_col: str,
+    probs: dict[str, float],
+    buckets: int = 64,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """One row: the continuous quantile (linear interpolation between the two
+    closest ranks, position ``p * (n - 1)``) for each ``{name: p}``.
+
+    Exact and fully distributed. From ``value_ranks``, the value covering
+    rank ``k`` is the one distinct value with ``n_below <= k < n_below +
+    count``, so each quantile is a ``max`` over the distinct values: no task
+    holds more than one value per quantile. Use it instead of ``percentile``
+    when the column has too many distinct values for one task's buffer.
+    """
+    r = value_ranks(df, value_col, buckets, accuracy)
+    n1 = F.col("n_valid") - F.lit(1)
+    v = F.col("_v").cast("double")
+
+    def covering(k: Column) -> Column:
+        return F.max(
+            F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("_cnt")), v)
+        )
+
+    aggs = []
+    for name, p in probs.items():
+        pos = n1.cast("double") * F.lit(float(p))
+        k = F.floor(pos)
+        lo = covering(k)
+        hi = covering(F.least(k + F.lit(1), n1))
+        frac = F.max(pos - k)
+        aggs.append((lo + frac * (hi - lo)).alias(name))
+    return r.agg(*aggs)
 
 
 def quantile_bucket(n_below: Column, n_valid: Column, labels: list[str]) -> Column:

@@ -50,3 +50,20 @@ def test_flag_all_keeps_normal_rows(spark):
     share = outliers.anomaly_share(_da(spark, DELAYS)).first()
     assert (share["outlier_orders"], share["total_orders"]) == (3, 24)
     assert share["outlier_pct"] == 12.5
+
+
+def test_distributed_quantiles_match_percentile(spark):
+    import numpy as np
+
+    from freightlens.operators.ranking import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    for vals in (DELAYS, list(rng.integers(-20, 40, 997)), list(np.round(rng.normal(0, 9, 501), 3))):
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        q = exact_quantiles(df, "x", {"a": 0.25, "b": 0.75, "c": 0.5, "d": 0.0, "e": 1.0}, buckets=8).first()
+        ref = np.percentile(np.array(vals, dtype=float), [25, 75, 50, 0, 100])
+        assert np.allclose([q["a"], q["b"], q["c"], q["d"], q["e"]], ref, rtol=0, atol=1e-9)
+    da = _da(spark, DELAYS)
+    a = outliers.iqr_bounds(da).first().asDict()
+    b = outliers.iqr_bounds(da, method="distributed").first().asDict()
+    assert a == b
