@@ -8,7 +8,9 @@ Plan: partial aggregate -> one hash exchange on the group keys -> final
 aggregate -> HAVING filter -> ranks. The ranks are global windows, so they
 run in one task, but they see one row per group, never shipments. Groups are
 (mode, market, region) combinations: their number is bounded by the
-dimension sizes, not by the order volume. The HAVING filter must stay below
+dimension sizes, not by the order volume. For group sets too large for one
+task, ``distributed_ranks=True`` computes the same ranks with
+``ranking.rank_below``. The HAVING filter must stay below
 the windows (it changes the ranks), and Catalyst keeps it there.
 """
 
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightlens.functions.columns import exact_mean, exact_stddev_samp, pct_of, round_half_up
+from freightlens.operators.ranking import rank_below
+from freightlens.plans.session import materialise
 
 SEGMENT_KEYS = ("route_segment", "Shipping_Mode", "Market", "Order_Region")
 
@@ -44,17 +48,57 @@ def percent_rank_of(value: Column) -> Column:
     return F.percent_rank().over(Window.orderBy(value.asc_nulls_first()))
 
 
+def _distributed_percent_rank(df: DataFrame, value: Column, out: str) -> DataFrame:
+    """``percent_rank`` (ascending, NULLs first) without a single-task window.
+
+    ``percent_rank = (rows before this row's value) / (rows - 1)``, where NULL
+    values sort first, so a non-NULL value also has all NULL rows before it.
+    The counts come from ``rank_below`` and one global aggregate (a scalar
+    subquery).
+    """
+    tmp = f"_{out}_v"
+    with_v = df.withColumn(tmp, value)
+    totals = with_v.select(
+        F.struct(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col(tmp).isNull()).alias("nulls")
+        ).alias("t")
+    ).scalar()
+    ranked = rank_below(with_v, tmp, out_col=f"{tmp}_below", total_col=f"{tmp}_valid")
+    before = F.when(F.col(tmp).isNull(), F.lit(0)).otherwise(F.col(f"{tmp}_below") + totals["nulls"])
+    pr = F.when(totals["n"] <= 1, F.lit(0.0)).otherwise(
+        before.cast("double") / (totals["n"] - F.lit(1)).cast("double")
+    )
+    return ranked.withColumn(out, pr).drop(tmp, f"{tmp}_below", f"{tmp}_valid")
+
+
 def weighted_percent_rank(
-    df: DataFrame, components: Sequence[RankComponent], score_col: str
+    df: DataFrame,
+    components: Sequence[RankComponent],
+    score_col: str,
+    distributed: bool = False,
 ) -> DataFrame:
     """Add one ``percent_rank`` column per component and the weighted score
-    ``(sum of rank * weight) * 100`` as ``score_col`` (unrounded)."""
-    out = df
+    ``(sum of rank * weight) * 100`` as ``score_col`` (unrounded).
+
+    By default the ranks are global windows (one task; right for a few
+    thousand groups). ``distributed=True`` computes the same ranks with
+    ``rank_below`` for relations too large for one task. Each rank refers to
+    its input several times, so in that mode the input and each ranked step
+    are written to the shared checkpoint folder (``materialise``). That keeps
+    the plan linear in the number of components instead of exponential.
+    """
+    out = materialise(df.sparkSession, df, "rank_input") if distributed else df
     score: Column | None = None
     for comp in components:
-        pr = percent_rank_of(comp.value)
+        if distributed:
+            out = _distributed_percent_rank(out, comp.value, f"_pr_{comp.name}")
+            pr = F.col(f"_pr_{comp.name}")
+        else:
+            pr = percent_rank_of(comp.value)
         norm = (F.lit(1) - pr) if comp.invert else pr
         out = out.withColumn(comp.name, norm)
+        if distributed:
+            out = materialise(df.sparkSession, out.drop(f"_pr_{comp.name}"), "rank_step")
         term = F.col(comp.name) * F.lit(float(comp.weight))
         score = term if score is None else score + term
     return out.withColumn(score_col, score * F.lit(100.0))
@@ -99,6 +143,7 @@ def segment_scorecard(
     min_n: int = 50,
     weights: Sequence[float] = (0.35, 0.25, 0.25, 0.15),
     tiers: Sequence[float] = (80.0, 60.0),
+    distributed_ranks: bool = False,
 ) -> DataFrame:
     """Reliability score 0-100 per route segment and a tier.
 
@@ -117,6 +162,7 @@ def segment_scorecard(
             RankComponent("norm_volume", F.col("total_shipments"), w_volume),
         ],
         "_score",
+        distributed=distributed_ranks,
     )
     score = F.col("_score")
     return ranked.select(
@@ -178,6 +224,7 @@ def corridor_risk(
     discount_limit: float = 15.0,
     late_limit: float = 60.0,
     volatility_limit: float = 0.5,
+    distributed_ranks: bool = False,
 ) -> DataFrame:
     """Risk score 0-100 per corridor, a tier and one recommendation.
 
@@ -198,6 +245,7 @@ def corridor_risk(
             RankComponent("norm_volatility_risk", vol, w_vol),
         ],
         "_score",
+        distributed=distributed_ranks,
     )
     score = F.col("_score")
     recommendation = (

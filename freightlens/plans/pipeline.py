@@ -10,7 +10,6 @@ pushdown on the table.
 from __future__ import annotations
 
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from freightlens.operators.clean import clean_features, dedup_first, parse_dates
 from freightlens.operators.inventory import inventory_build
 from freightlens.operators.views import delivery_analysis
-from freightlens.plans.session import checkpoint_dir
+from freightlens.plans.session import materialise, materialise_path  # noqa: F401
 from freightlens.sources.tpch import (
     LINE_ORDER,
     LINE_SORT_KEY,
@@ -34,18 +33,6 @@ _lock = threading.RLock()  # re-entrant: building one table may build another
 _materialised: dict[tuple[str, str, str], str] = {}
 
 
-def materialise_path(spark: SparkSession, df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet under the shared checkpoint folder; return the path."""
-    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return path
-
-
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame reading it back."""
-    return spark.read.parquet(materialise_path(spark, df, name))
-
-
 def _cached_table(
     spark: SparkSession, sf_dir: str, name: str, build, refresh: bool = False
 ) -> DataFrame:

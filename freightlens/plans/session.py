@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are written for. AQE re-plans joins from measured
 # sizes (broadcast only below the threshold), coalesces small shuffle
@@ -60,3 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="freightlens-ckpt-", dir=base)
     sc.setCheckpointDir(d)
     return d
+
+
+def materialise_path(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet under the shared checkpoint folder; return the path."""
+    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return path
+
+
+def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return a DataFrame reading it back.
+
+    This cuts the lineage: later plans start from files, executors that are
+    lost re-read them, and a plan that refers to ``df`` several times stays
+    small.
+    """
+    return spark.read.parquet(materialise_path(spark, df, name))

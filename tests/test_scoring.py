@@ -108,3 +108,32 @@ def test_scorecard_min_n_filters_before_ranking(spark):
     assert out["big_ok"]["tier"] == "Preferred"
     assert out["big_late"]["reliability_score"] == 25.0
     assert out["big_late"]["tier"] == "Under Review"
+
+
+def test_distributed_ranks_equal_window_ranks(spark):
+    import random
+
+    rng = random.Random(3)
+    vals = [rng.choice([None, 1.0, 2.0, 2.0, rng.random()]) for _ in range(60)] + [None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v double")
+    comps = [
+        scoring.RankComponent("up", F.col("v"), 0.7),
+        scoring.RankComponent("down", F.coalesce(F.col("v"), F.lit(0.0)), 0.3, invert=True),
+    ]
+    a = {r["id"]: (r["up"], r["down"], r["s"]) for r in scoring.weighted_percent_rank(df, comps, "s").collect()}
+    b = {r["id"]: (r["up"], r["down"], r["s"])
+         for r in scoring.weighted_percent_rank(df, comps, "s", distributed=True).collect()}
+    assert a == b
+
+
+def test_scorecard_distributed_matches(spark):
+    from freightlens.plans import pipeline as P
+    from tests.conftest import SF_SMALL
+
+    da = P.view(spark, SF_SMALL)
+    a = sorted(map(tuple, scoring.segment_scorecard(da, min_n=5).collect()))
+    b = sorted(map(tuple, scoring.segment_scorecard(da, min_n=5, distributed_ranks=True).collect()))
+    assert a == b and len(a) > 0
+    c = sorted(map(tuple, scoring.corridor_risk(da, min_n=5).collect()))
+    d = sorted(map(tuple, scoring.corridor_risk(da, min_n=5, distributed_ranks=True).collect()))
+    assert c == d
