@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +37,22 @@ _materialised: dict[tuple[str, str, str], str] = {}
 def _cached_table(
     spark: SparkSession, sf_dir: str, name: str, build, refresh: bool = False
 ) -> DataFrame:
+    """The table ``name`` for ``sf_dir``, written once per Spark application.
+
+    If the files were removed meanwhile, reading fails with PATH_NOT_FOUND
+    and the table is rebuilt.
+    """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     with _lock:
         path = None if refresh else _materialised.get(key)
-        if path is None:
-            path = materialise_path(spark, build(), name)
-            _materialised[key] = path
-    return spark.read.parquet(path)
+        if path is not None:
+            try:
+                return spark.read.parquet(path)
+            except AnalysisException:
+                path = None
+        path = materialise_path(spark, build(), name)
+        _materialised[key] = path
+        return spark.read.parquet(path)
 
 
 # --------------------------------------------------------------------------

@@ -68,3 +68,17 @@ def test_line_side_dedup_equals_dedup_of_raw_lines(spark):
     pushed = P.shipments_lazy(spark, SF_SMALL)
     assert literal.columns == pushed.columns
     assert literal.exceptAll(pushed).count() == 0 and pushed.exceptAll(literal).count() == 0
+
+
+def test_materialised_table_is_rebuilt_when_files_vanish(spark, tmp_dir):
+    import os
+
+    from freightlens.plans import pipeline
+
+    n = pipeline.inventory(spark, SF_SMALL).count()
+    key = (spark.sparkContext.applicationId, SF_SMALL, "inventory")
+    missing = os.path.join(tmp_dir, "never-written")
+    pipeline._materialised[key] = missing  # as if the files had been removed
+    again = pipeline.inventory(spark, SF_SMALL)
+    assert again.count() == n
+    assert pipeline._materialised[key] != missing
