@@ -21,6 +21,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightlens.constants import (
+    ROUTE_MAX_LENGTH,
+    ROUTE_SEPARATOR,
+    STATUS_EARLY,
+    STATUS_LATE,
+    STATUS_ON_TIME,
+    TOP_SEGMENTS,
+)
 from freightlens.functions.columns import (
     add_days,
     parse_timestamp,
@@ -135,9 +143,9 @@ def derive_delivery(
         }
     ).withColumn(
         "calculated_status",
-        F.when(F.col("delay_days") > 0, F.lit("Late"))
-        .when(F.col("delay_days") < 0, F.lit("Early"))
-        .otherwise(F.lit("On Time")),
+        F.when(F.col("delay_days") > 0, F.lit(STATUS_LATE))
+        .when(F.col("delay_days") < 0, F.lit(STATUS_EARLY))
+        .otherwise(F.lit(STATUS_ON_TIME)),
     )
 
 
@@ -162,8 +170,8 @@ def status_match(
 def add_route_segment(
     df: DataFrame,
     parts: Sequence[str] = ("Shipping Mode", "Market", "Order Region"),
-    sep: str = " > ",
-    max_len: int = 195,
+    sep: str = ROUTE_SEPARATOR,
+    max_len: int = ROUTE_MAX_LENGTH,
 ) -> DataFrame:
     """``route_segment`` = stripped parts joined by ``sep``, cut to ``max_len``.
 
@@ -181,7 +189,7 @@ def segment_count(df: DataFrame, col: str = "route_segment") -> DataFrame:
     return df.agg(F.count_distinct(col).alias("segment_count"))
 
 
-def segment_top(df: DataFrame, n: int = 5, col: str = "route_segment") -> DataFrame:
+def segment_top(df: DataFrame, n: int = TOP_SEGMENTS, col: str = "route_segment") -> DataFrame:
     """The ``n`` most common segments (ties by name). A top-k report, so
     Spark plans it as TakeOrderedAndProject over the partial counts."""
     return (

@@ -26,15 +26,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightlens.constants import (
+    NO_DEMAND_COVER,
+    PRIORITY_BAND,
+    PRIORITY_QUARTILE,
+    QUARTILE_LABELS,
+    ROLLING_ROWS,
+    STOCK_BAND_OVER,
+    STOCK_BANDS,
+)
 from freightlens.functions.columns import exact_mean, pct_of, round_half_up
 from freightlens.operators.ranking import quantile_bucket, rank_below
 
-QUARTILE_LABELS = ["Q1_Low", "Q2_Med", "Q3_High", "Q4_Top"]
-# Stock bands: days of stock at or below each limit, else the last label.
-STOCK_BANDS = ((7, "Critical"), (14, "Warning"), (60, "Healthy"))
-STOCK_BAND_OVER = "Overstocked"
-NO_DEMAND_COVER = 999.0
-
 
 # --------------------------------------------------------------------------
 # building blocks on cleaned shipments
@@ -140,8 +143,8 @@ def inventory_build(
     shipments: DataFrame,
     days_of_stock: Column | DataFrame,
     bands=STOCK_BANDS,
-    priority_band: str = "Critical",
-    priority_quartile: str = "Q4_Top",
+    priority_band: str = PRIORITY_BAND,
+    priority_quartile: str = PRIORITY_QUARTILE,
 ) -> DataFrame:
     """One row per product with demand: mean daily demand, category, revenue
     quartile, days of stock, stock level = int(mean demand x days), band and
@@ -209,7 +212,7 @@ def critical_products(inventory: DataFrame, max_days: float = 7.0) -> DataFrame:
 # --------------------------------------------------------------------------
 # stock cover from rolling demand
 # --------------------------------------------------------------------------
-def rolling_demand(da: DataFrame, window: int = 30) -> DataFrame:
+def rolling_demand(da: DataFrame, window: int = ROLLING_ROWS) -> DataFrame:
     """Mean daily units over the last ``window`` *rows* (active days) per
     product, current day included."""
     w = (
@@ -222,7 +225,7 @@ def rolling_demand(da: DataFrame, window: int = 30) -> DataFrame:
     )
 
 
-def latest_rolling(da: DataFrame, window: int = 30) -> DataFrame:
+def latest_rolling(da: DataFrame, window: int = ROLLING_ROWS) -> DataFrame:
     """The rolling mean on each product's latest day (a NULL day sorts last)."""
     w = Window.partitionBy("Product_Card_Id").orderBy(F.col("order_day").desc_nulls_last())
     return (
@@ -233,7 +236,9 @@ def latest_rolling(da: DataFrame, window: int = 30) -> DataFrame:
     )
 
 
-def inventory_health(inventory: DataFrame, da: DataFrame, window: int = 30) -> DataFrame:
+def inventory_health(
+    inventory: DataFrame, da: DataFrame, window: int = ROLLING_ROWS
+) -> DataFrame:
     """Inventory with cover recomputed as stock / latest rolling demand,
     rounded to 0.1 day; 999 when there is no demand."""
     lr = latest_rolling(da, window)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freightlens.constants import COST_FLAGS, EROSION_COST_LIMIT, EROSION_MIN_ORDERS, PROFIT_FLAGS
 from freightlens.functions.columns import exact_mean, pct_of, round_half_up
 
 EROSION_KEYS = ("Market", "Order_Region", "Shipping_Mode", "Category_Name")
@@ -24,8 +25,8 @@ def _ratio_pct(num, den):
 
 def cost_erosion(
     da: DataFrame,
-    min_n: int = 20,
-    cost_limit: float = 80.0,
+    min_n: int = EROSION_MIN_ORDERS,
+    cost_limit: float = EROSION_COST_LIMIT,
     keys: Sequence[str] = EROSION_KEYS,
 ) -> DataFrame:
     """Per (market, region, mode, category) with at least ``min_n`` orders:
@@ -56,12 +57,12 @@ def cost_erosion(
         round_half_up(cost_pct, 2).alias("cost_pct_revenue"),
         round_half_up(margin_pct, 2).alias("profit_margin_pct"),
         round_half_up(F.col("_disc") * F.lit(100.0), 2).alias("avg_discount_pct"),
-        F.when(cost_pct > F.lit(float(cost_limit)), "High Cost Route")
-        .otherwise("Normal")
+        F.when(cost_pct > F.lit(float(cost_limit)), COST_FLAGS[0])
+        .otherwise(COST_FLAGS[1])
         .alias("cost_flag"),
-        F.when(F.col("_profit") < 0, "UNPROFITABLE").otherwise("Profitable").alias(
-            "profitability_flag"
-        ),
+        F.when(F.col("_profit") < 0, PROFIT_FLAGS[0])
+        .otherwise(PROFIT_FLAGS[1])
+        .alias("profitability_flag"),
     ).orderBy(F.col("profit_margin_pct").asc_nulls_first(), *[F.col(k).asc() for k in keys])
 
 
@@ -99,10 +100,10 @@ def kpi_cost_share(erosion: DataFrame) -> DataFrame:
     """One row over ``cost_erosion`` groups: how many, how many over the cost
     limit and their share, how many unprofitable."""
     n = F.count(F.lit(1))
-    high = F.count_if(F.col("cost_flag") == "High Cost Route")
+    high = F.count_if(F.col("cost_flag") == COST_FLAGS[0])
     return erosion.agg(
         n.alias("route_groups"),
         high.alias("high_cost_groups"),
         pct_of(high, n).alias("high_cost_share_pct"),
-        F.count_if(F.col("profitability_flag") == "UNPROFITABLE").alias("unprofitable_groups"),
+        F.count_if(F.col("profitability_flag") == PROFIT_FLAGS[0]).alias("unprofitable_groups"),
     )

@@ -15,6 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightlens.constants import (
+    ANOMALY_DIRECTIONS,
+    ANOMALY_FLAGS,
+    IQR_K_EXTREME,
+    IQR_K_MILD,
+    IQR_QUARTILES,
+    RANGE_JOINER,
+)
 from freightlens.functions.columns import round_half_up
 from freightlens.operators.ranking import exact_quantiles
 
@@ -34,8 +42,8 @@ OUTLIER_COLUMNS = (
 def iqr_bounds(
     df: DataFrame,
     col: str = "delay_days",
-    k_mild: float = 1.5,
-    k_extreme: float = 3.0,
+    k_mild: float = IQR_K_MILD,
+    k_extreme: float = IQR_K_EXTREME,
     method: str = "percentile",
 ) -> DataFrame:
     """One row: Q1, Q3, IQR and the mild and extreme fences (unrounded).
@@ -47,10 +55,11 @@ def iqr_bounds(
     task; use it for continuous measures.
     """
     if method == "distributed":
-        q = exact_quantiles(df, col, {"_q1": 0.25, "_q3": 0.75})
+        q = exact_quantiles(df, col, {"_q1": IQR_QUARTILES[0], "_q3": IQR_QUARTILES[1]})
         q1, q3 = F.col("_q1"), F.col("_q3")
     elif method == "percentile":
-        q = df.agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        probs = F.array(*[F.lit(p) for p in IQR_QUARTILES])
+        q = df.agg(F.percentile(F.col(col), probs).alias("_q"))
         q1, q3 = F.col("_q")[0], F.col("_q")[1]
     else:
         raise ValueError(f"unknown method {method!r}")
@@ -67,7 +76,7 @@ def iqr_bounds(
 
 
 def bound_values(
-    df: DataFrame, col: str = "delay_days", k_mild: float = 1.5, k_extreme: float = 3.0
+    df: DataFrame, col: str = "delay_days", k_mild: float = IQR_K_MILD, k_extreme: float = IQR_K_EXTREME
 ) -> dict[str, Column]:
     """The ``iqr_bounds`` row as scalar-subquery column expressions."""
     b = iqr_bounds(df, col, k_mild, k_extreme)
@@ -82,16 +91,18 @@ def _flagged(df: DataFrame, col: str, k_mild: float, k_extreme: float, only_outl
     # A strict test: a value equal to a fence is not an outlier.
     rows = df.where((v < lo) | (v > hi)) if only_outliers else df
     flag = (
-        F.when((v < bv["lower_bound_extreme"]) | (v > bv["upper_bound_extreme"]), "Extreme")
-        .when((v < lo) | (v > hi), "Outlier")
-        .otherwise("Normal")
+        F.when((v < bv["lower_bound_extreme"]) | (v > bv["upper_bound_extreme"]), ANOMALY_FLAGS[0])
+        .when((v < lo) | (v > hi), ANOMALY_FLAGS[1])
+        .otherwise(ANOMALY_FLAGS[2])
     )
     direction = (
-        F.when(v > hi, "Unusually Late").when(v < lo, "Unusually Early").otherwise("Within Range")
+        F.when(v > hi, ANOMALY_DIRECTIONS[0])
+        .when(v < lo, ANOMALY_DIRECTIONS[1])
+        .otherwise(ANOMALY_DIRECTIONS[2])
     )
     expected_range = F.concat(
         F.coalesce(round_half_up(lo, 0).cast("int").cast("string"), F.lit("")),
-        F.lit(" to "),
+        F.lit(RANGE_JOINER),
         F.coalesce(round_half_up(hi, 0).cast("int").cast("string"), F.lit("")),
     )
     cols = list(OUTLIER_COLUMNS) + ([col] if col not in OUTLIER_COLUMNS else [])
@@ -110,7 +121,7 @@ def _flagged(df: DataFrame, col: str, k_mild: float, k_extreme: float, only_outl
 
 
 def iqr_anomalies(
-    da: DataFrame, col: str = "delay_days", k_mild: float = 1.5, k_extreme: float = 3.0
+    da: DataFrame, col: str = "delay_days", k_mild: float = IQR_K_MILD, k_extreme: float = IQR_K_EXTREME
 ) -> DataFrame:
     """Rows outside the mild fences, with the fences, a flag (Extreme /
     Outlier) and a direction, farthest from the quartile midpoint first."""
@@ -119,13 +130,13 @@ def iqr_anomalies(
 
 
 def iqr_flag_all(
-    da: DataFrame, col: str = "delay_days", k_mild: float = 1.5, k_extreme: float = 3.0
+    da: DataFrame, col: str = "delay_days", k_mild: float = IQR_K_MILD, k_extreme: float = IQR_K_EXTREME
 ) -> DataFrame:
     """Every row with its flag, including Normal / Within Range (unsorted)."""
     return _flagged(da, col, k_mild, k_extreme, only_outliers=False).drop("_distance")
 
 
-def anomaly_share(da: DataFrame, col: str = "delay_days", k_mild: float = 1.5) -> DataFrame:
+def anomaly_share(da: DataFrame, col: str = "delay_days", k_mild: float = IQR_K_MILD) -> DataFrame:
     """One row: outliers, all rows, and the outlier share in percent."""
     bv = bound_values(da, col, k_mild)
     v = F.col(col)

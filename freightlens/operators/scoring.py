@@ -22,6 +22,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightlens.constants import (
+    CANCEL_STATUSES,
+    RECOMMENDATION_LIMITS,
+    RECOMMENDATIONS,
+    RISK_LABELS,
+    RISK_MIN_ORDERS,
+    RISK_TIERS,
+    RISK_WEIGHTS,
+    SCORECARD_LABELS,
+    SCORECARD_MIN_SHIPMENTS,
+    SCORECARD_TIERS,
+    SCORECARD_WEIGHTS,
+)
 from freightlens.functions.columns import exact_mean, exact_stddev_samp, pct_of, round_half_up
 from freightlens.operators.ranking import rank_below
 from freightlens.plans.session import materialise
@@ -116,7 +129,7 @@ def _tier(score: Column, cuts: Sequence[tuple[float, str]], default: str) -> Col
 # route segment scorecard
 # --------------------------------------------------------------------------
 def segment_metrics(
-    da: DataFrame, min_n: int = 50, keys: Sequence[str] = SEGMENT_KEYS
+    da: DataFrame, min_n: int = SCORECARD_MIN_SHIPMENTS, keys: Sequence[str] = SEGMENT_KEYS
 ) -> DataFrame:
     """Per segment: volume, mean delay, late and on-time share (late means
     ``delay_days > 0``), mean cost and profit, revenue. Groups under
@@ -140,9 +153,9 @@ def segment_metrics(
 
 def segment_scorecard(
     da: DataFrame,
-    min_n: int = 50,
-    weights: Sequence[float] = (0.35, 0.25, 0.25, 0.15),
-    tiers: Sequence[float] = (80.0, 60.0),
+    min_n: int = SCORECARD_MIN_SHIPMENTS,
+    weights: Sequence[float] = SCORECARD_WEIGHTS,
+    tiers: Sequence[float] = SCORECARD_TIERS,
     distributed_ranks: bool = False,
 ) -> DataFrame:
     """Reliability score 0-100 per route segment and a tier.
@@ -174,21 +187,16 @@ def segment_scorecard(
         round_half_up("avg_profit", 2).alias("avg_profit"),
         round_half_up("total_revenue", 2).alias("total_revenue"),
         round_half_up(score, 2).alias("reliability_score"),
-        _tier(score, [(tiers[0], "Preferred"), (tiers[1], "Acceptable")], "Under Review").alias(
-            "tier"
-        ),
+        _tier(score, list(zip(tiers, SCORECARD_LABELS)), SCORECARD_LABELS[-1]).alias("tier"),
     ).orderBy(F.col("reliability_score").desc(), F.col("route_segment").asc())
 
 
 # --------------------------------------------------------------------------
 # corridor risk
 # --------------------------------------------------------------------------
-CANCEL_STATUSES = ("CANCELED", "SUSPECTED_FRAUD")
-
-
 def corridor_metrics(
     da: DataFrame,
-    min_n: int = 50,
+    min_n: int = RISK_MIN_ORDERS,
     cancel_statuses: Sequence[str] = CANCEL_STATUSES,
     keys: Sequence[str] = SEGMENT_KEYS,
 ) -> DataFrame:
@@ -216,24 +224,22 @@ def corridor_metrics(
 
 def corridor_risk(
     da: DataFrame,
-    min_n: int = 50,
-    weights: Sequence[float] = (0.30, 0.30, 0.20, 0.20),
-    tiers: Sequence[float] = (70.0, 40.0),
+    min_n: int = RISK_MIN_ORDERS,
+    weights: Sequence[float] = RISK_WEIGHTS,
+    tiers: Sequence[float] = RISK_TIERS,
     cancel_statuses: Sequence[str] = CANCEL_STATUSES,
-    cancel_limit: float = 5.0,
-    discount_limit: float = 15.0,
-    late_limit: float = 60.0,
-    volatility_limit: float = 0.5,
+    limits: Sequence[float] = RECOMMENDATION_LIMITS,
     distributed_ranks: bool = False,
 ) -> DataFrame:
     """Risk score 0-100 per corridor, a tier and one recommendation.
 
     Weights are (cancel/fraud, late, discount, volatility); a missing
-    volatility (one-order group) counts as 0. The recommendation is the first
-    limit exceeded, in the order cancel, discount, late, volatility, tested on
-    unrounded values; otherwise 'Monitor'.
+    volatility (one-order group) counts as 0. ``limits`` are (cancel/fraud %,
+    discount %, late %, volatility). The recommendation is the first limit
+    exceeded, in that order, tested on unrounded values; otherwise 'Monitor'.
     """
     w_cancel, w_late, w_disc, w_vol = weights
+    cancel_limit, discount_limit, late_limit, volatility_limit = limits
     m = corridor_metrics(da, min_n, cancel_statuses)
     vol = F.coalesce(F.col("profit_volatility"), F.lit(0.0))
     ranked = weighted_percent_rank(
@@ -249,11 +255,11 @@ def corridor_risk(
     )
     score = F.col("_score")
     recommendation = (
-        F.when(F.col("cancel_fraud_rate") > F.lit(float(cancel_limit)), "Investigate Fraud Pattern")
-        .when(F.col("avg_discount_pct") > F.lit(float(discount_limit)), "Reduce Discount")
-        .when(F.col("late_delivery_rate") > F.lit(float(late_limit)), "Restrict Shipping Mode")
-        .when(vol > F.lit(float(volatility_limit)), "Stabilise Pricing")
-        .otherwise("Monitor")
+        F.when(F.col("cancel_fraud_rate") > F.lit(float(cancel_limit)), RECOMMENDATIONS[0])
+        .when(F.col("avg_discount_pct") > F.lit(float(discount_limit)), RECOMMENDATIONS[1])
+        .when(F.col("late_delivery_rate") > F.lit(float(late_limit)), RECOMMENDATIONS[2])
+        .when(vol > F.lit(float(volatility_limit)), RECOMMENDATIONS[3])
+        .otherwise(RECOMMENDATIONS[4])
     )
     return ranked.select(
         *SEGMENT_KEYS,
@@ -264,8 +270,6 @@ def corridor_risk(
         round_half_up(vol, 4).alias("profit_volatility"),
         round_half_up("total_revenue", 2).alias("total_revenue"),
         round_half_up(score, 2).alias("risk_score"),
-        _tier(score, [(tiers[0], "High Risk"), (tiers[1], "Moderate Risk")], "Low Risk").alias(
-            "risk_tier"
-        ),
+        _tier(score, list(zip(tiers, RISK_LABELS)), RISK_LABELS[-1]).alias("risk_tier"),
         recommendation.alias("recommendation"),
     ).orderBy(F.col("risk_score").desc(), F.col("route_segment").asc())

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightlens.constants import ROLLING_ROWS
 from freightlens.functions.columns import exact_mean, pct_of, round_half_up
 
 
@@ -27,7 +28,9 @@ def daily_stats(da: DataFrame, group: str = "Shipping_Mode") -> DataFrame:
     )
 
 
-def rolling_trends(da: DataFrame, window: int = 30, group: str = "Shipping_Mode") -> DataFrame:
+def rolling_trends(
+    da: DataFrame, window: int = ROLLING_ROWS, group: str = "Shipping_Mode"
+) -> DataFrame:
     """Rolling means over the last ``window`` rows (active days) per mode.
 
     Each is a mean of daily means, so a day counts once however many orders

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightlens.constants import STATUS_EARLY, STATUS_LATE, STATUS_ON_TIME
 from freightlens.functions.columns import round_half_up
 
 VIEW_NAME = "delivery_analysis"
@@ -27,9 +28,9 @@ def delivery_analysis(shipments: DataFrame) -> DataFrame:
         F.col("Days_for_shipping_real").alias("actual_lead_time_days"),
         F.col("Days_for_shipment_scheduled").alias("scheduled_lead_time_days"),
         "delay_days",
-        F.when(d > 0, F.lit("Late"))
-        .when(d == 0, F.lit("On Time"))
-        .when(d < 0, F.lit("Early"))
+        F.when(d > 0, F.lit(STATUS_LATE))
+        .when(d == 0, F.lit(STATUS_ON_TIME))
+        .when(d < 0, F.lit(STATUS_EARLY))
         .alias("calc_delivery_status"),
         F.col("Delivery_Status").alias("original_delivery_status"),
         "Late_delivery_risk",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freightlens.constants import RAW_ENCODING
 from freightlens.sources.schemas import (
     INVENTORY_SCHEMA,
     RAW_ORDER_LINE_SCHEMA,
@@ -25,7 +26,7 @@ def read_raw_order_lines_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType = RAW_ORDER_LINE_SCHEMA,
-    encoding: str = "ISO-8859-1",
+    encoding: str = RAW_ENCODING,
 ) -> DataFrame:
     """Read the raw export: Latin-1 text, header line, quoted fields.
 

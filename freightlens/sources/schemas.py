@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from freightlens.constants import RAW_DATE_FORMAT  # noqa: F401 (re-exported)
+
 # Raw order-line columns the analysis reads, with the names the source export
 # uses. Money and rates are decimals so sums are exact and order independent.
 RAW_ORDER_LINE_SCHEMA = T.StructType(
@@ -34,7 +36,6 @@ RAW_ORDER_LINE_SCHEMA = T.StructType(
     ]
 )
 
-RAW_DATE_FORMAT = "M/d/yyyy H:mm"
 
 # Inventory snapshot, one row per product.
 INVENTORY_SCHEMA = T.StructType(
