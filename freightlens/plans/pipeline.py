@@ -66,7 +66,7 @@ def raw_lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_dates(raw_order_lines(spark, sf_dir))
 
 
-def first_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_order_lines(spark: SparkSession, sf_dir: str, require_part: bool = True) -> DataFrame:
     """The raw lines that survive "first line per order", in raw layout.
 
     Same rows as ``dedup_first(raw_order_lines(...), ["Order Id"],
@@ -80,13 +80,14 @@ def first_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     no part names. The joins and the raw-layout expressions run on one row
     per order instead of one per line.
     """
-    first = dedup_first(lineitem_lines(spark, sf_dir), ["l_orderkey"], LINE_ORDER)
+    lines = lineitem_lines(spark, sf_dir, require_part)
+    first = dedup_first(lines, ["l_orderkey"], LINE_ORDER)
     return to_raw_layout(first, order_side(spark, sf_dir), part_side(spark, sf_dir))
 
 
-def shipments_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipments_lazy(spark: SparkSession, sf_dir: str, require_part: bool = True) -> DataFrame:
     """Cleaned shipments as one lazy plan from the test tables."""
-    return clean_features(first_order_lines(spark, sf_dir).drop(LINE_SORT_KEY))
+    return clean_features(first_order_lines(spark, sf_dir, require_part).drop(LINE_SORT_KEY))
 
 
 def shipments(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
