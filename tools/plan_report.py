@@ -109,6 +109,29 @@ def main(argv: list[str]) -> int:
             if p != "[]":
                 lines.append(f"- pushed filters `{p}`")
         lines += ["", "```"] + tree + ["```", ""]
+    # The build as it plans when no dimension fits the broadcast threshold
+    # (the shape at large scale).
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    text = _formatted(pipeline.shipments_lazy(spark, sf))
+    tree = _tree(text)
+    exchanges = [t.strip() for t in re.findall(r"^\(\d+\) Exchange\n.*?Arguments: ([^\n]*)", text, re.M | re.S)]
+    lines += [
+        "## shipments (build) with broadcasts disabled",
+        "",
+        "The same plan with `autoBroadcastJoinThreshold=-1`, i.e. the shape when",
+        "no dimension is small enough to broadcast. Shuffles:",
+        "",
+    ]
+    seen: list[str] = []
+    for e in exchanges:
+        e = re.sub(r"#\d+L?", "", e.split(", ENSURE")[0])
+        if e not in seen:
+            seen.append(e)
+    lines += [f"- `{e}`" for e in seen]
+    lines += ["", "```"] + tree + ["```", ""]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     with open(target, "w") as fh:
         fh.write("\n".join(lines))
     print(f"wrote {target}")
