@@ -179,3 +179,18 @@ def test_parse_dates_ignores_session_time_zone(spark):
             assert got == [dt.datetime(2018, 3, 11, 2, 30), dt.datetime(2018, 10, 28, 2, 30)], tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_dedup_hot_key_across_partitions(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(1, rng.randint(0, 10**6), f"h{i}") for i in range(3000)]  # one hot order
+    rows += [(k, rng.randint(0, 100), f"o{k}-{j}") for k in range(2, 200) for j in range(3)]
+    df = spark.createDataFrame(rows, "id long, pos int, v string").repartition(8)
+    got = {r["id"]: (r["pos"], r["v"]) for r in clean.dedup_first(df, ["id"], ["pos"]).collect()}
+    expected: dict[int, tuple[int, str]] = {}
+    for k, p, v in rows:
+        if k not in expected or (p, v) < expected[k]:
+            expected[k] = (p, v)
+    assert got == expected
