@@ -7,6 +7,7 @@ the values the original analysis used.
 
 Layout:
 
+* ``constants`` the fixed labels, thresholds, weights and formats
 * ``sources``   readers: raw order-line CSV, fixed-schema snapshots, and the
                 adapter that maps the TPC-H style test tables to raw order lines
 * ``functions`` column-expression helpers (rounding, ratios, exact moments)
