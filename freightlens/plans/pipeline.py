@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 from freightlens.operators.clean import clean_features, dedup_first, parse_dates
 from freightlens.operators.inventory import inventory_build
 from freightlens.operators.views import delivery_analysis
-from freightlens.plans.session import materialise, materialise_path  # noqa: F401
+from freightlens.plans.session import (  # noqa: F401
+    application_id,
+    materialise,
+    materialise_path,
+)
 from freightlens.sources.tpch import (
     LINE_ORDER,
     LINE_SORT_KEY,
@@ -42,7 +46,7 @@ def _cached_table(
     If the files were removed meanwhile, reading fails with PATH_NOT_FOUND
     and the table is rebuilt.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (application_id(spark), sf_dir.rstrip("/"), name)
     with _lock:
         path = None if refresh else _materialised.get(key)
         if path is not None:
