@@ -5,6 +5,9 @@ shuffle exchanges and broadcasts, and what each Parquet scan reads
 (``ReadSchema``) and pushes down (``PushedFilters``).
 
     python tools/plan_report.py [/root/testdata/sf0.01] [PLANS.md]
+
+A development tool for the small test tables: AQE only finalises the plan of
+the DataFrame that is executed, so each query is run with ``collect()``.
 """
 
 from __future__ import annotations
