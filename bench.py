@@ -49,7 +49,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "5"))
-    from freightlens.plans import pipeline
+    from freightlens.plans import tables
     from freightlens.plans.catalog import QUERIES
     from freightlens.plans.session import build_session
 
@@ -77,11 +77,11 @@ def main() -> None:
 
     # Cleaning as one plan from the test tables (joins, first line per order,
     # feature columns), then the one-time write of the shared table.
-    _run(pipeline.shipments_lazy(spark, sf_dir))  # warm-up
+    _run(tables.shipments_lazy(spark, sf_dir))  # warm-up
     builds = []
     for _ in range(runs):
         t0 = time.perf_counter()
-        pipeline.shipments(spark, sf_dir, refresh=True)
+        tables.shipments(spark, sf_dir, refresh=True)
         builds.append(time.perf_counter() - t0)
     times["shipments_build"] = round(statistics.median(builds), 3)
 

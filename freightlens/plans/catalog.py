@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freightlens.operators import clean, inventory as inv, margins, outliers, scoring, trends, views
-from freightlens.plans import pipeline as P
+from freightlens.plans import tables as P
 from freightlens.sources.tpch import LINE_SORT_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]

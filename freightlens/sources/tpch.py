@@ -14,9 +14,9 @@ broadcasts a side only when its measured size is under
 AQE splitting skewed partitions. No broadcast is forced.
 
 The pieces (``lineitem_lines``, ``order_side``, ``part_side``,
-``to_raw_layout``) are exposed separately so the pipeline can keep the first
+``to_raw_layout``) are exposed separately so the test-table plan can keep the first
 line per order on narrow lineitem rows, before the part and order joins (see
-``plans.pipeline.first_order_lines``).
+``plans.tables.first_order_lines``).
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import io
 import re
 
 from freightlens.operators import clean, outliers, scoring
-from freightlens.plans import pipeline as P
+from freightlens.plans import tables as P
 from freightlens.sources import tpch
 from tests.conftest import SF_SMALL
 

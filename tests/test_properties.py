@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freightlens.operators import margins, outliers, scoring
-from freightlens.plans import pipeline as P
+from freightlens.plans import tables as P
 from tests.conftest import SF_SMALL
 
 
@@ -73,15 +73,15 @@ def test_line_side_dedup_equals_dedup_of_raw_lines(spark):
 def test_materialised_table_is_rebuilt_when_files_vanish(spark, tmp_dir):
     import os
 
-    from freightlens.plans import pipeline
+    from freightlens.plans import tables
 
-    n = pipeline.inventory(spark, SF_SMALL).count()
+    n = tables.inventory(spark, SF_SMALL).count()
     key = (spark.sparkContext.applicationId, SF_SMALL, "inventory")
     missing = os.path.join(tmp_dir, "never-written")
-    pipeline._materialised[key] = missing  # as if the files had been removed
-    again = pipeline.inventory(spark, SF_SMALL)
+    tables._materialised[key] = missing  # as if the files had been removed
+    again = tables.inventory(spark, SF_SMALL)
     assert again.count() == n
-    assert pipeline._materialised[key] != missing
+    assert tables._materialised[key] != missing
 
 
 def test_part_check_removes_nothing_on_tpch(spark):

@@ -127,7 +127,7 @@ def test_distributed_ranks_equal_window_ranks(spark):
 
 
 def test_scorecard_distributed_matches(spark):
-    from freightlens.plans import pipeline as P
+    from freightlens.plans import tables as P
     from tests.conftest import SF_SMALL
 
     da = P.view(spark, SF_SMALL)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from freightlens.operators.views import publish_view
-from freightlens.plans import pipeline as P
+from freightlens.plans import tables as P
 from tests.conftest import SF_SMALL
 
 

@@ -87,9 +87,9 @@ def main(argv: list[str]) -> int:
         "`shipments (build)`. Expression details are trimmed.",
         "",
     ]
-    from freightlens.plans import pipeline
+    from freightlens.plans import tables
 
-    plans = {"shipments (build)": pipeline.shipments_lazy(spark, sf)}
+    plans = {"shipments (build)": tables.shipments_lazy(spark, sf)}
     plans.update({q: QUERIES[q](spark, sf) for q in HEADLINE if q != "shipments"})
     for name, df in plans.items():
         text = _formatted(df)
@@ -116,7 +116,7 @@ def main(argv: list[str]) -> int:
     # (the shape at large scale).
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    text = _formatted(pipeline.shipments_lazy(spark, sf))
+    text = _formatted(tables.shipments_lazy(spark, sf))
     tree = _tree(text)
     exchanges = [t.strip() for t in re.findall(r"^\(\d+\) Exchange\n.*?Arguments: ([^\n]*)", text, re.M | re.S)]
     lines += [
