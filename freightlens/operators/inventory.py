@@ -226,13 +226,22 @@ def rolling_demand(da: DataFrame, window: int = ROLLING_ROWS) -> DataFrame:
 
 
 def latest_rolling(da: DataFrame, window: int = ROLLING_ROWS) -> DataFrame:
-    """The rolling mean on each product's latest day (a NULL day sorts last)."""
+    """The rolling mean on each product's latest day (a NULL day sorts last).
+
+    That is the mean of the product's last ``window`` rows by day: the frame
+    ``ROWS window-1 PRECEDING`` of the latest row. So it is computed as
+    ``row_number <= window`` (which Spark turns into a group limit applied
+    before the shuffle) and one aggregate, instead of a sliding mean for every
+    day. The result equals taking ``rolling_demand`` at its latest row; the
+    oracle computes it that way.
+    """
     w = Window.partitionBy("Product_Card_Id").orderBy(F.col("order_day").desc_nulls_last())
     return (
-        rolling_demand(da, window)
-        .withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") == 1)
-        .select("Product_Card_Id", "rolling_avg_demand_30d")
+        daily_demand(da)
+        .withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") <= F.lit(window))
+        .groupBy("Product_Card_Id")
+        .agg(F.avg(F.col("daily_qty").cast("double")).alias("rolling_avg_demand_30d"))
     )
 
 
