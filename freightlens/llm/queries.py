@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightlens.llm import line_dedup, mixing, quality
+from freightlens.llm import line_dedup, minhash, mixing, quality
 from freightlens.llm.oracle import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,16 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+    return near.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        (F.col("id") == F.col("component_id")).alias("kept"),
+    )
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -60,6 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_source_mix": op2_source_mix,
+    "op3_minhash": op3_minhash,
     "op7_line_quality": op7_line_quality,
     "op10_line_dedup": op10_line_dedup,
 }
