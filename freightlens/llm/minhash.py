@@ -11,9 +11,12 @@ represented by the one with the least id. Then:
    values are. Only those are listed, which keeps passages that very many
    documents share out of the lists without dropping any candidate.
 2. Overlaps. Each list first links its members to one leader; members that the
-   verified links already connect need no pair of their own. Lists that still
-   hold several components choose other leaders, and what is left at last is
-   paired in full across components, under the size filter.
+   verified links already connect need no pair of their own. The documents of
+   lists that still hold several components are listed once more, now under the
+   rarest values of their whole sets. There the required overlap is exact, not
+   estimated, and far fewer values do. Those lists choose leaders again, and
+   what is left at last is paired in full across components, under the size
+   filter.
 3. A candidate whose sketches, merged to the sketch of the union, estimate a
    similarity well below the threshold is dropped; the others are verified on
    their full sets.
@@ -40,10 +43,8 @@ from freightlens.llm.shingles import shingle_sets
 from freightlens.plans.session import materialise
 
 SKETCH = 64
-INDEXED = 32
+INDEXED = 48
 MISS = 1e-6  # chance to lose a pair at the threshold, for each filter
-LEADER_ROUNDS = 4
-PAIRS_PER_ROW = 4  # lists are paired in full once that makes so few pairs
 
 
 def least_overlap(k: int, share: float) -> int:
@@ -138,28 +139,46 @@ class _Verifier:
         return materialise(spark, exact.where(linked).select("a", "b"), "near-links")
 
 
-def _inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """``(v, id, n)``: each class under its rarest indexed values."""
-    spark = classes.sparkSession
-    indexed = F.slice("sketch", 1, INDEXED)
-    postings = classes.select(
-        "id", "n", F.size(indexed).alias("m"), F.explode(indexed).alias("v")
-    )
+def _listed(postings: DataFrame, needed: Column) -> DataFrame:
+    """``(v, id, n, left)`` of ``postings`` (``id, n, m, v``: one of ``m``
+    values): each id under the rarest of its values, so many that two ids with
+    ``needed`` values in common meet. ``left`` counts the values from this one
+    to the commonest: no more can be shared with an id met here first."""
+    spark = postings.sparkSession
     df = postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = materialise(spark, df, "shared-values")
-    needed = F.least(
-        F.lit(least_overlap(INDEXED, percent / 100)), F.ceil(F.col("m") * percent / 100)
-    )
     listed = (
         postings.join(shared, "v")
         .groupBy("id", "n", "m")
         .agg(F.sort_array(F.collect_set(F.struct("df", "v"))).alias("by_df"))
     )
-    # Values of one class alone are the rarest: they come first and list nothing.
+    # Values of one id alone are the rarest: they come first and list nothing.
     alone = F.col("m") - F.size("by_df")
     take = F.greatest(F.lit(0), F.col("m") - needed + 1 - alone).cast("int")
-    listed = listed.select("id", "n", F.explode(F.slice("by_df", F.lit(1), take)).alias("x"))
-    return listed.select(F.col("x.v").alias("v"), "id", "n")
+    listed = listed.select(
+        "id",
+        "n",
+        F.size("by_df").alias("shared"),
+        F.posexplode(F.slice("by_df", F.lit(1), take)).alias("at", "x"),
+    )
+    return listed.select(
+        F.col("x.v").alias("v"), "id", "n", (F.col("shared") - F.col("at")).alias("left")
+    )
+
+
+def _lists_of_sketches(classes: DataFrame, percent: int) -> DataFrame:
+    indexed = F.slice("sketch", 1, INDEXED)
+    postings = classes.select("id", "n", F.size(indexed).alias("m"), F.explode(indexed).alias("v"))
+    needed = F.least(
+        F.lit(least_overlap(INDEXED, percent / 100)), F.ceil(F.col("m") * percent / 100)
+    )
+    return _listed(postings, needed)
+
+
+def _lists_of_sets(sets: DataFrame, percent: int) -> DataFrame:
+    size = F.size("full")
+    postings = sets.select("id", size.alias("n"), size.alias("m"), F.explode("full").alias("v"))
+    return _listed(postings, F.ceil(F.col("m") * percent / 100))
 
 
 def near_duplicates(
@@ -183,7 +202,7 @@ def near_duplicates(
     marked = same.withColumnRenamed("rep", "id")
     classes = usable.join(marked, ["id", "s1", "s2", "n"], "left_semi")
 
-    lists = materialise(spark, _inverted_lists(classes, percent), "inverted-lists")
+    lists = materialise(spark, _lists_of_sketches(classes, percent), "inverted-lists")
     listed = lists.select("id").distinct()
     sketches = materialise(
         spark, classes.join(listed, "id", "left_semi").select("id", "sketch"), "listed-sketches"
@@ -195,23 +214,16 @@ def near_duplicates(
     own = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
     tied = members.join(own.where("a < z").select("id", "a"), "id").where("a <> rep")
     links = materialise(spark, tied.select("a", F.col("rep").alias("b")), "tied-classes")
-    labels = None
-    for turn in range(LEADER_ROUNDS + 1):
-        open_lists = _open_lists(lists, labels)
-        n_rows, n_pairs = open_lists.agg(
-            F.count(F.lit(1)), F.sum("across") / 2
-        ).first()
-        if not n_rows:
-            break
-        last = n_pairs <= PAIRS_PER_ROW * n_rows or turn == LEADER_ROUNDS
-        pairs = _pairs_across(open_lists, percent) if last else _leader_pairs(open_lists, turn, percent)
-        found = verify(pairs)
-        links = links.unionByName(found)
-        labels = materialise(spark, connected_components(links), "near-components")
-        if last:
-            break
-    if labels is None:
-        labels = connected_components(links)
+    found = verify(_leader_pairs(_open_lists(lists, None), percent))
+    links = links.unionByName(found)
+    labels = materialise(spark, connected_components(links), "near-components")
+    unsettled = _open_lists(lists, labels).select("id").distinct()
+    unsettled = materialise(spark, unsettled, "unsettled")
+    lists = _lists_of_sets(sets.join(unsettled, "id", "left_semi"), percent)
+    lists = materialise(spark, lists, "inverted-lists")
+    found = verify(_pairs_across(_open_lists(lists, labels), percent))
+    links = links.unionByName(found)
+    labels = materialise(spark, connected_components(links), "near-components")
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
@@ -222,45 +234,53 @@ def near_duplicates(
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """List rows ``(v, id, n, c, across)`` of the lists that hold more than one
-    component; ``across`` is how many members of the list lie in others."""
+    """List rows ``(v, id, n, left, c)`` of the lists that hold more than one
+    component."""
     spark = lists.sparkSession
     if labels is None:
         rows = lists.withColumn("c", F.col("id"))
     else:
         rows = lists.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        rows = rows.select("v", "id", "n", F.coalesce("component", "id").alias("c"))
+        rows = rows.select("v", "id", "n", "left", F.coalesce("component", "id").alias("c"))
     rows = materialise(spark, rows, "list-rows")
-    parts = rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("own"))
-    wholes = parts.groupBy("v").agg(
-        F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("squares"),
-        F.count(F.lit(1)).alias("n_parts"),
-    )
-    wholes = materialise(spark, wholes.where("n_parts > 1"), "open-lists")
-    across = (F.col("all") * F.col("all") - F.col("squares")) / F.col("all")
-    return rows.join(wholes, "v").select("v", "id", "n", "c", across.alias("across"))
-
-
-def _leader_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    spark = rows.sparkSession
-    rows = materialise(spark, rows, "open-rows")
-    first = F.xxhash64(F.lit(turn), F.col("id")) if turn else F.col("id")
-    leaders = rows.groupBy("v").agg(F.min(F.struct(first.alias("o"), "id", "n", "c")).alias("x"))
+    several = rows.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y"))
+    several = materialise(spark, several.where("x < y").select("v"), "open-lists")
+    return rows.join(several, "v")
+
+
+def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each row with one leader of its list, if that is in another component."""
+    rows = materialise(rows.sparkSession, rows, "open-rows")
+    leaders = rows.groupBy("v").agg(F.min(F.struct("id", "n", "c")).alias("x"))
     leaders = leaders.select(
         "v", F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.c").alias("lead_c")
     )
-    leaders = materialise(spark, leaders, "list-leaders")
+    leaders = materialise(rows.sparkSession, leaders, "list-leaders")
     met = rows.join(leaders, "v").where(F.col("c") != F.col("lead_c"))
     met = met.where(_similar_sizes(F.col("n"), F.col("lead_n"), percent))
     return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
 
 
 def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list across components that can still be linked: with
+    sizes n and m in common, a link needs p/(100+p) of n + m in common."""
     rows = materialise(rows.sparkSession, rows, "open-rows")
-    x = rows.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = rows.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    met = x.join(y, "v").where("a < b and ca <> cb")
-    return met.where(_similar_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    x = rows.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
+    x = x.select("v", "id", "n", "c", "left")
+    y = rows.select(
+        "v",
+        F.col("id").alias("other"),
+        F.col("n").alias("other_n"),
+        F.col("c").alias("other_c"),
+        F.col("left").alias("other_left"),
+    )
+    met = x.join(y, "v").where("c <> other_c and (n < other_n or n = other_n and id <> other)")
+    met = met.where(
+        (100 + percent) * F.least("left", "other_left")
+        >= percent * (F.col("n") + F.col("other_n"))
+    )
+    met = met.where(100 * F.col("n") >= percent * F.col("other_n"))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
