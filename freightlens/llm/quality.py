@@ -169,3 +169,16 @@ def judged(base: DataFrame, *carried: str) -> DataFrame:
         (~base_failed & enough_left).alias("kept"),
         F.col("l.lost.cleaned").alias("cleaned_text"),
     )
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that pass, without their failing lines, in the columns of
+    ``docs``; a column ``n_chars`` gets the new length."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row)
+    passed = judged(base, "row").where("kept")
+    values = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    values[text_col] = F.col("cleaned_text")
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.length("cleaned_text").cast(docs.schema["n_chars"].dataType)
+    return passed.select(*[values[c].alias(c) for c in docs.columns])
