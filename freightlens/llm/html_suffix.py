@@ -120,7 +120,6 @@ def page_blocks(page: str) -> tuple[list[str], list[str]]:
         if m[2]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
-                    close_block()
                     del open_tags[k:]
                     break
                 if tag in INLINE and open_tags[k][0] not in INLINE:
@@ -242,18 +241,30 @@ def _boilerplate(candidates: DataFrame) -> DataFrame:
 
 
 def _unique_text(blocks: list[str], starts: set[int]) -> str:
-    """``blocks`` without the tokens covered by the runs at ``starts``."""
+    """``blocks`` without the tokens covered by the runs at ``starts``. Blocks
+    covered in full go; in others only stretches of ``RUN`` tokens or more, so
+    a run that ends some words into a block takes nothing from it."""
     kept, at, covered = [], 0, 0  # covered: up to this token
     for block in blocks:
-        words = []
+        words, stretch, gone = [], [], 0
         for word in block.split(" "):
             if at in starts:
                 covered = at + RUN
-            if at >= covered:
+            if at < covered:
+                stretch.append(word)
+            else:
+                if len(stretch) < RUN:
+                    words += stretch
+                else:
+                    gone += len(stretch)
+                stretch = []
                 words.append(word)
             at += 1
-        if words:
-            kept.append(" ".join(words))
+        if words or gone:
+            if len(stretch) < RUN:
+                words += stretch
+            if words:
+                kept.append(" ".join(words))
     return "\n".join(kept)
 
 

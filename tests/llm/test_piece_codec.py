@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from freightlens.llm import piece_codec, queries
+from tests.conftest import SF_SMALL
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+
+
+@pytest.fixture(scope="module")
+def own():
+    return piece_codec.codec(queries.PIECE_MODEL)
+
+
+def agree(own, model, text):
+    ids = model.encode(text)
+    got, shown = own.encode_with_text(text)
+    assert got == ids and shown == ",".join(map(str, ids)), text
+    assert own.decode(got) == model.decode(ids)
+
+
+def test_odd_texts(own, model):
+    for text in [
+        "", " ", "  ", " " * 37, "a", " a", "a ", "\n", "\n\n  x\t y", "▁", "▁▁ ▁", "<s>", "</s> <unk>", "<0x41>",
+        "日本語 テスト", "ﬁ ㎏ ①", "\x00\x01", "é", "🙂🙃 👩‍👩‍👧", "http://a.b/c?d=e&f=g", "﻿x", "  ", "ÀÉÎõü" * 9,
+    ]:
+        agree(own, model, text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text(own, model, text):
+    agree(own, model, text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=" abcdehilnorst.▁\n", max_size=80))
+def test_wordlike_text(own, model, text):
+    agree(own, model, text)
+
+
+def test_long_cuts(own, model):
+    rng = random.Random(2)
+    agree(own, model, "".join(rng.choice("abcdefghij") for _ in range(5000)))
+    agree(own, model, "ab" * 3000 + " " * 500 + "tail")
+
+
+def test_pieces_of_concatenations(own, model):
+    rng = random.Random(5)
+    names = [p for p in own.ids if len(p) > 1 and "▁" not in p]
+    for _ in range(800):
+        agree(own, model, "".join(rng.choice(names) for _ in range(rng.randint(1, 6))))
+
+
+def test_small_memo(own, model):
+    old, piece_codec.MEMO = piece_codec.MEMO, 3
+    try:
+        agree(own, model, "several words that do not fit into the memo at once, several words")
+    finally:
+        piece_codec.MEMO = old
+
+
+def test_query_on_the_table(spark, model):
+    docs = queries.table(spark, SF_SMALL, "documents").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.op9_piece_codec(spark, SF_SMALL).collect()}
+    assert len(got) == len(docs)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for d in docs:
+        ids = model.encode(d.text or "")
+        r = got[d.doc_id]
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == sha(",".join(map(str, ids)))
+        assert r.decoded_sha256 == sha(model.decode(ids))
+
+
+def test_nulls_repeats_and_empty_table(spark):
+    rows = [(1, None, 5), (2, "", 5), (3, "two words", 5), (3, "two words", 5), (None, "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    out = piece_codec.encode_documents(docs, queries.PIECE_MODEL).collect()
+    assert len(out) == 5
+    assert [r.n_tokens for r in out if r.id in (1, 2)] == [0, 0]
+    assert {tuple(r.ids) for r in out if r.id == 3} == {tuple(piece_codec.codec(queries.PIECE_MODEL).encode("two words"))}
+    assert piece_codec.encode_documents(docs.limit(0), queries.PIECE_MODEL).collect() == []
