@@ -112,10 +112,10 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
 
 def main(argv: list[str]) -> int:
     from freightlens.plans.session import build_session
-    from __spark_entry__ import queries
+    from __spark_entry__ import oracle_sql
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    names = argv[2:] or list(queries())
+    names = argv[2:] or list(oracle_sql())
     spark = build_session("local[8]", shuffle_partitions=8)
     con = duck_connection(sf_dir)
     bad = 0
