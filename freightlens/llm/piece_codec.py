@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a space inside pieces
-MEMO = 1 << 18  # cuts and pairs remembered per worker, each
+MEMO = 1 << 19  # cuts and pairs remembered per worker, each
 
 
 class PieceCodec:
