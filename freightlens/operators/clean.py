@@ -239,7 +239,13 @@ def negative_profit_share(df: DataFrame, profit: str = "Order Profit Per Order")
 # 6. names
 # --------------------------------------------------------------------------
 def sql_friendly_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[sql_friendly_name(c) for c in df.columns])
+    """Export names for all columns; two columns with one name are an error."""
+    names = [sql_friendly_name(c) for c in df.columns]
+    lower = [n.lower() for n in names]
+    clashes = sorted({n for n in names if lower.count(n.lower()) > 1})
+    if clashes:
+        raise ValueError(f"several columns would be exported as {', '.join(clashes)}")
+    return df.toDF(*names)
 
 
 # --------------------------------------------------------------------------

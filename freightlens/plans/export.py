@@ -4,22 +4,33 @@ Reads the raw order-line export and writes:
 
 * ``shipments``, the cleaned table (one row per order);
 * ``inventory``, one row per product with demand, quartile and stock band;
-* ``route_segment_lookup``, one row per route segment.
+* ``route_segment_lookup``, one row per route segment;
+* ``rejected_lines`` where the export has lines that cannot be read.
 
-The shipments are written first and read back, so the other two outputs
-start from files, not from the de-duplication's lineage. A lost executor
-then re-reads Parquet instead of re-running the cleaning.
+The shipments are written first, with the position of their line, to the
+shared folder, and all outputs start from those files, not from the
+de-duplication's lineage. A lost executor then re-reads Parquet instead of
+re-running the cleaning. All columns of the export are kept; the line position
+decides a product's first category and is left out of the output.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from freightlens.operators.clean import clean_shipments
 from freightlens.operators.inventory import inventory_build
 from freightlens.operators.margins import route_lookup
 from freightlens.operators.sinks import write_csv_quoted, write_parquet
-from freightlens.sources.files import FILE_ORDER_KEY, read_raw_order_lines_csv
+from freightlens.plans.session import materialise
+from freightlens.sources.files import (
+    FILE_ORDER_KEY,
+    REJECT_REASON,
+    REJECTED_LINE,
+    raw_order_lines_checked,
+    read_raw_rejects_csv,
+)
 
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:
@@ -38,12 +49,15 @@ def run_cleaning_job(
     days_of_stock: Column | DataFrame,
     fmt: str = "parquet",
     encoding: str = "ISO-8859-1",
+    multi_line: bool = False,
 ) -> dict[str, str]:
     """Clean ``raw_path`` and write the three tables under ``out_dir``.
 
     ``days_of_stock`` is the stock input per product (a column over
     ``product_id`` or a ``(product_id, days_of_stock)`` frame). Output is
-    Parquet by default, or quoted CSV with ``fmt="csv"``. Returns the paths.
+    Parquet by default, or quoted CSV with ``fmt="csv"``. Returns the paths;
+    ``rejected_lines`` is among them only if there are such lines (they are
+    counted while the shipments are written).
     """
     out = out_dir.rstrip("/")
     paths = {
@@ -51,13 +65,21 @@ def run_cleaning_job(
         "inventory": f"{out}/inventory",
         "route_segment_lookup": f"{out}/route_segment_lookup",
     }
-    raw = read_raw_order_lines_csv(spark, raw_path, encoding=encoding)
-    ships = clean_shipments(raw, order_by=[FILE_ORDER_KEY], drop=[FILE_ORDER_KEY])
-    write_parquet(ships, paths["shipments"])
-    ships = spark.read.parquet(paths["shipments"])
-    if fmt != "parquet":
-        _write(ships, f"{out}/shipments_{fmt}", fmt)
-        paths["shipments"] = f"{out}/shipments_{fmt}"
-    _write(inventory_build(ships, days_of_stock), paths["inventory"], fmt)
+    options = {"encoding": encoding, "multi_line": multi_line}
+    rejected = Observation("rejected_lines")
+    raw = (
+        raw_order_lines_checked(spark, raw_path, **options)
+        .observe(rejected, F.count_if(F.col(REJECT_REASON).isNotNull()).alias("n"))
+        .where(F.col(REJECT_REASON).isNull())
+        .drop(REJECT_REASON, REJECTED_LINE)
+    )
+    ships = materialise(spark, clean_shipments(raw, order_by=[FILE_ORDER_KEY]), "shipments")
+    if rejected.get["n"]:
+        paths["rejected_lines"] = f"{out}/rejected_lines"
+        write_parquet(read_raw_rejects_csv(spark, raw_path, **options), paths["rejected_lines"])
+    _write(ships.drop(FILE_ORDER_KEY), paths["shipments"], fmt)
+    _write(
+        inventory_build(ships, days_of_stock, order_key=FILE_ORDER_KEY), paths["inventory"], fmt
+    )
     _write(route_lookup(ships), paths["route_segment_lookup"], fmt)
     return paths

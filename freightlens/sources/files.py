@@ -1,4 +1,4 @@
-"""File readers with fixed schemas.
+"""File readers with fixed schemas; the raw export is read by header name.
 
 A missing path is an error: Spark raises ``PATH_NOT_FOUND`` from the reader,
 which is the behaviour wanted, so no existence check is added here.
@@ -6,7 +6,7 @@ which is the behaviour wanted, so no existence check is added here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,36 +22,112 @@ from freightlens.sources.schemas import (
 FILE_ORDER_KEY = "file_order_key"
 
 
-def read_raw_order_lines_csv(
+# Why a line was not read; NULL on good lines.
+REJECT_REASON = "reject_reason"
+_BROKEN_LINE = "_broken_line"
+REJECTED_LINE = "rejected_line"
+
+
+def _as_number(text: Column, dtype: T.DataType) -> Column:
+    """Text as ``dtype``; NULL where it is no such number or would lose digits."""
+    value = text.try_cast(dtype)
+    if not isinstance(dtype, T.DecimalType):
+        return value
+    exact = text.try_cast("decimal(38,18)")
+    return F.when(value == exact, value)
+
+
+def raw_order_lines_checked(
     spark: SparkSession,
     path: str,
     schema: T.StructType = RAW_ORDER_LINE_SCHEMA,
     encoding: str = RAW_ENCODING,
+    multi_line: bool = False,
+    key: str = "Order Id",
 ) -> DataFrame:
-    """Read the raw export: Latin-1 text, header line, quoted fields.
+    """Every line of the raw export: Latin-1 text, header line, quoted fields.
+
+    Columns are found by their header names, in any order; a column of
+    ``schema`` that the header lacks is an error naming it, and files whose
+    headers differ are an error. All other columns are kept as text. Numbers
+    are read as text and cast, so no digit is rounded away.
 
     Adds ``file_order_key`` = (file path, byte offset of the split, position in
-    the split), which is the order the lines appear in the files.
-    ``monotonically_increasing_id`` is stable here because it is taken
-    directly on the scan, before any exchange.
+    the split), the order of the lines in the files
+    (``monotonically_increasing_id`` is stable here because it is taken
+    directly on the scan, before any exchange), and ``reject_reason``: NULL on
+    good lines, else ``broken line`` (more or fewer fields than the header) or
+    the names of the columns that do not hold their type. A line without a
+    key is rejected as well. ``multi_line`` reads line breaks inside quoted
+    fields, at the cost of one task per file; without it such lines are broken
+    lines.
     """
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
+    reader = (
+        spark.read.option("header", True)
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
+    )
+    header = reader.option("inferSchema", False).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"the raw export has no column {', '.join(missing)}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _BROKEN_LINE]])
+    lines = (
+        reader.schema(text)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _BROKEN_LINE)
+        .option("columnPruning", False)
+        .option("enforceSchema", False)
         .csv(path)
+        .withColumn(
+            FILE_ORDER_KEY,
+            F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("pos"),
+            ),
+        )
+    )
+    types = {f.name: f.dataType for f in schema.fields}
+
+    def typed(c: str) -> Column:
+        raw = F.col(f"`{c}`")
+        wanted = types.get(c, T.StringType())
+        return raw if isinstance(wanted, T.StringType) else _as_number(raw, wanted)
+
+    unread = [
+        F.when(F.col(f"`{c}`").isNotNull() & typed(c).isNull(), F.lit(c))
+        for c, t in types.items()
+        if not isinstance(t, T.StringType)
+    ]
+    unread.append(F.when(F.col(f"`{key}`").isNull(), F.lit(key)))
+    reason = F.when(F.col(_BROKEN_LINE).isNotNull(), F.lit("broken line")).otherwise(
+        F.nullif(F.concat_ws(", ", *unread), F.lit(""))
     )
-    return df.withColumn(
+    return lines.select(
+        *[typed(c).alias(c) for c in header],
         FILE_ORDER_KEY,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-        ),
+        reason.alias(REJECT_REASON),
+        F.coalesce(
+            F.col(_BROKEN_LINE), F.when(reason.isNotNull(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in header])))
+        ).alias(REJECTED_LINE),
+    )
+
+
+def read_raw_order_lines_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The good lines of the raw export (see ``raw_order_lines_checked``)."""
+    lines = raw_order_lines_checked(spark, path, **options)
+    return lines.where(F.col(REJECT_REASON).isNull()).drop(REJECT_REASON, REJECTED_LINE)
+
+
+def read_raw_rejects_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The other lines: position, reason, and the line itself (as JSON where it
+    could be split into fields)."""
+    lines = raw_order_lines_checked(spark, path, **options)
+    return lines.where(F.col(REJECT_REASON).isNotNull()).select(
+        FILE_ORDER_KEY, REJECT_REASON, REJECTED_LINE
     )
 
 

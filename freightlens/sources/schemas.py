@@ -7,7 +7,11 @@ from pyspark.sql import types as T
 from freightlens.constants import RAW_DATE_FORMAT  # noqa: F401 (re-exported)
 
 # Raw order-line columns the analysis reads, with the names the source export
-# uses. Money and rates are decimals so sums are exact and order independent.
+# uses. Money and rates are decimals so sums are exact and order independent;
+# the export prints up to nine significant digits of single-precision values,
+# so they have twelve fraction digits.
+MONEY = T.DecimalType(24, 12)
+RATE = T.DecimalType(18, 12)
 RAW_ORDER_LINE_SCHEMA = T.StructType(
     [
         T.StructField("Order Id", T.LongType()),
@@ -20,15 +24,15 @@ RAW_ORDER_LINE_SCHEMA = T.StructType(
         T.StructField("Shipping Mode", T.StringType()),
         T.StructField("Market", T.StringType()),
         T.StructField("Order Region", T.StringType()),
-        T.StructField("Sales", T.DecimalType(12, 2)),
-        T.StructField("Order Profit Per Order", T.DecimalType(16, 4)),
+        T.StructField("Sales", MONEY),
+        T.StructField("Order Profit Per Order", MONEY),
         T.StructField("Product Card Id", T.LongType()),
         T.StructField("Order Item Quantity", T.LongType()),
         T.StructField("Category Name", T.StringType()),
         T.StructField("Order Status", T.StringType()),
         T.StructField("Customer Segment", T.StringType()),
-        T.StructField("Order Item Discount Rate", T.DecimalType(4, 2)),
-        T.StructField("Order Item Profit Ratio", T.DecimalType(5, 2)),
+        T.StructField("Order Item Discount Rate", RATE),
+        T.StructField("Order Item Profit Ratio", RATE),
         T.StructField("Product Name", T.StringType()),
         T.StructField("Order Country", T.StringType()),
         T.StructField("Latitude", T.DoubleType()),

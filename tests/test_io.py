@@ -47,6 +47,96 @@ def test_raw_csv_latin1_quotes_and_accents(spark, tmp_dir):
     assert clean.null_date_count(clean.parse_dates(raw)).first()[0] == 1
 
 
+def _export(path, rows, columns, encoding="latin-1"):
+    """Write rows (dicts) as a quoted export with its columns in this order."""
+    lines = [",".join(f'"{c}"' for c in columns)]
+    lines += [r if isinstance(r, str) else ",".join(f'"{r[c]}"' for c in columns) for r in rows]
+    with open(path, "wb") as fh:
+        fh.write(("\n".join(lines) + "\n").encode(encoding))
+
+
+def _row(order_id, **changes):
+    names = [f.name for f in RAW_ORDER_LINE_SCHEMA.fields]
+    values = [
+        order_id, "1/31/2018 22:56", "2/3/2018 22:56", 3, 4, "Advance shipping", 0,
+        "Standard Class", "LATAM", "Caribbean", "299.9800110", "-249.0899963", 1360, 1,
+        "Smart watch", "COMPLETE", "Consumer", "0.039999999", "0.289999992", "Watch", "Japón",
+        "18.25", "-66.04",
+    ]
+    return dict(zip(names, values)) | {"Customer City": "Caguas", "Type": "DEBIT"} | changes
+
+
+def _other_order():
+    return ["Type", *[f.name for f in RAW_ORDER_LINE_SCHEMA.fields][::-1], "Customer City"]
+
+
+def test_raw_columns_are_found_by_name_and_no_digit_is_lost(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "raw.csv")
+    _export(path, [_row(20), _row(5, Sales="1e-05"), _row(7, Sales="12")], _other_order())
+    rows = {r["Order Id"]: r for r in files.read_raw_order_lines_csv(spark, path).collect()}
+    assert set(rows) == {20, 5, 7}
+    assert rows[20]["Sales"] == Decimal("299.9800110")
+    assert rows[20]["Order Profit Per Order"] == Decimal("-249.0899963")
+    assert rows[20]["Order Item Discount Rate"] == Decimal("0.039999999")
+    assert rows[20]["Order Item Profit Ratio"] == Decimal("0.289999992")
+    assert rows[5]["Sales"] == Decimal("0.00001") and rows[7]["Sales"] == 12
+    assert rows[20]["Shipping Mode"] == "Standard Class" and rows[20]["Customer City"] == "Caguas"
+
+
+def test_a_missing_column_is_named(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "raw.csv")
+    _export(path, [_row(1)], [c for c in _other_order() if c != "Sales"])
+    with pytest.raises(ValueError, match="Sales"):
+        files.read_raw_order_lines_csv(spark, path)
+
+
+def test_bad_lines_are_rejected_never_merged(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "raw.csv")
+    columns = _other_order()
+    rows = [_row(1), _row("A1"), _row("A2"), _row(""), "one,two", _row(2, Sales="1.0000000000001"),
+            _row(3, Latitude="north"), _row(4)]
+    _export(path, rows, columns)
+    good = files.read_raw_order_lines_csv(spark, path)
+    assert sorted(r["Order Id"] for r in good.collect()) == [1, 4]
+    rejects = files.read_raw_rejects_csv(spark, path).orderBy(files.FILE_ORDER_KEY).collect()
+    assert [r["reject_reason"] for r in rejects] == [
+        "Order Id", "Order Id", "Order Id", "broken line", "Sales", "Latitude"]
+    assert '"A1"' in rejects[0]["rejected_line"] and rejects[3]["rejected_line"] == "one,two"
+    out = os.path.join(tmp_dir, "out")
+    from pyspark.sql import functions as F
+
+    from freightlens.plans.export import run_cleaning_job
+
+    paths = run_cleaning_job(spark, path, out, F.lit(5.0))
+    assert spark.read.parquet(paths["rejected_lines"]).count() == 6
+    assert spark.read.parquet(paths["shipments"]).count() == 2
+
+
+def test_line_breaks_in_quotes(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "raw.csv")
+    _export(path, [_row(1), _row(2, **{"Product Name": "two\nlines"}), _row(3)], _other_order())
+    assert {r["Order Id"] for r in files.read_raw_order_lines_csv(spark, path).collect()} == {1, 3}
+    assert files.read_raw_rejects_csv(spark, path).count() == 2
+    whole = files.read_raw_order_lines_csv(spark, path, multi_line=True).collect()
+    assert {r["Product Name"] for r in whole} == {"Watch", "two\nlines"} and len(whole) == 3
+
+
+def test_cleaning_keeps_all_columns_and_file_order(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from freightlens.plans.export import run_cleaning_job
+
+    path = os.path.join(tmp_dir, "raw.csv")
+    rows = [_row(20, **{"Category Name": "First"}), _row(5, **{"Category Name": "Second"})]
+    _export(path, rows, _other_order())
+    paths = run_cleaning_job(spark, path, os.path.join(tmp_dir, "out"), F.lit(5.0))
+    assert "rejected_lines" not in paths
+    ships = spark.read.parquet(paths["shipments"])
+    assert {r["Customer_City"] for r in ships.collect()} == {"Caguas"}
+    assert files.FILE_ORDER_KEY not in ships.columns
+    assert spark.read.parquet(paths["inventory"]).first()["category_name"] == "First"
+
+
 def test_missing_input_is_an_error(spark, tmp_dir):
     with pytest.raises(AnalysisException):
         files.read_raw_order_lines_csv(spark, os.path.join(tmp_dir, "nope.csv")).count()
