@@ -70,28 +70,28 @@ def raw_lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_dates(raw_order_lines(spark, sf_dir))
 
 
-def first_order_lines(spark: SparkSession, sf_dir: str, require_part: bool = True) -> DataFrame:
+def first_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw lines that survive "first line per order", in raw layout.
 
     Same rows as ``dedup_first(raw_order_lines(...), ["Order Id"],
     [line_sort_key])``, but the de-duplication runs on narrow lineitem rows
     before the part and order joins. That is valid because the "first line"
     order uses lineitem columns only. Lines without a part are removed first
-    by a key-only semi join, and the order-level join keeps or drops whole
+    (see ``lineitem_lines``), and the order-level join keeps or drops whole
     orders. At scale this has three effects. The partial aggregate combines
     each order's lines map-side before the shuffle, so an order with a huge
     number of lines is not funnelled into one task. The shuffled rows carry
     no part names. The joins and the raw-layout expressions run on one row
     per order instead of one per line.
     """
-    lines = lineitem_lines(spark, sf_dir, require_part)
+    lines = lineitem_lines(spark, sf_dir)
     first = dedup_first(lines, ["l_orderkey"], LINE_ORDER)
     return to_raw_layout(first, order_side(spark, sf_dir), part_side(spark, sf_dir))
 
 
-def shipments_lazy(spark: SparkSession, sf_dir: str, require_part: bool = True) -> DataFrame:
+def shipments_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned shipments as one lazy plan from the test tables."""
-    return clean_features(first_order_lines(spark, sf_dir, require_part).drop(LINE_SORT_KEY))
+    return clean_features(first_order_lines(spark, sf_dir).drop(LINE_SORT_KEY))
 
 
 def shipments(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:

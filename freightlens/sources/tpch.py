@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freightlens.plans.session import materialise
 from freightlens.sources.schemas import RAW_DATE_FORMAT
 
 # Column that orders the lines of one order; the cleaning step keeps the
@@ -53,21 +54,24 @@ LINE_ORDER = (
 )
 
 
-def lineitem_lines(spark: SparkSession, sf_dir: str, require_part: bool = True) -> DataFrame:
-    """``lineitem`` rows whose part exists.
+def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` rows whose part exists, narrow (no part names yet).
 
-    The existence test is a left-semi join on the part key alone. It keeps
-    the row selection of the inner join with ``part`` while the rows stay
-    narrow (no part names yet). When the part keys are too large to
-    broadcast, it costs one shuffle of lineitem by part key. Data whose
-    foreign key is known to hold (TPC-H defines it; it holds in every test
-    scale) can pass ``require_part=False`` to skip it.
+    Part keys without a part are found first, on one column: the distinct keys
+    of lineitem (combined map-side) less those of ``part``, written to the
+    shared folder. Sound data leaves that set empty and needs no join, so its
+    wide rows are never shuffled by part key; else lineitem is anti-joined with
+    the set, broadcast if its measured size allows. A NULL part key has no part
+    either.
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-    if not require_part:
+    li = li.where(F.col("l_partkey").isNotNull())
+    used = li.select(F.col("l_partkey").alias("_orphan")).distinct()
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_orphan"))
+    orphans = materialise(spark, used.join(parts, "_orphan", "left_anti"), "orphan_parts")
+    if orphans.isEmpty():
         return li
-    part_keys = read_table(spark, sf_dir, "part").select("p_partkey")
-    return li.join(part_keys, li.l_partkey == part_keys.p_partkey, "left_semi")
+    return li.join(orphans, F.col("l_partkey") == F.col("_orphan"), "left_anti")
 
 
 def part_side(spark: SparkSession, sf_dir: str) -> DataFrame:

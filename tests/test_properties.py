@@ -84,9 +84,20 @@ def test_materialised_table_is_rebuilt_when_files_vanish(spark, tmp_dir):
     assert tables._materialised[key] != missing
 
 
-def test_part_check_removes_nothing_on_tpch(spark):
-    # TPC-H's foreign key holds in the test tables, so skipping the check
-    # gives the same shipments
-    a = P.shipments_lazy(spark, SF_SMALL)
-    b = P.shipments_lazy(spark, SF_SMALL, require_part=False)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_an_order_whose_first_part_is_missing_keeps_its_next_line(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from freightlens.operators.clean import dedup_first
+    from freightlens.sources.tpch import LINE_SORT_KEY
+
+    for t in "region nation customer supplier part orders lineitem".split():
+        rows = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        if t == "part":
+            rows = rows.where(F.col("p_partkey") % 3 != 0)
+        rows.write.parquet(f"{tmp_dir}/{t}.parquet")
+    whole = dedup_first(P.raw_lines(spark, tmp_dir), ["Order Id"], [LINE_SORT_KEY])
+    narrow = P.first_order_lines(spark, tmp_dir).select(*whole.columns)
+    assert whole.exceptAll(narrow).count() == 0 and narrow.exceptAll(whole).count() == 0
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    kept = lines.where(F.col("l_partkey") % 3 != 0).select("l_orderkey").distinct().count()
+    assert narrow.count() == kept
