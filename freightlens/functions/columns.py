@@ -7,6 +7,8 @@ they stay inside whole-stage codegen. Aggregate helpers (``exact_mean``,
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +20,6 @@ PY_WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Rounding goes through a decimal with this many fraction digits, so a double
-# that sits one ulp below a half (1.025 stored as 1.02499999...) still rounds
-# the way the decimal value it stands for would: half away from zero.
-ROUND_SCALE = 10
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -31,12 +27,10 @@ def _col(c: Column | str) -> Column:
 def round_half_up(c: Column | str, scale: int) -> Column:
     """Round half away from zero to ``scale`` digits; result is a double.
 
-    Values too large for ``decimal(38,10)`` (and NaN/Inf) fall back to plain
-    ``round`` on the double instead of failing.
+    One rounding for all values: that of the digits the double prints, so
+    1.025 (stored as 1.02499999...) gives 1.03 and 1.00499999999999 gives 1.00.
     """
-    c = _col(c)
-    via_decimal = F.round(c.try_cast(f"decimal(38,{ROUND_SCALE})"), scale)
-    return F.coalesce(via_decimal.cast("double"), F.round(c.cast("double"), scale))
+    return F.round(_col(c).cast("double"), scale)
 
 
 def strip_py(c: Column | str) -> Column:
@@ -63,19 +57,26 @@ def exact_mean(c: Column | str) -> Column:
     return F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
 
 
-def exact_stddev_samp(c: Column | str) -> Column:
-    """Sample standard deviation of a *decimal* column, order independent.
+def exact_stddev_samp(c: Column | str, scale: int = 12) -> Column:
+    """Sample standard deviation of a *decimal* column with up to ``scale``
+    fraction digits, order independent.
 
-    ``n*sum(x^2) - sum(x)^2`` is computed exactly in decimal arithmetic and only
-    the final division and square root are done in double. NULL for fewer than
-    two values, like ``stddev_samp``. For double columns use ``F.stddev_samp``.
+    Values are counted in units of the last digit. With ``q`` the whole part
+    of their mean and ``r = sum(x) - n*q``, the squared distances from ``q`` are
+    ``sum(x^2) - q*(sum(x) + r)``: an exact integer that needs 38 digits only
+    beyond 10^13 values of size 3. Doubles come in for the last, small term
+    ``r^2/n``, the division and the root. NULL for fewer than two values, like
+    ``stddev_samp``. For double columns use ``F.stddev_samp``.
     """
-    c = _col(c)
-    n = F.count(c)
-    s1 = F.sum(c)
-    s2 = F.sum(c * c)
-    num = n.cast("decimal(20,0)") * s2 - s1 * s1
-    return F.sqrt(num.cast("double") / F.nullif(n * (n - F.lit(1)), F.lit(0)).cast("double"))
+    x = (_col(c) * F.lit(Decimal(10**scale))).cast("decimal(18,0)")
+    n = F.count(x)
+    s1, s2 = F.sum(x), F.sum(x * x)
+    whole = F.nullif(n, F.lit(0)).cast("decimal(20,0)")
+    q = F.call_function("div", s1, whole).cast("decimal(19,0)")
+    r = (s1 - q * whole).cast("decimal(20,0)")
+    around = (s2 - q * (s1 + r)).cast("double")
+    squares = F.greatest(around - r.cast("double") * r.cast("double") / whole.cast("double"), F.lit(0.0))
+    return F.when(n > 1, F.sqrt(squares / (n - F.lit(1))) / F.lit(10.0**scale))
 
 
 def add_days(ts: Column | str, days: Column | str) -> Column:

@@ -37,6 +37,7 @@ from freightlens.constants import (
 )
 from freightlens.functions.columns import exact_mean, pct_of, round_half_up
 from freightlens.operators.ranking import quantile_bucket, rank_below
+from freightlens.plans.session import materialise
 
 
 # --------------------------------------------------------------------------
@@ -78,20 +79,25 @@ def product_facts(
     sales: str = "Sales",
     order_key: str = "Order_Id",
 ) -> DataFrame:
-    """Per product: first non-NULL category and total revenue, from one aggregate.
+    """Per product: first non-NULL category and total revenue.
 
-    "First" is the row with the lowest ``order_key``, the order the cleaned
-    table is written in. Revenue is the exact decimal sum; a product whose
-    sales are all NULL has revenue 0.
+    "First" is the row with the lowest ``order_key``: the position in the
+    export for file input, else the order id. Revenue is the exact decimal
+    sum; a product whose sales are all NULL has revenue 0.
+
+    The shipments are first grouped by product and category, where the
+    aggregates hold no text and so hash; the text is picked among a product's
+    few categories.
     """
-    cat = F.col(category)
-    return (
+    cat = F.col("category_name")
+    by_category = (
         shipments.where(F.col(product).isNotNull())
-        .groupBy(F.col(product).alias("product_id"))
-        .agg(
-            F.min_by(cat, F.when(cat.isNotNull(), F.col(order_key))).alias("category_name"),
-            F.coalesce(F.sum(sales), F.lit(0)).alias("_revenue"),
-        )
+        .groupBy(F.col(product).alias("product_id"), F.col(category).alias("category_name"))
+        .agg(F.min(order_key).alias("_first"), F.sum(sales).alias("_sales"))
+    )
+    return by_category.groupBy("product_id").agg(
+        F.min_by(cat, F.when(cat.isNotNull(), F.col("_first"))).alias("category_name"),
+        F.coalesce(F.sum("_sales"), F.lit(0)).alias("_revenue"),
     )
 
 
@@ -99,9 +105,13 @@ def product_category(shipments: DataFrame) -> DataFrame:
     return product_facts(shipments).select("product_id", "category_name")
 
 
-def product_revenue(shipments: DataFrame) -> DataFrame:
-    return product_facts(shipments).select(
-        "product_id", F.col("_revenue").cast("double").alias("total_revenue")
+def product_revenue(
+    shipments: DataFrame, product: str = "Product_Card_Id", sales: str = "Sales"
+) -> DataFrame:
+    return (
+        shipments.where(F.col(product).isNotNull())
+        .groupBy(F.col(product).alias("product_id"))
+        .agg(F.coalesce(F.sum(sales), F.lit(0)).cast("double").alias("total_revenue"))
     )
 
 
@@ -145,12 +155,18 @@ def inventory_build(
     bands=STOCK_BANDS,
     priority_band: str = PRIORITY_BAND,
     priority_quartile: str = PRIORITY_QUARTILE,
+    order_key: str = "Order_Id",
 ) -> DataFrame:
     """One row per product with demand: mean daily demand, category, revenue
     quartile, days of stock, stock level = int(mean demand x days), band and
-    the priority flag (priority band and top quartile)."""
+    the priority flag (priority band and top quartile). ``order_key`` decides
+    a product's first category."""
     demand = avg_demand(shipments)
-    facts = with_revenue_quartile(product_facts(shipments)).select(
+    # ranking refers to its input several times: one row per product, written once
+    facts = materialise(
+        shipments.sparkSession, product_facts(shipments, order_key=order_key), "product_facts"
+    )
+    facts = with_revenue_quartile(facts).select(
         "product_id", "category_name", "revenue_quartile"
     )
     inv = demand.join(facts, "product_id", "left")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freightlens.constants import (
     ANOMALY_DIRECTIONS,
@@ -44,16 +45,20 @@ def iqr_bounds(
     col: str = "delay_days",
     k_mild: float = IQR_K_MILD,
     k_extreme: float = IQR_K_EXTREME,
-    method: str = "percentile",
+    method: str | None = None,
 ) -> DataFrame:
     """One row: Q1, Q3, IQR and the mild and extreme fences (unrounded).
 
-    ``method="percentile"`` (default) uses Spark's exact ``percentile``: its
-    buffer holds one counter per distinct value, fine for day counts.
+    ``method="percentile"`` uses Spark's exact ``percentile``: its buffer
+    holds one counter per distinct value, fine for day counts.
     ``method="distributed"`` computes the same quantiles with
     ``ranking.exact_quantiles`` and never holds the distinct values in one
-    task; use it for continuous measures.
+    task. By default the column's type decides: whole numbers of 32 bits or
+    fewer, as day counts are, go the first way and all others the second.
     """
+    if method is None:
+        small = isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType))
+        method = "percentile" if small else "distributed"
     if method == "distributed":
         q = exact_quantiles(df, col, {"_q1": IQR_QUARTILES[0], "_q3": IQR_QUARTILES[1]})
         q1, q3 = F.col("_q1"), F.col("_q3")
@@ -76,10 +81,14 @@ def iqr_bounds(
 
 
 def bound_values(
-    df: DataFrame, col: str = "delay_days", k_mild: float = IQR_K_MILD, k_extreme: float = IQR_K_EXTREME
+    df: DataFrame,
+    col: str = "delay_days",
+    k_mild: float = IQR_K_MILD,
+    k_extreme: float = IQR_K_EXTREME,
+    method: str | None = None,
 ) -> dict[str, Column]:
     """The ``iqr_bounds`` row as scalar-subquery column expressions."""
-    b = iqr_bounds(df, col, k_mild, k_extreme)
+    b = iqr_bounds(df, col, k_mild, k_extreme, method)
     packed = b.select(F.struct(*b.columns).alias("b")).scalar()
     return {c: packed[c] for c in b.columns}
 

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 
 def value_ranks(
-    df: DataFrame, value_col: str, buckets: int = 64, accuracy: int = 10_000
+    df: DataFrame, value_col: str, buckets: int | None = None, accuracy: int = 10_000
 ) -> DataFrame:
     """One row per distinct non-NULL value: ``_v``, its count ``_cnt``, the
     number of rows with a smaller value ``n_below`` and the number of
-    non-NULL rows ``n_valid``."""
+    non-NULL rows ``n_valid``. There are as many buckets as the session has
+    shuffle partitions, unless given."""
     v = F.col(value_col)
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = (
         df.where(v.isNotNull())
         .groupBy(v.alias("_v"))
@@ -49,15 +51,11 @@ def value_ranks(
             F.sum("_cnt").alias("n"),
         ).alias("s")
     ).scalar()
-    bucketed = counts.withColumns(
-        {
-            # number of split points strictly below the value: its first
-            # position among the sorted splits plus itself, minus one
-            "_b": F.array_position(
-                F.sort_array(F.concat(stats["splits"], F.array(F.col("_v")))), F.col("_v")
-            ).cast("int") - F.lit(1),
-            "_n": stats["n"],
-        }
+    # bucket: the number of split points strictly below the value
+    bucketed = (
+        counts.withColumns({"_splits": stats["splits"], "_n": stats["n"]})
+        .withColumn("_b", F.size(F.filter("_splits", lambda split: split < F.col("_v"))))
+        .drop("_splits")
     )
     before = Window.unboundedPreceding
     by_bucket = Window.partitionBy("_b")
@@ -96,7 +94,7 @@ def value_ranks(
 def rank_below(
     df: DataFrame,
     value_col: str,
-    buckets: int = 64,
+    buckets: int | None = None,
     accuracy: int = 10_000,
     out_col: str = "n_below",
     total_col: str = "n_valid",
@@ -106,14 +104,20 @@ def rank_below(
     ranks = value_ranks(df, value_col, buckets, accuracy).select(
         "_v", F.col("n_below").alias(out_col), F.col("n_valid").alias(total_col)
     )
-    return df.join(ranks, F.col(value_col).eqNullSafe(F.col("_v")), "left").drop("_v")
+    v = F.col(value_col)
+    valid = df.where(v.isNotNull()).join(ranks, v == F.col("_v"), "left").drop("_v")
+    # NULL values have no rank and take no part in the join
+    rest = df.where(v.isNull()).withColumns(
+        {out_col: F.lit(None).cast("bigint"), total_col: F.lit(None).cast("bigint")}
+    )
+    return valid.unionByName(rest)
 
 
 def exact_quantiles(
     df: DataFrame,
     value_col: str,
     probs: dict[str, float],
-    buckets: int = 64,
+    buckets: int | None = None,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One row: the continuous quantile (linear interpolation between the two

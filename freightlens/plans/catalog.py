@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freightlens.functions.columns import round_half_up
 from freightlens.operators import clean, inventory as inv, margins, outliers, scoring, trends, views
 from freightlens.plans import tables as P
 from freightlens.sources.tpch import LINE_SORT_KEY
@@ -76,9 +77,7 @@ def q_null_date_count(spark, sf):
 
 @query("dedup_orders")
 def q_dedup_orders(spark, sf):
-    raw = P.raw_lines(spark, sf)
-    first = clean.dedup_first(raw, ["Order Id"], [LINE_SORT_KEY]).drop(LINE_SORT_KEY)
-    return clean.sql_friendly_columns(first)
+    return clean.sql_friendly_columns(P.first_order_lines(spark, sf).drop(LINE_SORT_KEY))
 
 
 @query("dedup_stats")
@@ -156,7 +155,9 @@ def q_segment_scorecard(spark, sf):
 
 @query("corridor_metrics")
 def q_corridor_metrics(spark, sf):
-    return scoring.corridor_metrics(P.view(spark, sf))
+    # compared to nine digits: a plain standard deviation differs in the last
+    metrics = scoring.corridor_metrics(P.view(spark, sf))
+    return metrics.withColumn("profit_volatility", round_half_up("profit_volatility", 9))
 
 
 @query("corridor_risk")
@@ -175,6 +176,16 @@ def q_iqr_anomalies(spark, sf):
     return outliers.iqr_anomalies(P.view(spark, sf))
 
 
+@query("iqr_bounds_sales")
+def q_iqr_bounds_sales(spark, sf):
+    return outliers.iqr_bounds(P.view(spark, sf), col="Sales")
+
+
+@query("iqr_anomalies_sales")
+def q_iqr_anomalies_sales(spark, sf):
+    return outliers.iqr_anomalies(P.view(spark, sf), col="Sales")
+
+
 @query("iqr_flag_all")
 def q_iqr_flag_all(spark, sf):
     return outliers.iqr_flag_all(P.view(spark, sf))

@@ -10,14 +10,15 @@ from freightlens.functions import columns as C
 
 
 def test_round_half_up_edges(spark):
-    vals = [1.025, 2.675, -1.025, 0.125, -4.5, 1e30, float("nan"), None]
+    vals = [1.025, 2.675, -1.025, 0.125, -4.5, 1e30, float("nan"), None, 1.00499999999999, 1.005]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(C.round_half_up("x", 2)).collect()]
     assert got[:4] == [1.03, 2.68, -1.03, 0.13]
     assert got[4] == -4.5
-    assert got[5] == 1e30  # too big for decimal(38,10): falls back, no error
+    assert got[5] == 1e30  # one rule, whatever the size
     assert got[6] != got[6]  # NaN stays NaN
     assert got[7] is None
+    assert got[8:] == [1.0, 1.01]  # rounded once, on the printed digits
     zero = [r[0] for r in df.select(C.round_half_up("x", 0)).collect()]
     assert zero[4] == -5.0  # half away from zero
 
@@ -47,6 +48,18 @@ def test_exact_mean_and_stddev(spark):
     assert rows["c"]["m"] is None and rows["c"]["s"] is None  # no values
 
 
+def test_exact_stddev_of_long_rates(spark):
+    xs = [Decimal("0.289999992"), Decimal("-2.749999999"), Decimal("0.039999999"), Decimal("-0.5")]
+    big = [Decimal("100000") + Decimal(i) / Decimal(10**9) for i in range(5)]
+    df = spark.createDataFrame(
+        [("a", x) for x in xs] + [("b", x) for x in big], "g string, x decimal(18,12)"
+    )
+    got = {r["g"]: r["s"] for r in df.groupBy("g").agg(C.exact_stddev_samp("x").alias("s")).collect()}
+    for g, values in (("a", xs), ("b", big)):
+        want = float(statistics.stdev(values))
+        assert abs(got[g] - want) <= 1e-14 * want, (g, got[g], want)
+
+
 def test_strip_py_whitespace(spark):
     vals = ["　 x y \n", "\x1c a\x85", "none", None]
     df = spark.createDataFrame([(v,) for v in vals], "s string")
