@@ -38,6 +38,11 @@ HEADLINE = [
     "kpi_cost_share",
     "kpi_anomaly_share",
     "kpi_critical_products",
+    # over all raw lines
+    "parse_dates",
+    "null_date_count",
+    "dedup_orders",
+    "dedup_stats",
 ]
 
 

@@ -41,7 +41,7 @@ def build_session(
     return spark
 
 
-def _context(spark: SparkSession):
+def context(spark: SparkSession):
     """The SparkContext, or None where the session has none (Spark Connect)."""
     try:
         return spark.sparkContext
@@ -50,7 +50,7 @@ def _context(spark: SparkSession):
 
 
 def application_id(spark: SparkSession) -> str:
-    sc = _context(spark)
+    sc = context(spark)
     if sc is not None:
         return sc.applicationId
     return spark.conf.get("spark.app.id", None) or str(id(spark))
@@ -64,7 +64,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fresh folder of its own; on a cluster an unset value is an error, because a
     machine-local folder is not visible to the executors.
     """
-    sc = _context(spark)
+    sc = context(spark)
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
@@ -87,6 +87,15 @@ def materialise_path(spark: SparkSession, df: DataFrame, name: str) -> str:
     return path
 
 
+def remove_materialised(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``materialise_path`` wrote. Sessions without a
+    SparkContext leave it to the folder's owner."""
+    sc = context(spark)
+    if sc is not None and path.startswith(f"{checkpoint_dir(spark)}/tables/"):
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame reading it back.
 

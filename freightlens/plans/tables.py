@@ -20,8 +20,10 @@ from freightlens.operators.inventory import inventory_build
 from freightlens.operators.views import delivery_analysis
 from freightlens.plans.session import (  # noqa: F401
     application_id,
+    context,
     materialise,
     materialise_path,
+    remove_materialised,
 )
 from freightlens.sources.tpch import (
     LINE_ORDER,
@@ -35,27 +37,63 @@ from freightlens.sources.tpch import (
 )
 
 _lock = threading.RLock()  # re-entrant: building one table may build another
-_materialised: dict[tuple[str, str, str], str] = {}
+# (application, input folder, table) -> (state of the inputs, path)
+_materialised: dict[tuple[str, str, str], tuple[object, str]] = {}
+
+INPUT_TABLES = ("lineitem", "orders", "part", "customer", "nation", "region")
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> object:
+    """Changes when an input table is rewritten: the time of the last change,
+    the bytes and the number of files of every input, as the file system
+    reports them, without a Spark job. Sessions without a SparkContext list
+    the files in one small job instead."""
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in INPUT_TABLES]
+    sc = context(spark)
+    if sc is None:
+        files = spark.read.format("binaryFile").load(paths)
+        return tuple(
+            files.agg(
+                F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+            ).first()
+        )
+    state = []
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            state.append(None)  # the reader reports the missing table
+            continue
+        held = fs.getContentSummary(where)
+        changed = fs.getFileStatus(where).getModificationTime()
+        state.append((changed, held.getLength(), held.getFileCount()))
+    return tuple(state)
 
 
 def _cached_table(
     spark: SparkSession, sf_dir: str, name: str, build, refresh: bool = False
 ) -> DataFrame:
-    """The table ``name`` for ``sf_dir``, written once per Spark application.
+    """The table ``name`` for ``sf_dir``, written once per Spark application
+    and state of the inputs (see ``input_state``).
 
-    If the files were removed meanwhile, reading fails with PATH_NOT_FOUND
-    and the table is rebuilt.
+    A table that is replaced, because its inputs changed or on ``refresh``, is
+    deleted after the new one is written: DataFrames of the old one must not be
+    used any more. If the files were removed meanwhile, reading fails with
+    PATH_NOT_FOUND and the table is rebuilt.
     """
     key = (application_id(spark), sf_dir.rstrip("/"), name)
     with _lock:
-        path = None if refresh else _materialised.get(key)
-        if path is not None:
+        state = input_state(spark, sf_dir)
+        known, old = _materialised.get(key, (None, None))
+        if old is not None and known == state and not refresh:
             try:
-                return spark.read.parquet(path)
+                return spark.read.parquet(old)
             except AnalysisException:
-                path = None
+                old = None
         path = materialise_path(spark, build(), name)
-        _materialised[key] = path
+        _materialised[key] = (state, path)
+        if old is not None:
+            remove_materialised(spark, old)
         return spark.read.parquet(path)
 
 
@@ -95,8 +133,8 @@ def shipments_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shipments(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
-    """Cleaned shipments, materialised once per session and input folder
-    (``refresh=True`` rebuilds and re-registers the table)."""
+    """Cleaned shipments, materialised once per session and state of the input
+    folder (``refresh=True`` rebuilds and re-registers the table)."""
     return _cached_table(
         spark, sf_dir, "shipments", lambda: shipments_lazy(spark, sf_dir), refresh
     )

@@ -78,10 +78,29 @@ def test_materialised_table_is_rebuilt_when_files_vanish(spark, tmp_dir):
     n = tables.inventory(spark, SF_SMALL).count()
     key = (spark.sparkContext.applicationId, SF_SMALL, "inventory")
     missing = os.path.join(tmp_dir, "never-written")
-    tables._materialised[key] = missing  # as if the files had been removed
+    state = tables._materialised[key][0]
+    tables._materialised[key] = (state, missing)  # as if the files had been removed
     again = tables.inventory(spark, SF_SMALL)
     assert again.count() == n
-    assert tables._materialised[key] != missing
+    assert tables._materialised[key][1] != missing
+
+
+def test_rewritten_inputs_are_seen_in_the_same_session(spark, tmp_dir):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from freightlens.plans import tables
+
+    for t in tables.INPUT_TABLES:
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(f"{tmp_dir}/{t}.parquet")
+    before = tables.shipments(spark, tmp_dir).count()
+    first = tables._materialised[(spark.sparkContext.applicationId, tmp_dir, "shipments")][1]
+    assert tables.shipments(spark, tmp_dir).inputFiles()[0].count(os.path.basename(first))
+    half = spark.read.parquet(f"{SF_SMALL}/orders.parquet").where(F.col("o_orderkey") % 2 == 0)
+    half.write.mode("overwrite").parquet(f"{tmp_dir}/orders.parquet")
+    assert 0 < tables.shipments(spark, tmp_dir).count() < before
+    assert not os.path.exists(first.removeprefix("file:"))  # the replaced copy is gone
 
 
 def test_an_order_whose_first_part_is_missing_keeps_its_next_line(spark, tmp_dir):
