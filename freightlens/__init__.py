@@ -14,7 +14,6 @@ Layout:
 * ``operators`` cleaning, the shared view, scorecards, outliers, inventory,
                 trends, margins, and sinks
 * ``plans``     end-to-end plans: table materialisation and the query catalog
-* ``streaming`` empty on purpose: the analysis has no streaming part
 """
 
 __version__ = "0.1.0"
