@@ -58,19 +58,20 @@ def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` rows whose part exists, narrow (no part names yet).
 
     Part keys without a part are found first, on one column: the distinct keys
-    of lineitem (combined map-side) less those of ``part``, written to the
-    shared folder. Sound data leaves that set empty and needs no join, so its
-    wide rows are never shuffled by part key; else lineitem is anti-joined with
-    the set, broadcast if its measured size allows. A NULL part key has no part
-    either.
+    of lineitem (combined map-side) less those of ``part``. Sound data leaves
+    that set empty and needs no join, so its wide rows are never shuffled by
+    part key; else the set is written to the shared folder and lineitem
+    anti-joined with it, broadcast if its measured size allows. A NULL part key
+    has no part either.
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
     li = li.where(F.col("l_partkey").isNotNull())
     used = li.select(F.col("l_partkey").alias("_orphan")).distinct()
     parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_orphan"))
-    orphans = materialise(spark, used.join(parts, "_orphan", "left_anti"), "orphan_parts")
+    orphans = used.join(parts, "_orphan", "left_anti")
     if orphans.isEmpty():
         return li
+    orphans = materialise(spark, orphans, "orphan_parts")
     return li.join(orphans, F.col("l_partkey") == F.col("_orphan"), "left_anti")
 
 
