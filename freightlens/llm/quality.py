@@ -33,9 +33,9 @@ NAV_SEPARATOR = r"(?:^|\s)[|»›·•>/]+(?=\s|$)"
 MIN_NAV_SEPARATORS = 3
 MAX_NAV_WORDS = 3  # words between two separators, on average
 BOILERPLATE = (
-    r"(?i)\b(?:enable|requires?|turn on) javascript\b|\buses? cookies\b|\bcookie (?:policy|settings)\b"
-    r"|\bprivacy policy\b|\bterms of (?:use|service)\b|\ball rights reserved\b"
-    r"|\bsubscribe to (?:our|the) newsletter\b|\bsign up for (?:our|the)\b"
+    r"(?i)\b(?:(?:enable|requires?|turn on) javascript|uses? cookies|cookie (?:policy|settings)"
+    r"|privacy policy|terms of (?:use|service)|all rights reserved"
+    r"|subscribe to (?:our|the) newsletter|sign up for (?:our|the))\b"
     r"|^\s*(?:log ?in|sign in|sign up|read more|share this|skip to content|back to top)\W*$"
 )
 MAX_BOILERPLATE_WORDS = 25
@@ -88,15 +88,19 @@ def repeat_words(word_list: Column, window: int = WINDOW) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line that has words is navigation, boilerplate or unpunctuated."""
-    n = F.size(words(line))
-    separators = F.size(F.split(line, NAV_SEPARATOR, -1)) - 1
-    navigation = (separators >= MIN_NAV_SEPARATORS) & (
-        (n - separators) <= MAX_NAV_WORDS * (separators + 1)
-    )
-    boilerplate = (n <= MAX_BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    symbols = count_of(line, SYMBOLS) > MAX_SYMBOLS_PER_WORD * n
-    unpunctuated = (n >= MIN_PUNCTUATED_WORDS) & ~line.rlike(PUNCTUATION)
-    return (n > 0) & (navigation | boilerplate | unpunctuated | ((n >= 4) & symbols))
+
+    def fails(n: Column) -> Column:
+        def navigation(separators: Column) -> Column:
+            dense = (n - separators) <= MAX_NAV_WORDS * (separators + 1)
+            return (separators >= MIN_NAV_SEPARATORS) & dense
+
+        separators = F.size(F.split(line, NAV_SEPARATOR, -1)) - 1
+        boilerplate = (n <= MAX_BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+        symbols = (n >= 4) & (count_of(line, SYMBOLS) > MAX_SYMBOLS_PER_WORD * n)
+        unpunctuated = (n >= MIN_PUNCTUATED_WORDS) & ~line.rlike(PUNCTUATION)
+        return (n > 0) & (let(separators, navigation) | boilerplate | unpunctuated | symbols)
+
+    return let(F.size(words(line)), fails)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
