@@ -1,5 +1,7 @@
 """Embedding near-duplicates by NN-descent.
 
+Equal vectors are one node, weighted with its rows, through all steps.
+
 1. Start. Random hyperplanes deal the vectors into small cells, several times
    over; within a cell each vector lists its nearest neighbours. Cells that
    many vectors share are dealt on by hash, so each stays small.
@@ -8,17 +10,21 @@
    travel as 32-bit floats here.
 3. List entries near the threshold are verified in double precision and joined
    into components.
-4. Saturated lists, which hold links only, are enlarged to their component:
-   there every link is counted, in tiles. Members within half the threshold's
-   angle of the component's first vector are linked with one another by the
-   triangle inequality and need no tile among themselves.
-5. Audit. A bounded sample of vectors is compared with all rows; while their
+4. Saturated lists hold links only, so links to other groups may stand behind
+   them. Their nodes get lists of neighbours outside their own component, by
+   the same start and descent, until those hold no link: a link that joins two
+   components is looked for past any number of closer copies, in lists of
+   bounded length.
+5. Within a component every link is counted, in tiles. Members within half the
+   threshold's angle of the component's first vector are linked with one
+   another by the triangle inequality and need no tile among themselves.
+6. Audit. A bounded sample of vectors is compared with all rows; while their
    links are not found to ``MIN_RECALL``, more cells and rounds follow.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components link with nothing; so do vectors of different lengths; rows that
-share an id are one vector's copies and are left out of its own links; a null
-id has no links and no component.
+share an id are left out of its own links, and of their counts the largest is
+the id's; a null id has no links and no component.
 """
 
 from __future__ import annotations
@@ -75,13 +81,24 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(normalise, "id long, dim int, x binary")
 
 
+def _nodes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, dim, x, w, first)``, one row for each different vector with its
+    rows and least id, and ``(id, node, own)``: the vectors of each id."""
+    spark = units.sparkSession
+    node = F.xxhash64("dim", "x")
+    nodes = units.groupBy("dim", "x").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first"))
+    nodes = materialise(spark, nodes.select(node.alias("id"), "dim", "x", "w", "first"), "nn-nodes")
+    holders = units.select("id", node.alias("node")).groupBy("id", "node").agg(F.count(F.lit(1)).alias("own"))
+    return nodes, materialise(spark, holders, "nn-holders")
+
+
 def _stack(xs, dtype=np.float64) -> np.ndarray:
     return np.stack([np.frombuffer(x, dtype) for x in xs])
 
 
 def _cells(units: DataFrame, bits: int, trees: range) -> DataFrame:
-    """``(tree, dim, code, id, x)``: each vector's cell in each tree; ``x`` in
-    32-bit floats."""
+    """``(tree, dim, code, id, grp, x)``: each vector's cell in each tree; ``x``
+    in 32-bit floats."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
@@ -99,12 +116,13 @@ def _cells(units: DataFrame, bits: int, trees: range) -> DataFrame:
                             pa.array(part["dim"].to_numpy(np.int32)),
                             pa.array(cell),
                             pa.array(part["id"].to_numpy(np.int64)),
+                            pa.array(part["grp"].to_numpy(np.int64)),
                             pa.array(short, pa.binary()),
                         ],
-                        ["tree", "dim", "code", "id", "x"],
+                        ["tree", "dim", "code", "id", "grp", "x"],
                     )
 
-    return units.mapInArrow(code, "tree int, dim int, code long, id long, x binary")
+    return units.mapInArrow(code, "tree int, dim int, code long, id long, grp long, x binary")
 
 
 def _nearest_in_cell(frame: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +131,8 @@ def _nearest_in_cell(frame: pd.DataFrame) -> pd.DataFrame:
     if k < 1:
         return pd.DataFrame({"id": [], "nb": [], "sim": []}).astype({"id": "int64", "nb": "int64", "sim": "float32"})
     sims = x @ x.T
-    sims[ids[:, None] == ids[None, :]] = -2
+    grp = frame["grp"].to_numpy()
+    sims[grp[:, None] == grp[None, :]] = -2
     best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     found = np.take_along_axis(sims, best, axis=1)
     out = pd.DataFrame(
@@ -140,18 +159,26 @@ def _start(units: DataFrame, n: int, trees: range) -> DataFrame:
     dealt = cells.join(crowded, ["tree", "dim", "code"], "left")
     parts = F.ceil(F.col("n") / CELL)
     part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "tree"), parts))
-    dealt = dealt.select("tree", "dim", "code", part.cast("long").alias("part"), "id", "x")
+    dealt = dealt.select("tree", "dim", "code", part.cast("long").alias("part"), "id", "grp", "x")
     edges = dealt.groupBy("tree", "dim", "code", "part").applyInPandas(
         lambda frame: _nearest_in_cell(frame), "id long, nb long, sim float"
     )
     return edges
 
 
-def _descend(units: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
-    """Edges found by comparing the neighbours of each vector."""
+def _descend(units: DataFrame, graph: DataFrame, turn: int, near: DataFrame | None = None) -> DataFrame:
+    """Edges found by comparing the neighbours of each vector, those in the
+    lists ``near`` as well; both ends are of different ``grp``."""
     spark = units.sparkSession
-    worst = graph.groupBy("id").agg(F.min("sim").alias("worst"))
-    short = materialise(spark, units.join(worst, "id").select("id", "dim", "x", "worst"), "nn-units")
+    worst = graph.groupBy("id").agg(
+        F.when(F.count(F.lit(1)) < NEIGHBOURS, F.lit(-2.0)).otherwise(F.min("sim")).cast("float").alias("worst")
+    )
+    short = units.join(worst, "id", "left").select(
+        "id", "grp", "dim", "x", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst")
+    )
+    short = materialise(spark, short, "nn-units")
+    if near is not None:
+        graph = graph.unionByName(near)
     back = graph.select(F.col("nb").alias("at"), F.col("id").alias("member"))
     order = Window.partitionBy("at").orderBy(F.xxhash64(F.lit(turn), "member"))
     back = back.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEIGHBOURS)
@@ -159,7 +186,7 @@ def _descend(units: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
     around = ahead.unionByName(back.drop("rank")).distinct()
     around = materialise(spark, around, "nn-around")
     members = around.join(short.withColumnRenamed("id", "member"), "member")
-    lists = members.groupBy("at").agg(F.collect_list(F.struct("member", "worst", "x")).alias("m"))
+    lists = members.groupBy("at").agg(F.collect_list(F.struct("member", "grp", "worst", "x")).alias("m"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +194,14 @@ def _descend(units: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
             for row in batch.column(1):
                 inner = row.values
                 ids = inner.field("member").to_numpy()
+                grp = inner.field("grp").to_numpy()
                 worst = inner.field("worst").to_numpy()
                 xs = inner.field("x").to_pylist()
                 if len({len(x) for x in xs}) > 1:
                     continue
                 x = _stack(xs).astype(np.float32)
                 sims = x @ x.T
-                better = (sims > worst[:, None]) & (ids[:, None] != ids[None, :])
+                better = (sims > worst[:, None]) & (grp[:, None] != grp[None, :])
                 i, j = np.nonzero(better)
                 a_all.append(ids[i])
                 b_all.append(ids[j])
@@ -214,10 +242,11 @@ def _verified(units: DataFrame, graph: DataFrame, threshold: float) -> DataFrame
 
 
 def _count_links(units: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
-    """``(id, n_links)`` for the members of components, all links counted."""
+    """``(id, n_links)`` for the members of components: the rows of all other
+    vectors that each links with."""
     spark = units.sparkSession
     members = components.join(units.withColumnRenamed("id", "node"), "node")
-    members = members.select(F.col("node").alias("id"), "component", "x")
+    members = members.select(F.col("node").alias("id"), "component", "w", "x")
     members = materialise(spark, members, "nn-members")
     firsts = members.where("id = component").select("component", F.col("x").alias("first"))
     firsts = materialise(spark, firsts.dropDuplicates(["component"]), "nn-firsts")
@@ -227,18 +256,19 @@ def _count_links(units: DataFrame, components: DataFrame, threshold: float) -> D
         for batch in batches:
             core = [
                 bool(math.acos(min(1.0, max(-1.0, float(np.frombuffer(p, np.float64) @ np.frombuffer(q, np.float64))))) <= half)
-                for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                for p, q in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(core, pa.bool_())],
-                ["component", "id", "x", "core"],
+                [*batch.columns[:4], pa.array(core, pa.bool_())], ["component", "id", "w", "x", "core"]
             )
 
-    placed = members.join(firsts, "component").select("component", "id", "x", "first")
-    placed = placed.mapInArrow(place, "component long, id long, x binary, core boolean")
+    placed = members.join(firsts, "component").select("component", "id", "w", "x", "first")
+    placed = placed.mapInArrow(place, "component long, id long, w long, x binary, core boolean")
     placed = materialise(spark, placed, "nn-placed")
     sizes = placed.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("core"), 1)).alias("n_core")
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("core"), 1)).alias("n_core"),
+        F.sum(F.when(F.col("core"), F.col("w"))).alias("w_core"),
     )
     sizes = materialise(spark, sizes, "nn-sizes")
     rows = placed.join(sizes, "component")
@@ -249,11 +279,11 @@ def _count_links(units: DataFrame, components: DataFrame, threshold: float) -> D
     open_rows = rows.where("n > n_core")
     left = open_rows.where("not core").select(
         "component", own_outer.alias("i"), F.explode(F.sequence(F.lit(0), every - 1)).alias("j"),
-        "id", "x", "core", F.lit(True).alias("outer"),
+        "id", "w", "x", "core", F.lit(True).alias("outer"),
     )
     right = open_rows.select(
         "component", F.explode(F.sequence(F.lit(0), outer - 1)).alias("i"), own_every.alias("j"),
-        "id", "x", "core", F.lit(False).alias("outer"),
+        "id", "w", "x", "core", F.lit(False).alias("outer"),
     )
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
@@ -262,11 +292,11 @@ def _count_links(units: DataFrame, components: DataFrame, threshold: float) -> D
             return pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
         linked = (_stack(a["x"]) @ _stack(b["x"]).T) >= threshold
         linked &= a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
-        core = b["core"].to_numpy()
+        core, weights = b["core"].to_numpy(), b["w"].to_numpy()
         return pd.DataFrame(
             {
                 "id": np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()[core]]),
-                "links": np.concatenate([linked.sum(1), linked[:, core].sum(0)]).astype(np.int64),
+                "links": np.concatenate([linked @ weights, a["w"].to_numpy() @ linked[:, core]]).astype(np.int64),
             }
         )
 
@@ -274,7 +304,7 @@ def _count_links(units: DataFrame, components: DataFrame, threshold: float) -> D
     counted = tiles.applyInPandas(tile, "id long, links long")
     counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
     counted = materialise(spark, counted, "nn-counted")
-    among = F.when(F.col("core"), F.col("n_core") - 1).otherwise(F.lit(0))
+    among = F.when(F.col("core"), F.col("w_core") - F.col("w")).otherwise(F.lit(0))
     return rows.join(counted, "id", "left").select(
         "id", (among + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
     )
@@ -299,8 +329,9 @@ def audit(units: DataFrame, counts: DataFrame, threshold: float) -> float:
                     ids, x = queries[dim]
                     linked = (x @ _stack(part["x"]).T) >= threshold
                     linked &= np.array(ids)[:, None] != part["id"].to_numpy()[None, :]
+                    found = linked @ part["w"].to_numpy()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(linked.sum(1), pa.int64())], ["id", "links"]
+                        [pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["id", "links"]
                     )
 
     true = units.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("t"))
@@ -310,6 +341,59 @@ def audit(units: DataFrame, counts: DataFrame, threshold: float) -> float:
     return 1.0 if not sums[0] else sums[1] / sums[0]
 
 
+def _own_links(holders: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(id, node, own)``: the id's own rows that the vector links with."""
+    spark = holders.sparkSession
+    several = holders.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    several = materialise(spark, holders.join(several, "id", "left_semi"), "nn-several")
+    others = several.select("id", F.col("node").alias("nb"), F.col("own").alias("more"))
+    pairs = several.select("id", "node").join(others, "id").where("node <> nb")
+    both = pairs.select(F.col("node").alias("id"), "nb", F.lit(1.0).alias("sim"))
+    links = _verified(nodes, both, threshold)
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = links.select(F.col("a").alias("node"), F.col("b").alias("nb"))
+    return pairs.join(links, ["node", "nb"]).select("id", "node", F.col("more").alias("own"))
+
+
+def _graph(units: DataFrame, n: int, trees: range, edges: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """The lists of ``units`` after start and descent, from ``edges`` on."""
+    spark = units.sparkSession
+    found = _start(units, n, trees)
+    graph = materialise(spark, _best(found if edges is None else edges.unionByName(found)), "nn-graph")
+    for turn in range(ROUNDS):
+        more = _descend(units, graph, trees.start + turn, near)
+        graph = materialise(spark, _best(graph.unionByName(more)), "nn-graph")
+    return graph
+
+
+def _components(nodes: DataFrame, graph: DataFrame, holders: DataFrame, trees: range, threshold: float) -> DataFrame:
+    """``(node, component)`` over the links in the lists and those that join
+    the components of nodes with saturated lists."""
+    spark = nodes.sparkSession
+    low = threshold - SLACK
+    saturated = graph.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst"))
+    saturated = saturated.where((F.col("n") >= NEIGHBOURS) & (F.col("worst") >= low)).select("id")
+    saturated = materialise(spark, nodes.join(saturated, "id", "left_semi"), "nn-saturated")
+    n = saturated.count()
+    near = graph.join(saturated.select("id"), "id", "left_semi")
+    near = near.join(saturated.select(F.col("id").alias("nb")), "nb", "left_semi").select("id", "nb", "sim")
+    near = materialise(spark, near, "nn-near")
+    one = holders.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    one = holders.join(one, "id").select("a", F.col("node").alias("b"))  # vectors of one id
+    links = materialise(spark, _verified(nodes, graph, threshold).unionByName(one), "nn-links")
+    while True:
+        components = materialise(spark, connected_components(links), "nn-components")
+        named = components.select(F.col("node").alias("id"), F.col("component").alias("grp"))
+        units = materialise(spark, saturated.join(named, "id"), "nn-foreign")
+        if units.agg(F.count_distinct("grp")).first()[0] < 2:
+            return components
+        found = _verified(nodes, _graph(units, n, trees, near=near), threshold)
+        found = materialise(spark, found, "nn-links")
+        if found.isEmpty():
+            return components
+        links = links.unionByName(found)
+
+
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -318,26 +402,33 @@ def near_vectors(
 ) -> DataFrame:
     """Every row of ``vectors`` as ``(id, n_links, component_id)``."""
     spark = vectors.sparkSession
-    units = materialise(spark, unit_vectors(vectors, id_col, vector_col), "nn-units")
-    n = units.count()
-    edges = None
+    rows = materialise(spark, unit_vectors(vectors, id_col, vector_col), "nn-units")
+    nodes, holders = _nodes(rows)
+    n = nodes.count()
+    units = nodes.withColumn("grp", F.col("id"))
+    graph = None
     counts = components = None
     for attempt in range(ATTEMPTS):
-        found = _start(units, n, range(attempt * TREES, (attempt + 1) * TREES))
-        graph = materialise(spark, _best(found if edges is None else edges.unionByName(found)), "nn-graph")
-        for turn in range(ROUNDS):
-            more = _descend(units, graph, attempt * ROUNDS + turn)
-            graph = materialise(spark, _best(graph.unionByName(more)), "nn-graph")
-        edges = graph
-        links = materialise(spark, _verified(units, graph, threshold), "nn-links")
-        components = materialise(spark, connected_components(links), "nn-components")
-        counts = materialise(spark, _count_links(units, components, threshold), "nn-counts")
-        if attempt + 1 == ATTEMPTS or audit(units, counts, threshold) >= MIN_RECALL:
+        trees = range(attempt * TREES, (attempt + 1) * TREES)
+        graph = _graph(units, n, trees, graph)
+        components = _components(nodes, graph, holders, trees, threshold)
+        counts = materialise(spark, _count_links(nodes, components, threshold), "nn-counts")
+        if attempt + 1 == ATTEMPTS or audit(nodes, counts, threshold) >= MIN_RECALL:
             break
-    named = components.withColumnRenamed("node", "id").join(counts.groupBy("id").agg(F.max("n_links").alias("n_links")), "id")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"))
-    return rows.join(named, "id", "left").select(
+    named = nodes.select(F.col("id").alias("node"), "w", "first").join(components, "node", "left")
+    named = named.select("node", "w", "first", F.coalesce("component", "node").alias("component"))
+    named = materialise(spark, named, "nn-named")
+    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = named.join(firsts, "component").join(counts.withColumnRenamed("id", "node"), "node", "left")
+    linked = linked.select("node", "component_id", (F.col("w") + F.coalesce("n_links", F.lit(0))).alias("n"))
+    own = holders.unionByName(_own_links(holders, nodes, threshold))
+    own = own.groupBy("id", "node").agg(F.sum("own").alias("own"))
+    found = own.join(linked, "node").groupBy("id").agg(
+        F.max(F.col("n") - F.col("own")).alias("n_links"), F.min("component_id").alias("component_id")
+    )
+    ids = vectors.select(F.col(id_col).cast("long").alias("id"))
+    return ids.join(found, "id", "left").select(
         "id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("component_id", "id").alias("component_id"),
     )

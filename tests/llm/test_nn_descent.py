@@ -77,6 +77,32 @@ def test_dense_group_counts_in_tiles(spark):
     assert {i: n for i, (n, _) in found.items()} == {i: n for i, (n, _) in want.items()}
 
 
+def two_groups(rng, size, spread):
+    """Near copies around two centres with a cosine of 0.96."""
+    a, b = np.eye(24)[:2]
+    b = 0.96 * a + np.sqrt(1 - 0.96**2) * b
+    rows = [list(map(float, rng.normal(size=24))) for _ in range(200)]
+    rows += [list(map(float, c + rng.normal(size=24) * spread)) for c in (a, b) for _ in range(size)]
+    return [(i, [float(np.float32(c)) for c in x]) for i, x in enumerate(rows)]
+
+
+def test_links_between_saturated_groups(spark):
+    for spread in (0, 1e-3):
+        rows = two_groups(np.random.default_rng(3), 20, spread)
+        want = brute(rows)
+        assert want[200] == (39, 200) and want[239] == (39, 200)
+        assert got(spark, rows) == want
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])]
+    vectors = spark.createDataFrame(
+        [(v, i, "x", 1) for i, v in rows], "embedding array<float>, vec_id long, x string, dim int"
+    )
+    out = {r.id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(vectors).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (1, 1)}
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
