@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from freightlens.llm import nn_descent, queries
 from tests.conftest import SF_SMALL
@@ -94,6 +95,26 @@ def test_links_between_saturated_groups(spark):
         assert got(spark, rows) == want
 
 
+def test_audit_sees_what_is_missed(spark, monkeypatch):
+    rows = two_groups(np.random.default_rng(5), 150, 1e-3)
+    rows += [(1000 + i, [c + 1e-4 for c in x]) for i, x in rows[:100]]  # twins
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    units = nn_descent.unit_vectors(vectors, "vec_id", "embedding")
+    nodes, holders = nn_descent._nodes(units)
+    ids = {r.id: r.node for r in holders.collect()}
+    hot = [(ids[i], 1, 299) for i in range(200, 500)]  # the large group only
+    components = spark.createDataFrame([(n, c) for n, c, _ in hot], "node long, component long")
+    counts = spark.createDataFrame([(n, k) for n, _, k in hot], "id long, n_links long")
+    audited = nn_descent.audit(nodes, holders, components, counts, 0.95)
+    assert audited["large"][2] == 1.0 and audited["small"][2] == 0.0 and not nn_descent._passed(audited)
+    assert not nn_descent._passed({})
+
+    monkeypatch.setattr(nn_descent, "audit", lambda *a: audited)
+    monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_vectors(vectors)
+
+
 def test_ids_with_several_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])]
     vectors = spark.createDataFrame(
