@@ -2,12 +2,14 @@
 
 Equal vectors are one node, weighted with its rows, through all steps.
 
-1. Start. Random hyperplanes deal the vectors into small cells, several times
-   over; within a cell each vector lists its nearest neighbours. Cells that
-   many vectors share are dealt on by hash, so each stays small.
+1. Start. Random hyperplanes deal the vectors into small cells, as many times
+   over as two vectors at the threshold need to meet but for a chance of
+   ``MISS``; within a cell each vector lists its nearest neighbours. Crowded
+   cells are split by more hyperplanes (and more cells follow for those); what
+   these do not part, close copies, is dealt on by hash.
 2. Descent. Each vector's neighbours, and a sample of those that list it, are
-   compared with one another; better neighbours enter the lists. Vectors
-   travel as 32-bit floats here.
+   compared with one another; better neighbours enter the lists, until few
+   entries change. Vectors travel as 32-bit floats here.
 3. List entries near the threshold are verified in double precision and joined
    into components.
 4. Saturated lists hold links only, so links to other groups may stand behind
@@ -49,9 +51,13 @@ from freightlens.plans.session import materialise
 LOG = logging.getLogger(__name__)
 
 CELL = 256  # vectors per cell, about
-TREES = 10
+TREES = 10  # at least
+MISS = 1e-3
+TREES_AT_ONCE = 10
+STEP, SPLITS = 6, 2  # more hyperplanes for crowded cells
 NEIGHBOURS = 8
-ROUNDS = 2
+ROUNDS = 8  # at most
+CHANGED = 0.02  # of the entries, in a last round
 TILE = 1024
 BLOCK = 1024  # vectors audited at a time
 BLOCKS = 16
@@ -106,9 +112,16 @@ def _stack(xs, dtype=np.float64) -> np.ndarray:
     return np.stack([np.frombuffer(x, dtype) for x in xs])
 
 
+def _trees_for(bits: int, threshold: float) -> int:
+    """So many trees that two vectors at ``threshold`` share no cell of
+    ``bits`` hyperplanes with a chance of ``MISS``."""
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(TREES, math.ceil(math.log(MISS) / math.log1p(-meet)))
+
+
 def _cells(units: DataFrame, bits: int, trees: range) -> DataFrame:
-    """``(tree, dim, code, id, grp, x)``: each vector's cell in each tree; ``x``
-    in 32-bit floats."""
+    """``(tree, dim, code, id, grp, x)``: the sides of ``bits`` hyperplanes on
+    which each vector lies in each tree; ``x`` in 32-bit floats."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
@@ -152,28 +165,61 @@ def _nearest_in_cell(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _best(edges: DataFrame) -> DataFrame:
-    """``(id, nb, sim)``: each id's ``NEIGHBOURS`` best."""
-    edges = edges.groupBy("id", "nb").agg(F.max("sim").alias("sim"))
+    """``(id, nb, sim)``: each id's ``NEIGHBOURS`` best; ``fresh``, if given, is
+    0 for an entry that also came with 0."""
+    fresh = [F.min("fresh").alias("fresh")] if "fresh" in edges.columns else []
+    edges = edges.groupBy("id", "nb").agg(F.max("sim").alias("sim"), *fresh)
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "nb")
     ranked = edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEIGHBOURS)
     return ranked.drop("rank")
 
 
-def _start(units: DataFrame, n: int, trees: range) -> DataFrame:
+def _dealt(cells: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """``cells`` with ``depth`` and ``cell``: crowded cells are split by
+    ``STEP`` more hyperplanes, ``SPLITS`` times at most; and the most
+    hyperplanes used."""
+    spark = cells.sparkSession
+    rows = cells.withColumn("depth", F.lit(bits))
+    for split in range(SPLITS + 1):
+        deepest = bits + split * STEP
+        rows = rows.withColumn("cell", F.col("code").bitwiseAND(F.expr("shiftleft(1L, depth) - 1")))
+        if split == SPLITS:
+            break
+        crowded = rows.groupBy("tree", "dim", "depth", "cell").agg(F.count(F.lit(1)).alias("n"))
+        crowded = crowded.where((F.col("n") > 4 * CELL) & (F.col("depth") == deepest))
+        crowded = materialise(spark, crowded.drop("n").withColumn("more", F.lit(STEP)), "nn-crowded")
+        if crowded.isEmpty():
+            break
+        rows = rows.join(crowded, ["tree", "dim", "depth", "cell"], "left")
+        rows = rows.withColumn("depth", F.col("depth") + F.coalesce("more", F.lit(0))).drop("more")
+    return rows, deepest
+
+
+def _start(units: DataFrame, n: int, first: int, threshold: float) -> DataFrame:
+    """Lists from cells of trees ``first`` and on, as many as the deepest cells
+    need."""
     spark = units.sparkSession
     bits = max(1, math.ceil(math.log2(max(2, n / CELL))))
-    cells = materialise(spark, _cells(units, bits, trees), "nn-cells")
-    crowded = cells.groupBy("tree", "dim", "code").agg(F.count(F.lit(1)).alias("n"))
-    crowded = crowded.where(F.col("n") > 4 * CELL)
-    crowded = materialise(spark, crowded, "nn-crowded")
-    dealt = cells.join(crowded, ["tree", "dim", "code"], "left")
-    parts = F.ceil(F.col("n") / CELL)
-    part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "tree"), parts))
-    dealt = dealt.select("tree", "dim", "code", part.cast("long").alias("part"), "id", "grp", "x")
-    edges = dealt.groupBy("tree", "dim", "code", "part").applyInPandas(
-        lambda frame: _nearest_in_cell(frame), "id long, nb long, sim float"
-    )
-    return edges
+    graph, done, needed = None, 0, _trees_for(bits, threshold)
+    while done < needed:
+        count = math.ceil((needed - done) / math.ceil((needed - done) / TREES_AT_ONCE))
+        trees = range(first + done, first + done + count)
+        cells = materialise(spark, _cells(units, bits + SPLITS * STEP, trees), "nn-cells")
+        rows, deepest = _dealt(cells, bits)
+        needed = max(needed, _trees_for(deepest, threshold))
+        # What is still crowded, close copies, is dealt by hash.
+        full = rows.groupBy("tree", "dim", "depth", "cell").agg(F.count(F.lit(1)).alias("n"))
+        full = materialise(spark, full.where(F.col("n") > 4 * CELL), "nn-crowded")
+        dealt = rows.join(full, ["tree", "dim", "depth", "cell"], "left")
+        parts = F.ceil(F.col("n") / CELL)
+        part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "tree"), parts))
+        dealt = dealt.select("tree", "dim", "depth", "cell", part.cast("long").alias("part"), "id", "grp", "x")
+        edges = dealt.groupBy("tree", "dim", "depth", "cell", "part").applyInPandas(
+            lambda frame: _nearest_in_cell(frame), "id long, nb long, sim float"
+        )
+        graph = materialise(spark, _best(edges if graph is None else edges.unionByName(graph)), "nn-graph")
+        done += count
+    return graph
 
 
 def _descend(units: DataFrame, graph: DataFrame, turn: int, near: DataFrame | None = None) -> DataFrame:
@@ -410,18 +456,27 @@ def _own_links(holders: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return pairs.join(links, ["node", "nb"]).select("id", "node", F.col("more").alias("own"))
 
 
-def _graph(units: DataFrame, n: int, trees: range, edges: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
-    """The lists of ``units`` after start and descent, from ``edges`` on."""
+def _graph(
+    units: DataFrame, n: int, first: int, threshold: float, edges: DataFrame | None = None, near: DataFrame | None = None
+) -> DataFrame:
+    """The lists of ``units`` after start and descent, from ``edges`` on. The
+    descent ends when few entries change."""
     spark = units.sparkSession
-    found = _start(units, n, trees)
-    graph = materialise(spark, _best(found if edges is None else edges.unionByName(found)), "nn-graph")
+    graph = _start(units, n, first, threshold)
+    if edges is not None:
+        graph = materialise(spark, _best(graph.unionByName(edges)), "nn-graph")
     for turn in range(ROUNDS):
-        more = _descend(units, graph, trees.start + turn, near)
-        graph = materialise(spark, _best(graph.unionByName(more)), "nn-graph")
+        more = _descend(units, graph, first + turn, near).withColumn("fresh", F.lit(1))
+        both = materialise(spark, _best(graph.withColumn("fresh", F.lit(0)).unionByName(more)), "nn-graph")
+        fresh, entries = both.agg(F.sum("fresh"), F.count(F.lit(1))).first()
+        graph = both.drop("fresh")
+        if not entries or fresh <= CHANGED * entries:
+            break
+        LOG.info("descent, round %d: %d of %d entries changed", turn + 1, fresh, entries)
     return graph
 
 
-def _components(nodes: DataFrame, graph: DataFrame, holders: DataFrame, trees: range, threshold: float) -> DataFrame:
+def _components(nodes: DataFrame, graph: DataFrame, holders: DataFrame, first: int, threshold: float) -> DataFrame:
     """``(node, component)`` over the links in the lists and those that join
     the components of nodes with saturated lists."""
     spark = nodes.sparkSession
@@ -442,7 +497,7 @@ def _components(nodes: DataFrame, graph: DataFrame, holders: DataFrame, trees: r
         units = materialise(spark, saturated.join(named, "id"), "nn-foreign")
         if units.agg(F.count_distinct("grp")).first()[0] < 2:
             return components
-        found = _verified(nodes, _graph(units, n, trees, near=near), threshold)
+        found = _verified(nodes, _graph(units, n, first, threshold, near=near), threshold)
         found = materialise(spark, found, "nn-links")
         if found.isEmpty():
             return components
@@ -464,9 +519,8 @@ def near_vectors(
     graph = None
     counts = components = None
     for attempt in range(ATTEMPTS):
-        trees = range(attempt * TREES, (attempt + 1) * TREES)
-        graph = _graph(units, n, trees, graph)
-        components = _components(nodes, graph, holders, trees, threshold)
+        graph = _graph(units, n, attempt * 1000, threshold, graph)
+        components = _components(nodes, graph, holders, attempt * 1000, threshold)
         counts = materialise(spark, _count_links(nodes, components, threshold), "nn-counts")
         audited = audit(nodes, holders, components, counts, threshold)
         LOG.info("audit of attempt %d (vectors, with all links, mean recall): %s", attempt + 1, audited)

@@ -115,6 +115,21 @@ def test_audit_sees_what_is_missed(spark, monkeypatch):
         nn_descent.near_vectors(vectors)
 
 
+def test_trees_and_crowded_cells(spark, monkeypatch):
+    for bits in (6, 12, 17):  # a pair at the threshold meets in one of the trees
+        meet = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert (1 - meet) ** nn_descent._trees_for(bits, 0.95) <= nn_descent.MISS
+    # Vectors at right angles in one crowded cell are parted by hyperplanes.
+    monkeypatch.setattr(nn_descent, "CELL", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(c) for c in rng.normal(size=24)]) for i in range(600)]
+    units = nn_descent._nodes(nn_descent.unit_vectors(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v"))[0]
+    cells = nn_descent._cells(units.withColumn("grp", units["id"]), 1 + 12, range(1))
+    dealt, deepest = nn_descent._dealt(cells, 1)
+    sizes = [r["count"] for r in dealt.groupBy("tree", "dim", "depth", "cell").count().collect()]
+    assert deepest > 1 and sum(sizes) == 600 and max(sizes) <= 64
+
+
 def test_ids_with_several_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])]
     vectors = spark.createDataFrame(
