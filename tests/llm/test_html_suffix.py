@@ -38,6 +38,11 @@ def test_structure():
     assert others == []
 
 
+def test_self_closed_foreign_elements():
+    page = "<article><p>One <svg viewBox='0 0 1 1'/> two</p><math/><p>three <svg><text>no</text></svg> four</p></article>"
+    assert html_suffix.page_blocks(page)[0] == ["One two", "three four"]
+
+
 def test_hosts_decide_where_pages_do_not(spark):
     menu = "<div>Start News Weather Sports Culture Travel Money Games Letters</div>"
     end = "<div>Written by the people of this site for all who read it</div>"
