@@ -8,7 +8,9 @@ url that one fits stays allowed whatever its class holds.
 
 Links are taken from the page itself: ``<link rel="canonical" href>`` and
 ``<meta http-equiv="refresh" content="0; url=...">``; more edges can be given
-as a table. Urls are compared without scheme and fragment. Targets that are not
+as a table. Targets are resolved against the page's url, with ``.`` and ``..``
+folded. Urls are compared without scheme and fragment, an empty path as ``/``.
+Targets that are not
 pages themselves are judged by the rules too and pass their decision on.
 
 Defined results: a null url, or one without ``://``, has an empty host and
@@ -43,8 +45,10 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The url as a node: host, path and query, without scheme and fragment."""
+    """The url as a node: host, path and query, without scheme and fragment;
+    an empty path is ``/``."""
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
     has_host = url.contains("://")
     return F.when(has_host, F.concat(host_of(url), rest))
 
@@ -63,17 +67,44 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return found
 
 
+def _folded(path: Column) -> Column:
+    """A path from the root with ``.`` and ``..`` resolved."""
+    none = F.array().cast("array<string>")
+    parts = F.split(F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        none,
+        lambda found, part: F.when(part == "..", F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))))
+        .when(part == ".", found)
+        .otherwise(F.concat(found, F.array(part))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def links_in(html: Column, url: Column) -> Column:
     """The nodes that a page names as its canonical url or redirects to.
-    Targets without a scheme or from the root are read against ``url``."""
+    Targets without a scheme are read against ``url``: from its root, its
+    folder, its path (``?``) or itself (``#``). Other schemes name no page."""
+    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
 
     def absolute(target: Column) -> Column:
         target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+        root = F.concat(scheme, F.lit("://"), host_of(url))
+        own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)  # path
+        rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+        relative = (
+            F.when(target.startswith("#"), url)
+            .when(target.startswith("?"), F.concat(root, path_of(url), target))
+            .when(target.startswith("/"), F.concat(root, _folded(own), rest))
+            .otherwise(F.concat(root, _folded(F.concat(folder, own)), rest))
+        )
         return (
-            F.when(target.contains("://"), target)
+            F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
             .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target))
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when((target != "") & url.contains("://"), relative)
         )
 
     named = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (CANONICAL, REFRESH)]

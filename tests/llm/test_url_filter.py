@@ -67,6 +67,32 @@ def test_blocks_pass_to_aliases_and_allow_comes_first(spark):
     assert got[11].verdict == "block" and got[11].host == "x.example.com"
 
 
+def test_relative_targets(spark):
+    cases = [
+        ("http://h.org/a/b.html", "c.html", "h.org/a/c.html"),
+        ("http://h.org/a/b.html?q", "./../c/", "h.org/c/"),
+        ("http://h.org/a/b/c", "../..", "h.org/"),
+        ("http://h.org/a/b", "../../../x", "h.org/x"),
+        ("http://h.org/a/b?q=1#f", "?p=1&amp;u=http://x/", "h.org/a/b?p=1&u=http://x/"),
+        ("http://h.org/a/b?q=1", "#top", "h.org/a/b?q=1"),
+        ("http://h.org", "new/p", "h.org/new/p"),
+        ("http://h.org?x", "?p=1", "h.org/?p=1"),
+        ("http://h.org/a", "/b/./c/../d?x=../y", "h.org/b/d?x=../y"),
+        ("http://h.org/a", "https://Other.org", "other.org/"),
+        ("http://h.org/a", "mailto:x", None),
+        ("no scheme", "x", None),
+    ]
+    frame = spark.createDataFrame([(u, canonical(t)) for u, t, _ in cases], "url string, html string")
+    got = frame.select(url_filter.links_in(frame["html"], frame["url"]).alias("l")).collect()
+    assert [r.l for r in got] == [[w] if w else [] for _, _, w in cases]
+    rows = [
+        (1, "http://bad.example.net/x/y", canonical("../new"), "n", 1),
+        (2, "http://bad.example.net/new", canonical("http://alias.example.edu"), "n", 1),
+        (3, "http://alias.example.edu/", None, "n", 1),
+    ]
+    assert judged(spark, rows)[3].verdict == "block"
+
+
 def test_given_edges_and_empty_table(spark):
     edges = spark.createDataFrame(
         [("http://p.example.org/", "http://q.example.org/"), ("http://q.example.org/", "http://net/")],
