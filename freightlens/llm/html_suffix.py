@@ -63,44 +63,61 @@ PARTS = re.compile(
     r"skip|hidden)$",
     re.I,
 )
+PLACES = {"site", "page", "main", "global"}  # may precede the leading name
+BY_NAME, OUT = 1, 2
+OUTSIDE, INSIDE, ENCLOSED = 0, 1, 2  # ENCLOSED: an article in an element that is out by name
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 
 
-def _left_out(tag: str, attributes: str, inside_text: bool) -> bool:
-    """Whether an element is no part of the text by what it says of itself."""
+def _left_out(tag: str, attributes: str, inside_text: bool) -> int:
+    """Whether an element is no part of the text by what it says of itself:
+    ``BY_NAME`` if only a class, id or role says so, else ``OUT`` or 0. Of a
+    class or id the whole or its leading name counts."""
     if tag in LEFT_OUT or (tag == "header" and not inside_text):
-        return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return OUT
+    if not attributes.strip() or tag in ("html", "body"):
+        return 0
+    found = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             for token in value.split():
-                parts = [p for p in re.split(r"[-_]+", token) if PARTS.match(p)]
-                if [p for p in parts if not (inside_text and p.lower() == "header")]:
-                    return True
+                named = [p for p in re.split(r"[-_]+", token) if p]
+                if len(named) > 1 and named[0].lower() in PLACES:
+                    named = named[1:]
+                if named and PARTS.match(named[0]) and not (inside_text and named[0].lower() == "header"):
+                    found = BY_NAME
         elif name == "role" and value.lower() in ROLES:
-            return True
+            found = BY_NAME
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return OUT
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return OUT
+    # An article named so (a comment, a card) is out for good, main is not.
+    return OUT if found and tag == "article" else found
 
 
 def page_blocks(page: str) -> tuple[list[str], list[str]]:
     """``(text, others)``: the blocks inside article or main elements and the
     blocks outside, both without elements that are left out."""
-    found: tuple[list[str], list[str]] = ([], [])
-    open_tags: list[tuple[str, bool, bool]] = []  # name, left out, inside the text
+    blocks, kinds = ordered_blocks(page)
+    inside = [b for b, k in zip(blocks, kinds) if k == INSIDE] or [b for b, k in zip(blocks, kinds) if k == ENCLOSED]
+    return inside, [b for b, k in zip(blocks, kinds) if k == OUTSIDE]
+
+
+def ordered_blocks(page: str) -> tuple[list[str], list[int]]:
+    """The blocks in their order and the kind of each."""
+    found: tuple[list[str], list[int]] = ([], [])
+    open_tags: list[tuple[str, int, int]] = []  # name, left out, kind
     piece: list[str] = []
-    left_out = inside = False
+    left_out, inside = 0, OUTSIDE
 
     def close_block() -> None:
         if piece:
             block = " ".join(entities.unescape("".join(piece)).split())
             if block:
-                found[0 if inside else 1].append(block)
+                found[0].append(block)
+                found[1].append(inside)
             piece.clear()
 
     at = 0
@@ -125,25 +142,26 @@ def page_blocks(page: str) -> tuple[list[str], list[str]]:
                     break
                 if tag in INLINE and open_tags[k][0] not in INLINE:
                     break
-            left_out, inside = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
+            left_out, inside = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (0, OUTSIDE)
             continue
         if tag in VOID or m[4].rstrip().endswith("/"):
             continue
-        out = left_out or _left_out(tag, m[4], inside)
+        out = max(left_out, _left_out(tag, m[4], inside != OUTSIDE) if left_out < OUT else 0)
         if tag in INLINE:
-            if out and not left_out:
-                open_tags.append((tag, True, inside))
-                left_out = True
-            elif left_out:
-                open_tags.append((tag, True, inside))
+            if out:
+                open_tags.append((tag, out, inside))
+                left_out = out
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th"):  # closed by the next of their kind
             if open_tags and open_tags[-1][0] == tag:
                 open_tags.pop()
-                out_above = open_tags[-1][1] if open_tags else False
-                out = out_above or _left_out(tag, m[4], inside)
-        open_tags.append((tag, out, inside or (tag in ("article", "main") and not out)))
-        left_out, inside = out, open_tags[-1][2]
+                out_above = open_tags[-1][1] if open_tags else 0
+                out = max(out_above, _left_out(tag, m[4], inside != OUTSIDE))
+        kind = inside
+        if tag in ("article", "main") and out < OUT:
+            kind, out = (ENCLOSED if out or inside == ENCLOSED else INSIDE), 0
+        open_tags.append((tag, out, kind))
+        left_out, inside = out, kind
     if not left_out and at < len(page):
         piece.append(page[at:])
     close_block()

@@ -43,6 +43,20 @@ def test_self_closed_foreign_elements():
     assert html_suffix.page_blocks(page)[0] == ["One two", "three four"]
 
 
+def test_layout_classes_and_named_articles():
+    for name in ("wrapper has-sidebar", "no-sidebar", "with-comments", "social-science", "search-results"):
+        page = f'<body><div class="{name}"><article><p>The text</p></article></div>'
+        assert html_suffix.page_blocks(page)[0] == ["The text"], name
+    for name in ("has-sidebar", "no-sidebar", "with-comments"):
+        assert html_suffix.page_blocks(f'<div class="{name}"><p>The text</p></div>')[1] == ["The text"]
+    out = '<div class="site-footer">no</div><div class="cookie-notice">no</div>'
+    assert html_suffix.page_blocks(out) == ([], [])
+    page = '<div><p>The text</p></div><div><article class="comment"><p>no</p></article></div>'
+    assert html_suffix.page_blocks(page) == ([], ["The text"])
+    page = '<article><p>The text</p></article><div class="related"><article>no</article></div>'
+    assert html_suffix.page_blocks(page) == (["The text"], [])
+
+
 def test_hosts_decide_where_pages_do_not(spark):
     menu = "<div>Start News Weather Sports Culture Travel Money Games Letters</div>"
     end = "<div>Written by the people of this site for all who read it</div>"
