@@ -1,14 +1,15 @@
 """Main text of HTML pages, with a suffix array over each host's token streams.
 
 A page is cut into blocks of text. Elements that say what they are (nav,
-footer, forms, scripts, or a class, id or role to that effect) are left out,
-and an ``article`` or ``main`` element is taken as the text. Where a page has
-neither, every block outside those elements is a candidate, and the host
-decides: the candidates' tokens are concatenated page by page, a suffix array
-(sorted to a depth of ``RUN`` tokens, more is not needed to tell which places
-lie in a long repeated run) finds the runs of at least ``RUN`` tokens that
-``MIN_PAGES`` different pages of the host share, and those runs are removed as
-boilerplate. What is unique stays.
+footer, forms, scripts, or a class, id or role to that effect) are left out.
+The blocks of all pages, in articles or not, go through the host: their tokens
+are concatenated page by page, a suffix array (sorted to a depth of ``RUN``
+tokens, more is not needed to tell which places lie in a long repeated run)
+finds the runs of at least ``RUN`` tokens that ``MIN_PAGES`` different pages of
+the host share, and those runs are removed as boilerplate. What is unique
+stays. Runs that cover more than half of a page's article are taken as a copy
+of the article and stay. Then ``article`` and ``main`` elements are the text,
+unless more text stands outside them: then both are.
 
 A host may hold a third of all pages, so its pages are dealt over shards of
 bounded size; each shard builds its own suffix array and reports every run's
@@ -185,28 +186,23 @@ def _run_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``(id, url, host, text, others, keys, stream, n_tokens)``; only one of
-    ``text`` and ``others`` is set."""
+    """``(id, url, host, blocks, kinds, stream, n_tokens)``."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns: list[list] = [[], [], [], [], []]
+                columns: list[list] = [[], [], [], []]
                 for page in part.column(3):
-                    text, others = page_blocks(page.as_py() or "")
-                    if text or not others:
-                        row = ("\n".join(text), None, None, None, None)
-                    else:
-                        tokens = _token_hashes(others)
-                        stream = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
-                        row = (None, others, _run_keys(tokens).tolist(), stream, len(tokens))
-                    for column, value in zip(columns, row):
+                    blocks, kinds = ordered_blocks(page.as_py() or "")
+                    tokens = _token_hashes(blocks)
+                    stream = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+                    for column, value in zip(columns, (blocks, kinds, stream, len(tokens))):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                    ["id", "url", "host", "text", "others", "keys", "stream", "n_tokens"],
+                    [*part.columns[:3], *[pa.array(c, k) for c, k in zip(columns, types)]],
+                    ["id", "url", "host", "blocks", "kinds", "stream", "n_tokens"],
                 )
 
     url = F.col(f"`{url_col}`")
@@ -218,11 +214,31 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     )
     return rows.mapInArrow(
         parse,
-        "id long, url string, host string, text string, others array<string>, keys array<long>, "
-        "stream long, n_tokens long",
+        "id long, url string, host string, blocks array<string>, kinds array<int>, stream long, n_tokens long",
     )
 
 
+def _streams(parsed: DataFrame) -> DataFrame:
+    """``(host, stream, n_tokens, keys)`` of the hosts with ``MIN_PAGES``
+    different pages; others share no run."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [_run_keys(_token_hashes(b)).tolist() for b in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(own, pa.list_(pa.int64()))], ["host", "stream", "n_tokens", "keys"]
+                )
+
+    spark = parsed.sparkSession
+    rows = parsed.where(F.col("n_tokens") >= RUN)
+    several = rows.groupBy("host").agg(F.count_distinct("stream").alias("n")).where(F.col("n") >= MIN_PAGES)
+    several = materialise(spark, several.select("host"), "hosts")
+    rows = rows.select("host", "stream", "n_tokens", "blocks").join(several, "host", "left_semi")
+    return rows.mapInArrow(keys, "host string, stream long, n_tokens long, keys array<long>")
+
+
 def _shard_runs(frame: pd.DataFrame) -> pd.DataFrame:
     """The runs of a shard with the number of pages that hold each, from the
     suffix array of its pages' streams (sorted to a depth of ``RUN`` tokens)."""
@@ -243,8 +259,7 @@ def _shard_runs(frame: pd.DataFrame) -> pd.DataFrame:
 def _boilerplate(candidates: DataFrame) -> DataFrame:
     """``(host, key)``: the runs that enough pages of a host share."""
     spark = candidates.sparkSession
-    rows = candidates.where(F.size("keys") > 0).select("host", "stream", "keys", "n_tokens")
-    rows = materialise(spark, rows, "page-streams")
+    rows = candidates
     sizes = rows.groupBy("host").agg(F.sum("n_tokens").alias("all"))
     sizes = materialise(spark, sizes, "host-sizes")
     shards = F.ceil(F.col("all") / SHARD_TOKENS)
@@ -259,9 +274,9 @@ def _boilerplate(candidates: DataFrame) -> DataFrame:
     return runs.where(F.col("pages") >= MIN_PAGES).select("host", "key")
 
 
-def _unique_text(blocks: list[str], starts: set[int]) -> str:
+def _unique_blocks(blocks: list[str], starts: set[int]) -> list[str]:
     """``blocks`` without the tokens covered by the runs at ``starts``. Blocks
-    covered in full go; in others only stretches of ``RUN`` tokens or more, so
+    covered in full become empty; in others only stretches of ``RUN`` tokens or more, so
     a run that ends some words into a block takes nothing from it."""
     kept, at, covered = [], 0, 0  # covered: up to this token
     for block in blocks:
@@ -279,40 +294,52 @@ def _unique_text(blocks: list[str], starts: set[int]) -> str:
                 stretch = []
                 words.append(word)
             at += 1
-        if words or gone:
-            if len(stretch) < RUN:
-                words += stretch
-            if words:
-                kept.append(" ".join(words))
-    return "\n".join(kept)
+        if (words or gone) and len(stretch) < RUN:
+            words += stretch
+        kept.append(" ".join(words))
+    return kept
+
+
+def _main_text(blocks: list[str], kinds: list[int], starts: set[int]) -> str:
+    """What the runs leave, decided by structure. Runs that cover most of an
+    article are a copy of it, not boilerplate. The article is the text unless
+    more text stands outside."""
+    unique = _unique_blocks(blocks, starts) if starts else blocks
+    text = INSIDE if INSIDE in kinds else ENCLOSED
+    length = lambda of, kind: sum(len(b) for b, k in zip(of, kinds) if k == kind)
+    if 2 * length(unique, text) < length(blocks, text):
+        unique = [b if k == text else u for b, u, k in zip(blocks, unique, kinds)]
+    if length(unique, text) >= length(unique, OUTSIDE):
+        taken = {text}
+    else:
+        taken = {OUTSIDE, INSIDE}
+    return "\n".join(u for u, k in zip(unique, kinds) if u and k in taken)
 
 
 def main_texts(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """Every row of ``pages`` as ``(id, url, text, by_host)``; ``by_host`` tells
-    whether the host's runs decided."""
+    whether the host's runs took part."""
     spark = pages.sparkSession
     parsed = materialise(spark, _parsed(pages, id_col, url_col, html_col), "page-blocks")
-    candidates = parsed.where("others is not null")
+    candidates = materialise(spark, _streams(parsed), "page-streams")
     shared = materialise(spark, _boilerplate(candidates), "host-boilerplate")
-    places = candidates.select("host", "stream", F.posexplode("keys").alias("at", "key"))
-    places = places.distinct().join(shared, ["host", "key"])
+    places = candidates.dropDuplicates(["host", "stream"])
+    places = places.select("host", "stream", F.posexplode("keys").alias("at", "key"))
+    places = places.join(shared, ["host", "key"])
     places = places.groupBy("host", "stream").agg(F.collect_set("at").alias("starts"))
     places = materialise(spark, places, "boilerplate-places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                _unique_text(blocks, set(starts or ()))
-                for blocks, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
+            columns = [batch.column(k).to_pylist() for k in (2, 3, 4)]
+            texts = [_main_text(blocks, kinds, set(starts or ())) for blocks, kinds, starts in zip(*columns)]
+            by_host = pa.array([bool(s) for s in columns[2]], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"]
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), by_host],
+                ["id", "url", "text", "by_host"],
             )
 
-    decided = candidates.select("id", "url", "host", "stream", "others")
-    decided = decided.join(places, ["host", "stream"], "left").select("id", "url", "others", "starts")
-    decided = decided.mapInArrow(cut, "id long, url string, text string")
-    own = parsed.where("others is null").select("id", "url", "text", F.lit(False).alias("by_host"))
-    return own.unionByName(decided.withColumn("by_host", F.lit(True)))
+    decided = parsed.join(places, ["host", "stream"], "left").select("id", "url", "blocks", "kinds", "starts")
+    return decided.mapInArrow(cut, "id long, url string, text string, by_host boolean")

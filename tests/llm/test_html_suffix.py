@@ -74,6 +74,19 @@ def test_hosts_decide_where_pages_do_not(spark):
     assert got[40] == got[41] == "" and got[42] == "plain & text"
 
 
+def test_hosts_decide_in_articles_too(spark):
+    notice = "<div>Read this every day and tell your friends about us please</div>"
+    story = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(5)]
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{story[i]}</p>{notice}</article>", "t", 1) for i in range(5)]
+    copy = " ".join(f"c{k}" for k in range(40))
+    rows += [(10 + i, f"http://c.org/{i}", f"<article><p>{copy}</p></article><p>{i}</p>", "t", 1) for i in range(4)]
+    rows += [(20, "http://p.org/", f"<div>{story[0]}</div><article>A teaser</article>", "t", 1)]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(5)] == story
+    assert {got[10 + i] for i in range(4)} == {copy}
+    assert got[20] == story[0] + "\nA teaser"
+
+
 def test_shards_agree_with_one(spark):
     menu = " ".join(f"menu{k}" for k in range(12))
     rows = [(i, "http://h.example/", f"<div>{menu}</div><p>page {i} has {i} own words here</p>", "t", 1) for i in range(60)]
