@@ -25,6 +25,54 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_OP12 = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
+       sha256(norm) AS text_sha256
+FROM t
+"""
+
+_OP13 = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), sizes AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM doc_terms GROUP BY doc_id
+), totals AS (
+  SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sizes
+), held AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM doc_terms GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * max(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, totals GROUP BY term
+), parts AS (
+  SELECT item_id, doc_id,
+         w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))) AS part
+  FROM item_terms JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+), scored AS (
+  SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM parts GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+       doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": _OP10,
+    "op12_chunk_recipes": _OP12,
+    "op13_ranked_search": _OP13,
 }

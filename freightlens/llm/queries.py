@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightlens.llm import (
+    exact_dedup,
     html_suffix,
+    lexical_search,
     line_dedup,
     minhash,
     mixing,
     nn_descent,
     piece_codec,
     quality,
+    token_alignment,
     token_scan,
     url_filter,
     warc,
@@ -41,6 +44,7 @@ URL_RULES = [
     ("org/fr/", "allow"),
 ]
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -142,6 +146,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align_documents(
+        table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL
+    )
+    return aligned.withColumnRenamed("id", "doc_id")
+
+
+def op12_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
+    return copies.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
@@ -153,4 +177,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_piece_codec": op9_piece_codec,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_chunk_recipes": op12_chunk_recipes,
+    "op13_ranked_search": op13_ranked_search,
 }

@@ -1,0 +1,106 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from freightlens.llm import lexical_search
+from freightlens.llm.lexical_search import rank_documents, resolve
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return TERM.findall(low)
+
+
+def brute(docs, items, k=10):
+    docs = [(d, words(t)) for d, t in docs if d is not None and words(t)]
+    n_docs, length = len(docs), sum(len(w) for _, w in docs)
+    df = Counter(t for _, w in docs for t in set(w))
+    out = []
+    for item, text in set(items):
+        scores = []
+        for doc, w in docs:
+            tf, score = Counter(w), 0
+            m = 100 - 75 + 75 * len(w) * n_docs // length
+            for t in words(text):
+                if tf[t]:
+                    weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    score += weight * (1_000_000_000 * tf[t] // (1000 * tf[t] + 8 * m))
+            if score > 0:
+                scores.append((-score, doc))
+        out += [(item, rank, d, -s) for rank, (s, d) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def got(spark, docs, items, **more):
+    docs = spark.createDataFrame([(t, d, 1) for d, t in docs], "text string, doc_id long, term int")
+    items = spark.createDataFrame([(t, i, "x") for i, t in items], "text string, item_id long, id string")
+    rows = rank_documents(docs, items, **more).collect()
+    return sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in rows), key=str)
+
+
+def sample(n=300):
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(60)] + ["The", "été", "漢字", "x1", "a_b", "B"]
+    weights = [1 / (i + 1) for i in range(len(pool))]
+    text = lambda n: " ".join(rng.choices(pool, weights, k=n)) + rng.choice(["", ".", "\n"])
+    docs = [(i, text(rng.choice([0, 1, 5, 40, 200]))) for i in range(n)]
+    docs += [(n, None), (n + 1, ""), (n + 2, "..."), (None, "w1 w2"), (5, docs[5][1]), (5, "w1"), (n + 3, docs[1][1])]
+    items = [(i, text(rng.choice([1, 4, 12]))) for i in range(25)]
+    items += [(30, None), (31, ""), (32, "nothing has this"), (1, items[1][1]), (1, "w3 w3 w9"), (None, "w2")]
+    return docs, items
+
+
+def test_against_brute_force(spark):
+    docs, items = sample()
+    assert got(spark, docs, items) == brute(docs, items)
+
+
+def test_small_segments_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "SEGMENT", 64)
+    docs, items = sample(120)
+    assert got(spark, docs, items, block_terms=9) == brute(docs, items)
+    assert got(spark, docs, items, k=3) == brute(docs, items, 3)
+
+
+def test_ties_of_very_many_copies(spark):
+    docs = [(i, "the same text with a rare word") for i in range(400, 0, -1)] + [(900 + i, "the text") for i in range(200)]
+    assert got(spark, docs, [(1, "rare text")]) == brute(docs, [(1, "rare text")])
+
+
+def test_a_very_long_text(spark):
+    docs = [(1, "needle " + "hay " * 200_000), (2, "needle hay"), (3, "hay " * 9)]
+    assert got(spark, docs, [(7, "hay needle")]) == brute(docs, [(7, "hay needle")])
+
+
+def test_empty_tables(spark):
+    docs, items = sample(20)
+    assert got(spark, [], items) == [] and got(spark, docs, []) == [] and got(spark, [(1, "?")], items) == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.tuples(st.dictionaries(st.integers(0, 30), st.integers(0, 9), max_size=20), st.integers(1, 3)), max_size=7),
+    st.integers(1, 12),
+    st.integers(2, 9),
+)
+def test_reading_ends_with_the_true_best(terms, k, step):
+    lists, score = [], Counter()
+    for impacts, times in terms:
+        order = sorted(impacts, key=lambda d: (-impacts[d], d))
+        if order:
+            lists.append((np.array(order), -np.array([impacts[d] for d in order]), times))
+        for d, s in impacts.items():
+            score[d] += s * times
+    docs, scores = resolve(lists, 31, k, step)
+    assert all(score[d] == s for d, s in zip(docs.tolist(), scores.tolist()))
+    want = sorted((-s, d) for d, s in score.items() if s > 0)[:k]
+    assert sorted((-s, d) for d, s in zip(docs.tolist(), scores.tolist()))[:k] == want
