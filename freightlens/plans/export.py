@@ -49,7 +49,6 @@ def run_cleaning_job(
     days_of_stock: Column | DataFrame,
     fmt: str = "parquet",
     encoding: str = "ISO-8859-1",
-    multi_line: bool = False,
 ) -> dict[str, str]:
     """Clean ``raw_path`` and write the three tables under ``out_dir``.
 
@@ -65,7 +64,7 @@ def run_cleaning_job(
         "inventory": f"{out}/inventory",
         "route_segment_lookup": f"{out}/route_segment_lookup",
     }
-    options = {"encoding": encoding, "multi_line": multi_line}
+    options = {"encoding": encoding}
     rejected = Observation("rejected_lines")
     raw = (
         raw_order_lines_checked(spark, raw_path, **options)

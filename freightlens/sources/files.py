@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freightlens.constants import RAW_ENCODING
+from freightlens.sources.records import fields_of, read_records
 from freightlens.sources.schemas import (
     INVENTORY_SCHEMA,
     RAW_ORDER_LINE_SCHEMA,
@@ -37,15 +38,23 @@ def _as_number(text: Column, dtype: T.DataType) -> Column:
     return F.when(value == exact, value)
 
 
+def _header(spark: SparkSession, path: str, encoding: str, multi_line: bool = True) -> list[str]:
+    """The column names of the first file; only its first record is parsed."""
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    reader = reader.option("encoding", encoding).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", multi_line).csv(path).columns
+
+
 def raw_order_lines_checked(
     spark: SparkSession,
     path: str,
     schema: T.StructType = RAW_ORDER_LINE_SCHEMA,
     encoding: str = RAW_ENCODING,
-    multi_line: bool = False,
     key: str = "Order Id",
 ) -> DataFrame:
-    """Every line of the raw export: Latin-1 text, header line, quoted fields.
+    """Every record of the raw export: Latin-1 text, header line, quoted fields,
+    which may hold line breaks; a large file is read by many tasks all the same
+    (see ``sources.records``).
 
     Columns are found by their header names, in any order; a column of
     ``schema`` that the header lacks is an error naming it, and files whose
@@ -53,42 +62,27 @@ def raw_order_lines_checked(
     are read as text and cast, so no digit is rounded away.
 
     Adds ``file_order_key`` = (file path, byte offset of the split, position in
-    the split), the order of the lines in the files
-    (``monotonically_increasing_id`` is stable here because it is taken
-    directly on the scan, before any exchange), and ``reject_reason``: NULL on
-    good lines, else ``broken line`` (more or fewer fields than the header) or
-    the names of the columns that do not hold their type. A line without a
-    key is rejected as well. ``multi_line`` reads line breaks inside quoted
-    fields, at the cost of one task per file; without it such lines are broken
-    lines.
+    the split), the order of the records in the files, and ``reject_reason``:
+    NULL on good lines, else ``broken line`` (more or fewer fields than the
+    header, or a quote that is not closed) or the names of the columns that do
+    not hold their type. A line without a key is rejected as well.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-    )
-    header = reader.option("inferSchema", False).csv(path).columns
+    header = _header(spark, path, encoding)
     missing = [f.name for f in schema.fields if f.name not in header]
     if missing:
         raise ValueError(f"the raw export has no column {', '.join(missing)}")
-    text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _BROKEN_LINE]])
-    lines = (
-        reader.schema(text)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BROKEN_LINE)
-        .option("columnPruning", False)
-        .option("enforceSchema", False)
-        .csv(path)
-        .withColumn(
-            FILE_ORDER_KEY,
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("pos"),
-            ),
-        )
+    records = read_records(spark, path, encoding)
+    fields = fields_of(F.col("text"), header, _BROKEN_LINE)
+    lines = records.withColumn("_f", fields)
+    names = F.array(*[F.lit(c) for c in header])
+    found = F.array(*[F.trim(F.col(f"_f.`{c}`")) for c in header])
+    differs = F.raise_error(F.concat(F.lit("another header in "), F.col("file"))).cast("boolean")
+    lines = lines.where(~F.col("first") | F.when(found == names, F.lit(False)).otherwise(differs))
+    torn = F.when(F.col("broken"), F.col("text")).otherwise(F.col(f"_f.{_BROKEN_LINE}"))
+    lines = lines.select(
+        *[F.col(f"_f.`{c}`").alias(c) for c in header],
+        torn.alias(_BROKEN_LINE),
+        F.struct("file", "block", "pos").alias(FILE_ORDER_KEY),
     )
     types = {f.name: f.dataType for f in schema.fields}
 
@@ -132,14 +126,24 @@ def read_raw_rejects_csv(spark: SparkSession, path: str, **options) -> DataFrame
 
 
 def _read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema``, found by their header names in any order. A
+    column the header lacks is an error naming it; other columns are left out."""
+    header = _header(spark, path, "UTF-8", multi_line=False)
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    types = {f.name: f.dataType for f in schema.fields}
+    own = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
     return (
-        spark.read.schema(schema)
+        spark.read.schema(own)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
+        .select([f"`{f.name}`" for f in schema.fields])
     )
 
 

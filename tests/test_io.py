@@ -114,11 +114,27 @@ def test_bad_lines_are_rejected_never_merged(spark, tmp_dir):
 
 def test_line_breaks_in_quotes(spark, tmp_dir):
     path = os.path.join(tmp_dir, "raw.csv")
-    _export(path, [_row(1), _row(2, **{"Product Name": "two\nlines"}), _row(3)], _other_order())
-    assert {r["Order Id"] for r in files.read_raw_order_lines_csv(spark, path).collect()} == {1, 3}
-    assert files.read_raw_rejects_csv(spark, path).count() == 2
-    whole = files.read_raw_order_lines_csv(spark, path, multi_line=True).collect()
-    assert {r["Product Name"] for r in whole} == {"Watch", "two\nlines"} and len(whole) == 3
+    names = ["Watch", "two\nlines", "Watch"]
+    _export(path, [_row(i + 1, **{"Product Name": n}) for i, n in enumerate(names)], _other_order())
+    rows = files.read_raw_order_lines_csv(spark, path).orderBy(files.FILE_ORDER_KEY).collect()
+    assert [(r["Order Id"], r["Product Name"]) for r in rows] == [(1, "Watch"), (2, "two\nlines"), (3, "Watch")]
+    assert files.read_raw_rejects_csv(spark, path).count() == 0
+
+
+def test_snapshot_columns_are_found_by_name(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "inventory.csv")
+    with open(path, "w") as fh:
+        fh.write('"category_name","product_id","note","days_of_stock","revenue_quartile","priority_critical",'
+                 '"stock_status","simulated_stock","avg_daily_demand_30d"\n'
+                 '"Toys ","7","x","3.5","Q1","True","Low","12","1.5"\n')
+    row = files.read_inventory_csv(spark, path).first()
+    assert row.asDict() == {
+        "product_id": 7, "avg_daily_demand_30d": 1.5, "category_name": "Toys ", "revenue_quartile": "Q1",
+        "days_of_stock": 3.5, "simulated_stock": 12, "stock_status": "Low", "priority_critical": True}
+    with open(path, "w") as fh:
+        fh.write('"route_segment","late_count"\n"a","1"\n')
+    with pytest.raises(ValueError, match="avg_delay"):
+        files.read_route_lookup_csv(spark, path)
 
 
 def test_cleaning_keeps_all_columns_and_file_order(spark, tmp_dir):
