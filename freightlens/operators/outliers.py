@@ -25,7 +25,7 @@ from freightlens.constants import (
     RANGE_JOINER,
 )
 from freightlens.functions.columns import round_half_up
-from freightlens.operators.ranking import exact_quantiles
+from freightlens.operators.selection import exact_quantiles
 
 OUTLIER_COLUMNS = (
     "Order_Id",
@@ -51,10 +51,11 @@ def iqr_bounds(
 
     ``method="percentile"`` uses Spark's exact ``percentile``: its buffer
     holds one counter per distinct value, fine for day counts.
-    ``method="distributed"`` computes the same quantiles with
-    ``ranking.exact_quantiles`` and never holds the distinct values in one
-    task. By default the column's type decides: whole numbers of 32 bits or
-    fewer, as day counts are, go the first way and all others the second.
+    ``method="distributed"`` selects the same quantiles digit by digit
+    (``selection.exact_quantiles``): no value is sorted or shuffled; its passes
+    run when the operator is called. By default the column's type decides: whole
+    numbers of 32 bits or fewer, as day counts are, go the first way and all
+    others the second.
     """
     if method is None:
         small = isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType))

@@ -113,42 +113,6 @@ def rank_below(
     return valid.unionByName(rest)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value_col: str,
-    probs: dict[str, float],
-    buckets: int | None = None,
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """One row: the continuous quantile (linear interpolation between the two
-    closest ranks, position ``p * (n - 1)``) for each ``{name: p}``.
-
-    Exact and fully distributed. From ``value_ranks``, the value covering
-    rank ``k`` is the one distinct value with ``n_below <= k < n_below +
-    count``, so each quantile is a ``max`` over the distinct values: no task
-    holds more than one value per quantile. Use it instead of ``percentile``
-    when the column has too many distinct values for one task's buffer.
-    """
-    r = value_ranks(df, value_col, buckets, accuracy)
-    n1 = F.col("n_valid") - F.lit(1)
-    v = F.col("_v").cast("double")
-
-    def covering(k: Column) -> Column:
-        return F.max(
-            F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("_cnt")), v)
-        )
-
-    aggs = []
-    for name, p in probs.items():
-        pos = n1.cast("double") * F.lit(float(p))
-        k = F.floor(pos)
-        lo = covering(k)
-        hi = covering(F.least(k + F.lit(1), n1))
-        frac = F.max(pos - k)
-        aggs.append((lo + frac * (hi - lo)).alias(name))
-    return r.agg(*aggs)
-
-
 def quantile_bucket(n_below: Column, n_valid: Column, labels: list[str]) -> Column:
     """Label of the continuous-quantile bin a value falls in.
 

@@ -55,7 +55,7 @@ def test_flag_all_keeps_normal_rows(spark):
 def test_distributed_quantiles_match_percentile(spark):
     import numpy as np
 
-    from freightlens.operators.ranking import exact_quantiles
+    from freightlens.operators.selection import exact_quantiles
 
     rng = np.random.default_rng(5)
     for vals in (DELAYS, list(rng.integers(-20, 40, 997)), list(np.round(rng.normal(0, 9, 501), 3))):
