@@ -6,7 +6,8 @@ text is encoded from the left with the longest vocabulary match at each place
 (an Aho-Corasick automaton lists the matches), keeping a piece only if it goes
 with the one before; where no piece does, the last one is taken back and its
 next shorter prefix tried, and a bitfield remembers the places from which
-nothing led on. Re-merged pairs are memoised.
+nothing led on. The merges of each piece are remembered, so merging two pieces
+again only steps through both; pairs are remembered too.
 
 Texts are cut before white space marks and around line ends, where the
 vocabulary proves that no piece crosses, and the ids of each cut are kept in a
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a space inside pieces
-MEMO = 1 << 19  # cuts and pairs remembered per worker, each
+MEMO = 1 << 19  # cuts, pieces and pairs remembered per worker, each
+NONE = float("-inf")  # the score of what is no piece
 
 
 class PieceCodec:
@@ -56,92 +58,122 @@ class PieceCodec:
             raise ValueError("the model normalises white space")
         self.matches = ahocorasick.Automaton()
         for piece in self.ids:
-            self.matches.add_word(piece, len(piece))
+            if len(piece) > 1:
+                self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces cross the cuts")
         self.cuts = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, tuple[bool, list[float], list[str], list[str]]] = {}
 
     # -- merging two neighbours again ---------------------------------------
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by its merges: the best score first, the
-        leftmost of equals."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
+    def merges(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
+        """The pieces of a short text by its merges, the best score first, the
+        leftmost of equals; the merges' scores in their order, and the first
+        and the last part before each of them and at the end."""
+        get, parts = self.scores.get, list(text)
+        scores = [get(x + y, NONE) for x, y in zip(parts, parts[1:])]
+        done, firsts, lasts = [], parts[:1], parts[-1:]
+        while scores:
+            best = max(scores)
+            if best == NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], NONE)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], NONE)
+            done.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        return parts, done, firsts, lasts
+
+    def history(self, piece: str) -> tuple[bool, list[float], list[str], list[str]]:
+        """Whether the merges of a piece's characters reach it, and the scores
+        and outer parts on the way (see ``merges``), remembered."""
+        found = self.known.get(piece)
+        if found is None:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            parts, *rest = self.merges(piece)
+            found = self.known[piece] = (parts == [piece], *rest)
+        return found
 
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+        """Whether merging the text of both again gives both, remembered."""
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        found = self.pairs[left, right] = self.stay_apart(self.history(left), self.history(right))
         return found
 
+    def stay_apart(self, left: tuple, right: tuple) -> bool:
+        """Each side merges as it does alone, the better next merge first,
+        until the parts that meet in the middle would merge before either."""
+        get, (_, a, _, lasts), (_, b, firsts, _) = self.scores.get, left, right
+        i, j, n_a, n_b = 0, 0, len(a), len(b)
+        while True:
+            next_a = a[i] if i < n_a else NONE
+            next_b = b[j] if j < n_b else NONE
+            middle = get(lasts[i] + firsts[j])
+            if middle is not None and middle > next_a and middle >= next_b:
+                return False
+            if next_a >= next_b:
+                if i == n_a:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     # -- one cut -------------------------------------------------------------
     def lengths(self, text: str) -> list[list[int]]:
         """For each place the lengths of the pieces that start there, shortest
-        first; a character outside the vocabulary stands for itself."""
-        at: list[list[int]] = [[] for _ in text]
-        for end, n in self.matches.iter(text):
+        first; a character stands for itself, in the vocabulary or not."""
+        at: list[list[int]] = [[1] for _ in text]
+        for end, n in self.matches.iter(text):  # by their ends, so ascending at a start
             at[end - n + 1].append(n)
-        for i, found in enumerate(at):
-            found.sort()
-            if not found or found[0] != 1:
-                found.insert(0, 1)
         return at
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of ``text``, by longest matches and backtracking."""
         size, lengths = len(text), self.lengths(text)
+        pairs, known = self.pairs, self.known
         failed = 0  # bit i: no way on from place i after what led there
         pieces: list[str] = []
         choice: list[int] = []  # which of the lengths each piece took
-        at, pick = 0, len(lengths[0]) - 1 if text else -1
+        at, pick, before = 0, len(lengths[0]) - 1, None
         while at < size:
-            step = None
+            own, step = lengths[at], None
             while pick >= 0:
-                n = lengths[at][pick]
-                piece = text[at : at + n]
-                whole = n == 1 or self.merged_whole(piece)
-                if whole and not failed >> (at + n) & 1:
-                    if not pieces or self.compatible(pieces[-1], piece):
-                        step = piece
-                        break
+                n = own[pick]
+                if not failed >> (at + n) & 1:
+                    piece = text[at : at + n]
+                    if n == 1 or (known.get(piece) or self.history(piece))[0]:
+                        fits = before is None or pairs.get((before, piece))
+                        if fits is None:
+                            fits = self.compatible(before, piece)
+                        if fits:
+                            step = piece
+                            break
                 pick -= 1
             if step is None:
                 if not pieces:
                     raise ValueError(f"no encoding of {text!r}")
                 failed |= 1 << at
-                back = pieces.pop()
-                at -= len(back)
+                at -= len(pieces.pop())
                 pick = choice.pop() - 1
+                before = pieces[-1] if pieces else None
                 continue
             pieces.append(step)
             choice.append(pick)
-            at += len(step)
+            before = step
+            at += n
             pick = len(lengths[at]) - 1 if at < size else -1
         return pieces
 
-    def merged_whole(self, piece: str) -> bool:
-        """Whether the merges reach ``piece`` itself from its characters."""
-        key = (piece, "")
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.merged(piece) == [piece]
-        return found
-
     def cut_ids(self, cut: str) -> tuple[tuple[int, ...], str]:
         out: list[int] = []
         for piece in self.pieces(cut):
