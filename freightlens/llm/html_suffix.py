@@ -2,20 +2,24 @@
 
 A page is cut into blocks of text. Elements that say what they are (nav,
 footer, forms, scripts, or a class, id or role to that effect) are left out.
-The blocks of all pages, in articles or not, go through the host: their tokens
-are concatenated page by page, a suffix array (sorted to a depth of ``RUN``
-tokens, more is not needed to tell which places lie in a long repeated run)
-finds the runs of at least ``RUN`` tokens that ``MIN_PAGES`` different pages of
-the host share, and those runs are removed as boilerplate. What is unique
-stays. Runs that cover more than half of a page's article are taken as a copy
-of the article and stay. Then ``article`` and ``main`` elements are the text,
-unless more text stands outside them: then both are.
-
-A host may hold a third of all pages, so its pages are dealt over shards of
-bounded size; each shard builds its own suffix array and reports every run's
-start once with its number of pages, and the sums over shards decide. Pages
-with equal streams fall into one shard and count once: copies of a page are
-not boilerplate.
+Paragraphs, headings, lists, tables, quotes and preformatted text of an
+``article`` or ``main`` element are prose by structure: they are the text, as
+often as they may stand elsewhere. All other blocks, outside articles or in
+unlabelled containers inside, go through the host: their tokens are concatenated
+page by page, a suffix array over dense token numbers (by prefix doubling)
+brings equal suffixes together, and the runs of at least ``RUN`` tokens that
+``MIN_PAGES`` different pages of the host share are removed as boilerplate. What
+is unique stays. Runs that cover more than half of a page's article are taken
+as a copy of the article and stay. Then the article is the text, unless more
+text stands outside: then both are.
+
+A suffix array sorted to a depth of ``RUN`` tokens tells which places lie in a
+shared run of any greater length: they are those covered by shared runs of
+``RUN``. A host may hold a third of all pages, so its pages are dealt over
+shards of bounded size; each builds its own suffix array. A host of one shard
+reports its shared runs only, of several shards all runs with their numbers of
+pages, and the sums decide. Pages with equal text fall into one shard and count
+once: copies of a page are not boilerplate.
 
 Defined results: null or empty html gives an empty text; a null url belongs to
 the empty host; repeated rows get equal texts.
@@ -67,6 +71,10 @@ PARTS = re.compile(
 PLACES = {"site", "page", "main", "global"}  # may precede the leading name
 BY_NAME, OUT = 1, 2
 OUTSIDE, INSIDE, ENCLOSED = 0, 1, 2  # ENCLOSED: an article in an element that is out by name
+PROSE = 4  # added to INSIDE and ENCLOSED: prose by structure
+PROSE_TAGS = {
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "blockquote", "pre", "figcaption",
+}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 
 
@@ -102,7 +110,8 @@ def page_blocks(page: str) -> tuple[list[str], list[str]]:
     """``(text, others)``: the blocks inside article or main elements and the
     blocks outside, both without elements that are left out."""
     blocks, kinds = ordered_blocks(page)
-    inside = [b for b, k in zip(blocks, kinds) if k == INSIDE] or [b for b, k in zip(blocks, kinds) if k == ENCLOSED]
+    of = lambda kind: [b for b, k in zip(blocks, kinds) if k & ~PROSE == kind]
+    inside = of(INSIDE) or of(ENCLOSED)
     return inside, [b for b, k in zip(blocks, kinds) if k == OUTSIDE]
 
 
@@ -117,8 +126,9 @@ def ordered_blocks(page: str) -> tuple[list[str], list[int]]:
         if piece:
             block = " ".join(entities.unescape("".join(piece)).split())
             if block:
+                holder = next((t[0] for t in reversed(open_tags) if t[0] not in INLINE), "")
                 found[0].append(block)
-                found[1].append(inside)
+                found[1].append(inside | PROSE if inside and holder in PROSE_TAGS else inside)
             piece.clear()
 
     at = 0
@@ -185,8 +195,14 @@ def _run_keys(tokens: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _shared_blocks(blocks: list[str], kinds: list[int]) -> list[str]:
+    """The blocks that the host decides on."""
+    return [b for b, k in zip(blocks, kinds) if not k & PROSE]
+
+
 def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``(id, url, host, blocks, kinds, stream, n_tokens)``."""
+    """``(id, url, host, blocks, kinds, stream, n_tokens)``; ``stream`` tells
+    pages of different text, ``n_tokens`` is of the blocks the host decides on."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
@@ -196,8 +212,8 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
                 columns: list[list] = [[], [], [], []]
                 for page in part.column(3):
                     blocks, kinds = ordered_blocks(page.as_py() or "")
-                    tokens = _token_hashes(blocks)
-                    stream = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+                    tokens = _token_hashes(_shared_blocks(blocks, kinds))
+                    stream = xxhash.xxh3_64_intdigest("\n".join(blocks).encode()) - (1 << 63)
                     for column, value in zip(columns, (blocks, kinds, stream, len(tokens))):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -219,54 +235,70 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def _streams(parsed: DataFrame) -> DataFrame:
-    """``(host, stream, n_tokens, keys)`` of the hosts with ``MIN_PAGES``
-    different pages; others share no run."""
+    """``(host, stream, n_tokens, tokens)`` of the different pages of hosts with
+    ``MIN_PAGES`` of them; others share no run."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [_run_keys(_token_hashes(b)).tolist() for b in part.column(3).to_pylist()]
+                pages = zip(part.column(3).to_pylist(), part.column(4).to_pylist())
+                own = [_token_hashes(_shared_blocks(*page)).view(np.int64).tolist() for page in pages]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(own, pa.list_(pa.int64()))], ["host", "stream", "n_tokens", "keys"]
+                    [*part.columns[:3], pa.array(own, pa.list_(pa.int64()))], ["host", "stream", "n_tokens", "tokens"]
                 )
 
     spark = parsed.sparkSession
     rows = parsed.where(F.col("n_tokens") >= RUN)
     several = rows.groupBy("host").agg(F.count_distinct("stream").alias("n")).where(F.col("n") >= MIN_PAGES)
     several = materialise(spark, several.select("host"), "hosts")
-    rows = rows.select("host", "stream", "n_tokens", "blocks").join(several, "host", "left_semi")
-    return rows.mapInArrow(keys, "host string, stream long, n_tokens long, keys array<long>")
+    rows = rows.select("host", "stream", "n_tokens", "blocks", "kinds").join(several, "host", "left_semi")
+    rows = rows.mapInArrow(tokens, "host string, stream long, n_tokens long, tokens array<long>")
+    return rows.dropDuplicates(["host", "stream"])
+
+
+def _suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each place's suffix among all, by its first ``depth`` (a
+    power of two) tokens: ranks of half the length, two by two, are ranked
+    again until the length is reached."""
+    rank, n = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1
+    while n < depth:
+        after = np.zeros(len(rank), np.int64)
+        after[:-n] = rank[n:]
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1] + 1
+        n *= 2
+    return rank
 
 
 def _shard_runs(frame: pd.DataFrame) -> pd.DataFrame:
     """The runs of a shard with the number of pages that hold each, from the
-    suffix array of its pages' streams (sorted to a depth of ``RUN`` tokens)."""
-    streams = [np.asarray(k, np.int64) for k in frame["keys"]]
-    keys = np.concatenate(streams)
-    page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
-    # A suffix's first RUN tokens are its key: ordering by it, pages within,
-    # brings suffixes with that common prefix together.
-    order = np.lexsort((page, keys))
-    keys, page = keys[order], page[order]
-    new_run = np.r_[True, keys[1:] != keys[:-1]]
+    suffix array of its pages' streams; of a host's only shard the shared ones."""
+    streams = [np.asarray(t, np.int64) for t in frame["tokens"]]
+    sizes = np.array([len(t) for t in streams])
+    tokens, page = np.concatenate(streams), np.repeat(np.arange(len(streams)), sizes)
+    rank = _suffix_ranks(tokens, RUN)
+    # Places whose run ends on their page, in the order of the suffix array.
+    place = np.flatnonzero(np.arange(len(tokens)) + RUN <= np.cumsum(sizes)[page])
+    place = place[np.lexsort((page[place], rank[place]))]
+    if not len(place):
+        return pd.DataFrame({"host": [], "key": [], "pages": []}).astype({"host": str, "key": "int64", "pages": "int64"})
+    rank, page = rank[place], page[place]
+    new_run = np.r_[True, rank[1:] != rank[:-1]]
     new_page = new_run | np.r_[True, page[1:] != page[:-1]]
-    runs = np.cumsum(new_run) - 1
-    pages = np.bincount(runs, weights=new_page).astype(np.int64)
-    return pd.DataFrame({"host": frame["host"].iloc[0], "key": keys[new_run], "pages": pages})
+    pages = np.bincount(np.cumsum(new_run) - 1, weights=new_page).astype(np.int64)
+    keys = _run_keys(tokens.view(np.uint64))[place[new_run]]
+    told = pages >= (MIN_PAGES if frame["shards"].iloc[0] == 1 else 1)
+    return pd.DataFrame({"host": frame["host"].iloc[0], "key": keys[told], "pages": pages[told]})
 
 
 def _boilerplate(candidates: DataFrame) -> DataFrame:
     """``(host, key)``: the runs that enough pages of a host share."""
     spark = candidates.sparkSession
-    rows = candidates
-    sizes = rows.groupBy("host").agg(F.sum("n_tokens").alias("all"))
-    sizes = materialise(spark, sizes, "host-sizes")
-    shards = F.ceil(F.col("all") / SHARD_TOKENS)
-    dealt = rows.join(sizes, "host").select(
-        "host", F.pmod(F.xxhash64("stream"), shards).alias("shard"), "stream", "keys"
+    sizes = candidates.groupBy("host").agg(F.ceil(F.sum("n_tokens") / SHARD_TOKENS).cast("long").alias("shards"))
+    sizes = materialise(spark, sizes, "host-shards")
+    dealt = candidates.join(sizes, "host").select(
+        "host", F.pmod(F.xxhash64("stream"), F.col("shards")).alias("shard"), "shards", "tokens"
     )
-    dealt = dealt.dropDuplicates(["host", "shard", "stream"])
     runs = dealt.groupBy("host", "shard").applyInPandas(
         lambda frame: _shard_runs(frame), "host string, key long, pages long"
     )
@@ -274,6 +306,22 @@ def _boilerplate(candidates: DataFrame) -> DataFrame:
     return runs.where(F.col("pages") >= MIN_PAGES).select("host", "key")
 
 
+def _places(candidates: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(host, stream, starts)``: where the shared runs begin on each page."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_run_keys(np.array(t, np.int64).view(np.uint64)).tolist() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(own, pa.list_(pa.int64()))], ["host", "stream", "keys"]
+            )
+
+    rows = candidates.select("host", "stream", "tokens")
+    rows = rows.mapInArrow(keys, "host string, stream long, keys array<long>")
+    rows = rows.select("host", "stream", F.posexplode("keys").alias("at", "key"))
+    return rows.join(shared, ["host", "key"]).groupBy("host", "stream").agg(F.collect_set("at").alias("starts"))
+
+
 def _unique_blocks(blocks: list[str], starts: set[int]) -> list[str]:
     """``blocks`` without the tokens covered by the runs at ``starts``. Blocks
     covered in full become empty; in others only stretches of ``RUN`` tokens or more, so
@@ -304,7 +352,11 @@ def _main_text(blocks: list[str], kinds: list[int], starts: set[int]) -> str:
     """What the runs leave, decided by structure. Runs that cover most of an
     article are a copy of it, not boilerplate. The article is the text unless
     more text stands outside."""
-    unique = _unique_blocks(blocks, starts) if starts else blocks
+    unique = list(blocks)
+    if starts:
+        left = iter(_unique_blocks(_shared_blocks(blocks, kinds), starts))
+        unique = [b if k & PROSE else next(left) for b, k in zip(blocks, kinds)]
+    kinds = [k & ~PROSE for k in kinds]
     text = INSIDE if INSIDE in kinds else ENCLOSED
     length = lambda of, kind: sum(len(b) for b, k in zip(of, kinds) if k == kind)
     if 2 * length(unique, text) < length(blocks, text):
@@ -325,11 +377,7 @@ def main_texts(
     parsed = materialise(spark, _parsed(pages, id_col, url_col, html_col), "page-blocks")
     candidates = materialise(spark, _streams(parsed), "page-streams")
     shared = materialise(spark, _boilerplate(candidates), "host-boilerplate")
-    places = candidates.dropDuplicates(["host", "stream"])
-    places = places.select("host", "stream", F.posexplode("keys").alias("at", "key"))
-    places = places.join(shared, ["host", "key"])
-    places = places.groupBy("host", "stream").agg(F.collect_set("at").alias("starts"))
-    places = materialise(spark, places, "boilerplate-places")
+    places = materialise(spark, _places(candidates, shared), "boilerplate-places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,14 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+
+import pytest
 
 from freightlens.llm import html_suffix, queries
 from tests.conftest import SF_SMALL
@@ -14,9 +21,10 @@ def texts(spark, rows):
     return {r.id: r.text for r in out}
 
 
-def test_query_on_the_table(spark):
-    pages = queries.table(spark, SF_SMALL, "pages").select("page_id", "html").collect()
-    got = {r.page_id: r for r in queries.op8_html_text(spark, SF_SMALL).collect()}
+@pytest.mark.parametrize("sf_dir", [SF_SMALL, "/root/testdata/sf0.1"])
+def test_query_on_the_table(spark, sf_dir):
+    pages = queries.table(spark, sf_dir, "pages").select("page_id", "html").collect()
+    got = {r.page_id: r for r in queries.op8_html_text(spark, sf_dir).collect()}
     for p in pages:
         inner = re.search(r"(?s)<article>(.*?)</article>", p.html)[1]
         blocks = re.split(r"</?(?:p|h1)>", inner.replace("<br>", " "))
@@ -87,6 +95,32 @@ def test_hosts_decide_in_articles_too(spark):
     assert got[20] == story[0] + "\nA teaser"
 
 
+def test_repeated_paragraphs_of_articles_stay(spark):
+    line = "The same line of prose stands in the articles of many pages of this host."
+    rows = [(i, f"http://h.org/{i}", f"<article><h1>T{i}</h1><p>{line}</p><p>Les.</p><p>Own {i}</p></article>", "t", 1)
+            for i in range(6)]
+    got = texts(spark, rows)
+    assert {i: t for i, t in got.items()} == {i: f"T{i}\n{line}\nLes.\nOwn {i}" for i in range(6)}
+
+
+def test_suffix_ranks_and_runs_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(30):
+        tokens = np.array([rng.randint(0, 3) for _ in range(rng.randint(1, 60))], np.int64)
+        rank = html_suffix._suffix_ranks(tokens, 8)
+        want = [tuple(tokens[i : i + 8]) for i in range(len(tokens))]
+        order = {w: k for k, w in enumerate(sorted(set(want)), 1)}
+        assert rank.tolist() == [order[w] for w in want]
+    pages = [[rng.randint(0, 1) for _ in range(rng.randint(0, 40))] for _ in range(12)]
+    for shards, least in ((1, html_suffix.MIN_PAGES), (2, 1)):
+        frame = pd.DataFrame({"host": "h", "shards": shards, "tokens": pages})
+        got = html_suffix._shard_runs(frame)
+        held = Counter(r for p in pages for r in {tuple(p[k : k + 8]) for k in range(len(p) - 7)})
+        key = lambda run: html_suffix._run_keys(np.array(run, np.int64).view(np.uint64))[0]
+        want = {(key(run), n) for run, n in held.items() if n >= least}
+        assert set(zip(got["key"], got["pages"])) == want
+
+
 def test_shards_agree_with_one(spark):
     menu = " ".join(f"menu{k}" for k in range(12))
     rows = [(i, "http://h.example/", f"<div>{menu}</div><p>page {i} has {i} own words here</p>", "t", 1) for i in range(60)]
