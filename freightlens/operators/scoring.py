@@ -5,13 +5,11 @@ turn each metric into a 0-1 ``percent_rank``, weight and sum to a 0-100
 score, and label it by thresholds on the *unrounded* score.
 
 Plan: partial aggregate -> one hash exchange on the group keys -> final
-aggregate -> HAVING filter -> ranks. The ranks are global windows, so they
-run in one task, but they see one row per group, never shipments. Groups are
-(mode, market, region) combinations: their number is bounded by the
-dimension sizes, not by the order volume. For group sets too large for one
-task, ``distributed_ranks=True`` computes the same ranks with
-``ranking.rank_below``. The HAVING filter must stay below
-the windows (it changes the ranks), and Catalyst keeps it there.
+aggregate -> HAVING filter -> the groups, written as a small table -> ranks.
+The written groups are counted: up to ``ONE_TASK_ROWS`` of them are ranked by
+windows in one task, more by ``ranking.ranks_below``, which counts all ranks of
+a score in one pass and puts nothing whole into one task. The HAVING filter must
+stay below the ranks (it changes them).
 """
 
 from __future__ import annotations
@@ -36,9 +34,11 @@ from freightlens.constants import (
     SCORECARD_WEIGHTS,
 )
 from freightlens.functions.columns import exact_mean, exact_stddev_samp, pct_of, round_half_up
-from freightlens.operators.ranking import rank_below
+from freightlens.operators.ranking import ranks_below
 from freightlens.plans.session import materialise
 
+# Groups that one task may rank, about 200 bytes each.
+ONE_TASK_ROWS = 100_000
 SEGMENT_KEYS = ("route_segment", "Shipping_Mode", "Market", "Order_Region")
 
 
@@ -56,62 +56,37 @@ class RankComponent:
     invert: bool = False
 
 
-def percent_rank_of(value: Column) -> Column:
-    """``percent_rank`` over all rows, ascending, NULLs first."""
-    return F.percent_rank().over(Window.orderBy(value.asc_nulls_first()))
-
-
-def _distributed_percent_rank(df: DataFrame, value: Column, out: str) -> DataFrame:
-    """``percent_rank`` (ascending, NULLs first) without a single-task window.
-
-    ``percent_rank = (rows before this row's value) / (rows - 1)``, where NULL
-    values sort first, so a non-NULL value also has all NULL rows before it.
-    The counts come from ``rank_below`` and one global aggregate (a scalar
-    subquery).
-    """
-    tmp = f"_{out}_v"
-    with_v = df.withColumn(tmp, value)
-    totals = with_v.select(
-        F.struct(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col(tmp).isNull()).alias("nulls")
-        ).alias("t")
-    ).scalar()
-    ranked = rank_below(with_v, tmp, out_col=f"{tmp}_below", total_col=f"{tmp}_valid")
-    before = F.when(F.col(tmp).isNull(), F.lit(0)).otherwise(F.col(f"{tmp}_below") + totals["nulls"])
-    pr = F.when(totals["n"] <= 1, F.lit(0.0)).otherwise(
-        before.cast("double") / (totals["n"] - F.lit(1)).cast("double")
-    )
-    return ranked.withColumn(out, pr).drop(tmp, f"{tmp}_below", f"{tmp}_valid")
-
-
 def weighted_percent_rank(
     df: DataFrame,
     components: Sequence[RankComponent],
     score_col: str,
-    distributed: bool = False,
+    one_task_rows: int | None = None,
 ) -> DataFrame:
     """Add one ``percent_rank`` column per component and the weighted score
     ``(sum of rank * weight) * 100`` as ``score_col`` (unrounded).
 
-    By default the ranks are global windows (one task; right for a few
-    thousand groups). ``distributed=True`` computes the same ranks with
-    ``rank_below`` for relations too large for one task. Each rank refers to
-    its input several times, so in that mode the input and each ranked step
-    are written to the shared checkpoint folder (``materialise``). That keeps
-    the plan linear in the number of components instead of exponential.
+    ``percent_rank`` (ascending, NULLs first) is the number of rows before a
+    row's value over the number of other rows; a non-NULL value also has all
+    NULL rows before it. Values are compared as doubles. ``df`` is written to
+    the shared folder and counted there when this is called; the count decides
+    how the ranks are found (see the module), never what they are.
     """
-    out = materialise(df.sparkSession, df, "rank_input") if distributed else df
+    df = materialise(df.sparkSession, df, "rank-input")
+    values = {c.name: c.value.cast("double") for c in components}
+    if df.count() <= (ONE_TASK_ROWS if one_task_rows is None else one_task_rows):
+        order = {name: Window.orderBy(v.asc_nulls_first()) for name, v in values.items()}
+        out = df.withColumns({name: F.percent_rank().over(w) for name, w in order.items()})
+    else:
+        nulls = [F.count_if(v.isNull()).alias(name) for name, v in values.items()]
+        totals = df.select(F.struct(F.count(F.lit(1)).alias("_n"), *nulls).alias("t")).scalar()
+        others = F.nullif(totals["_n"] - F.lit(1), F.lit(0)).cast("double")
+        out = ranks_below(df, values)
+        before = {name: F.coalesce(F.col(name) + totals[name], F.lit(0)) for name in values}
+        out = out.withColumns({name: F.coalesce(n / others, F.lit(0.0)) for name, n in before.items()})
     score: Column | None = None
     for comp in components:
-        if distributed:
-            out = _distributed_percent_rank(out, comp.value, f"_pr_{comp.name}")
-            pr = F.col(f"_pr_{comp.name}")
-        else:
-            pr = percent_rank_of(comp.value)
-        norm = (F.lit(1) - pr) if comp.invert else pr
-        out = out.withColumn(comp.name, norm)
-        if distributed:
-            out = materialise(df.sparkSession, out.drop(f"_pr_{comp.name}"), "rank_step")
+        if comp.invert:
+            out = out.withColumn(comp.name, F.lit(1) - F.col(comp.name))
         term = F.col(comp.name) * F.lit(float(comp.weight))
         score = term if score is None else score + term
     return out.withColumn(score_col, score * F.lit(100.0))
@@ -156,7 +131,6 @@ def segment_scorecard(
     min_n: int = SCORECARD_MIN_SHIPMENTS,
     weights: Sequence[float] = SCORECARD_WEIGHTS,
     tiers: Sequence[float] = SCORECARD_TIERS,
-    distributed_ranks: bool = False,
 ) -> DataFrame:
     """Reliability score 0-100 per route segment and a tier.
 
@@ -175,7 +149,6 @@ def segment_scorecard(
             RankComponent("norm_volume", F.col("total_shipments"), w_volume),
         ],
         "_score",
-        distributed=distributed_ranks,
     )
     score = F.col("_score")
     return ranked.select(
@@ -229,7 +202,6 @@ def corridor_risk(
     tiers: Sequence[float] = RISK_TIERS,
     cancel_statuses: Sequence[str] = CANCEL_STATUSES,
     limits: Sequence[float] = RECOMMENDATION_LIMITS,
-    distributed_ranks: bool = False,
 ) -> DataFrame:
     """Risk score 0-100 per corridor, a tier and one recommendation.
 
@@ -251,7 +223,6 @@ def corridor_risk(
             RankComponent("norm_volatility_risk", vol, w_vol),
         ],
         "_score",
-        distributed=distributed_ranks,
     )
     score = F.col("_score")
     recommendation = (

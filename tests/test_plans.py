@@ -35,7 +35,7 @@ def test_dedup_combines_before_the_shuffle(spark):
 
 
 def test_scorecard_single_shuffle_on_group_keys(spark):
-    text = _plan(scoring.segment_scorecard(P.view(spark, SF_SMALL), min_n=5))
+    text = _plan(scoring.segment_metrics(P.view(spark, SF_SMALL), min_n=5))
     hashed = re.findall(r"hashpartitioning\(([^)]*)\)", text)
     assert hashed and all(h.startswith("route_segment") for h in hashed)
     # column pruning reaches the scan: unused view columns are not read

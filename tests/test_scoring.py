@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -110,30 +111,41 @@ def test_scorecard_min_n_filters_before_ranking(spark):
     assert out["big_late"]["tier"] == "Under Review"
 
 
-def test_distributed_ranks_equal_window_ranks(spark):
+def test_ranks_equal_window_ranks(spark):
     import random
 
-    rng = random.Random(3)
-    vals = [rng.choice([None, 1.0, 2.0, 2.0, rng.random()]) for _ in range(60)] + [None]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v double")
+    from pyspark.sql import Window
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 0.0, 1.5, 2.5, 3.5]), rng.randint(0, 40)) for i in range(300)]
+    rows += [rows[0]] * 3 + [(900, 7.0, 5)] * 150  # equal rows, a hot value
+    df = spark.createDataFrame(rows, "id long, x double, y int")
     comps = [
-        scoring.RankComponent("up", F.col("v"), 0.7),
-        scoring.RankComponent("down", F.coalesce(F.col("v"), F.lit(0.0)), 0.3, invert=True),
+        scoring.RankComponent("up", F.col("x"), 0.75),
+        scoring.RankComponent("down", F.col("y"), 0.25, invert=True),
     ]
-    a = {r["id"]: (r["up"], r["down"], r["s"]) for r in scoring.weighted_percent_rank(df, comps, "s").collect()}
-    b = {r["id"]: (r["up"], r["down"], r["s"])
-         for r in scoring.weighted_percent_rank(df, comps, "s", distributed=True).collect()}
-    assert a == b
+    rank = lambda c: F.percent_rank().over(Window.orderBy(F.col(c).asc_nulls_first()))
+    want = df.select("*", rank("x").alias("up"), (1 - rank("y")).alias("down"))
+    want = want.withColumn("s", (F.col("up") * 0.75 + F.col("down") * 0.25) * 100.0)
+    key = lambda r: tuple(map(str, r))
+    for one_task_rows in (0, 10_000):
+        got = scoring.weighted_percent_rank(df.repartition(5), comps, "s", one_task_rows).select(want.columns)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
-def test_scorecard_distributed_matches(spark):
+def test_scores_of_many_groups_have_no_window_over_all(spark, monkeypatch):
     from freightlens.plans import tables as P
     from tests.conftest import SF_SMALL
+    from tests.test_plans import _plan
 
     da = P.view(spark, SF_SMALL)
-    a = sorted(map(tuple, scoring.segment_scorecard(da, min_n=5).collect()))
-    b = sorted(map(tuple, scoring.segment_scorecard(da, min_n=5, distributed_ranks=True).collect()))
-    assert a == b and len(a) > 0
-    c = sorted(map(tuple, scoring.corridor_risk(da, min_n=5).collect()))
-    d = sorted(map(tuple, scoring.corridor_risk(da, min_n=5, distributed_ranks=True).collect()))
-    assert c == d
+    for score in (scoring.segment_scorecard, scoring.corridor_risk):
+        monkeypatch.setattr(scoring, "ONE_TASK_ROWS", 100_000)
+        want = sorted(map(tuple, score(da, min_n=5).collect()))
+        monkeypatch.setattr(scoring, "ONE_TASK_ROWS", 0)
+        df = score(da, min_n=5)
+        assert want and sorted(map(tuple, df.collect())) == want
+        text = _plan(df)
+        assert "percent_rank" not in text
+        for spec in re.findall(r"windowspecdefinition\(([^,]*)", text):
+            assert spec.startswith("_m#"), spec
