@@ -69,6 +69,7 @@ def dedup_first(
     df: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str | Column],
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Keep one row per ``keys``: the one that is smallest by ``order_by``.
 
@@ -79,7 +80,8 @@ def dedup_first(
     broken by the remaining columns, so the survivor is fully determined
     (``dropDuplicates`` keeps an arbitrary row). NULL keys form one group.
     Order columns given by name are carried once, in the order part of the
-    struct, not again in the row part.
+    struct, not again in the row part. ``also`` adds aggregates over all rows
+    of the key.
     """
     keys = list(keys)
     order_names = {c: i for i, c in enumerate(order_by) if isinstance(c, str)}
@@ -89,7 +91,7 @@ def dedup_first(
         for i, c in enumerate(order_by)
     ]
     packed = F.struct(*order_fields, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    first = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(packed).alias("_first"))
+    first = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(packed).alias("_first"), *also)
 
     def pick(c: str) -> Column:
         if c in keys:
@@ -98,7 +100,8 @@ def dedup_first(
             return F.col(f"_first._o{order_names[c]}").alias(c)
         return F.col(f"_first.row.`{c}`").alias(c)
 
-    return first.select(*[pick(c) for c in df.columns])
+    added = [c for c in first.columns if c not in keys and c != "_first"]
+    return first.select(*[pick(c) for c in df.columns], *added)
 
 
 def dedup_stats(df: DataFrame, key: str = "Order Id") -> DataFrame:
@@ -266,6 +269,7 @@ def clean_shipments(
     order_by: Sequence[str | Column],
     drop: Sequence[str] = (),
     key: str = "Order Id",
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Raw order lines -> cleaned shipments, one row per order.
 
@@ -273,9 +277,10 @@ def clean_shipments(
     sort key for the test adapter); ``drop`` removes helper columns after the
     de-duplication. Parsing is row-wise and the "first line" order does not
     use the parsed dates, so the dates are parsed after the de-duplication:
-    same rows, one parse per order instead of one per line.
+    same rows, one parse per order instead of one per line. ``also`` adds
+    aggregates over the lines of each order.
     """
-    df = dedup_first(raw, [key], order_by)
+    df = dedup_first(raw, [key], order_by, also)
     if drop:
         df = df.drop(*drop)
     return clean_features(df)

@@ -6,6 +6,7 @@ cleaned shipments table Spark derives from them) and runs over all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,10 @@ from pyspark.sql import types as T
 
 from freightlens.functions.columns import round_half_up
 from freightlens.operators import clean, inventory as inv, margins, outliers, scoring, trends, views
+from freightlens.operators.sinks import write_csv_quoted
 from freightlens.plans import tables as P
+from freightlens.plans.session import checkpoint_dir
+from freightlens.sources.files import FILE_ORDER_KEY, read_raw_order_lines_csv
 from freightlens.sources.tpch import LINE_SORT_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +56,20 @@ def q_shipments(spark, sf):
     return P.shipments(spark, sf)
 
 
+@query("raw_csv_roundtrip")
+def q_raw_csv_roundtrip(spark, sf):
+    """All raw lines as a quoted CSV export with its columns in another order,
+    read back by header name and cleaned."""
+    lines = P.raw_lines(spark, sf)
+    columns = sorted(c for c in lines.columns if c != LINE_SORT_KEY)
+    ordered = lines.repartition("Order Id").sortWithinPartitions("Order Id", LINE_SORT_KEY)
+    path = f"{checkpoint_dir(spark)}/tables/raw-export-{uuid.uuid4().hex}"
+    write_csv_quoted(ordered.select([f"`{c}`" for c in columns]), path)
+    raw = read_raw_order_lines_csv(spark, path, encoding="UTF-8")
+    ships = clean.clean_shipments(raw, order_by=[FILE_ORDER_KEY], drop=[FILE_ORDER_KEY])
+    return ships.select(P.shipments(spark, sf).columns)
+
+
 @query("delivery_analysis")
 def q_delivery_analysis(spark, sf):
     return P.view(spark, sf)
