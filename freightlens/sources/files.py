@@ -72,17 +72,18 @@ def raw_order_lines_checked(
     if missing:
         raise ValueError(f"the raw export has no column {', '.join(missing)}")
     records = read_records(spark, path, encoding)
-    fields = fields_of(F.col("text"), header, _BROKEN_LINE)
-    lines = records.withColumn("_f", fields)
+    # As a generator, so that a record is parsed once and not for each column.
+    fields = F.inline(F.array(fields_of(F.col("text"), header, _BROKEN_LINE)))
+    lines = records.select(F.struct(*records.columns).alias("_record"), fields)
+    own = {c: F.col(f"_record.{c}") for c in records.columns}
     names = F.array(*[F.lit(c) for c in header])
-    found = F.array(*[F.trim(F.col(f"_f.`{c}`")) for c in header])
-    differs = F.raise_error(F.concat(F.lit("another header in "), F.col("file"))).cast("boolean")
-    lines = lines.where(~F.col("first") | F.when(found == names, F.lit(False)).otherwise(differs))
-    torn = F.when(F.col("broken"), F.col("text")).otherwise(F.col(f"_f.{_BROKEN_LINE}"))
+    found = F.array(*[F.trim(F.col(f"`{c}`")) for c in header])
+    differs = F.raise_error(F.concat(F.lit("another header in "), own["file"])).cast("boolean")
+    lines = lines.where(~own["first"] | F.when(found == names, F.lit(False)).otherwise(differs))
     lines = lines.select(
-        *[F.col(f"_f.`{c}`").alias(c) for c in header],
-        torn.alias(_BROKEN_LINE),
-        F.struct("file", "block", "pos").alias(FILE_ORDER_KEY),
+        *[F.col(f"`{c}`") for c in header],
+        F.when(own["broken"], own["text"]).otherwise(F.col(_BROKEN_LINE)).alias(_BROKEN_LINE),
+        F.struct(own["file"], own["block"], own["pos"]).alias(FILE_ORDER_KEY),
     )
     types = {f.name: f.dataType for f in schema.fields}
 
