@@ -15,7 +15,7 @@ def test_contract(spark):
 
     q, o = queries(), oracle_sql()
     assert set(QUERIES) <= set(q) and set(QUERIES) <= set(o) and set(o) <= set(q)
-    assert len(QUERIES) == 44
+    assert len(QUERIES) == 45
     for name in QUERIES:
         fn = q[name]
         df = fn(spark, SF_SMALL)
