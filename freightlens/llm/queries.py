@@ -103,7 +103,7 @@ def op6_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_scan.document_tokens(
         table(spark, sf_dir, "documents"), BYTE_RANKS, f"documents-{uuid.uuid4().hex}"
     )
-    return counted.select(F.col("id").alias("doc_id"), "n_tokens", "shard", "ordinal", "start")
+    return counted.select(F.col("id").alias("doc_id"), "n_tokens", "shard", "file", "ordinal", "start")
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

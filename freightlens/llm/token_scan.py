@@ -8,12 +8,18 @@ blocks of a file stitches them: running sums give the ordinal of a block's
 first document, a running maximum the place of the separator before it.
 
 Files come from Spark's text writer: a row's bytes are its ids and the line
-separator is the end-of-document id, so no other sink is needed. A file is read
-whole by one task (its size is that of an input split), a block at a time.
-
-Defined results: a null or empty text is a document of no tokens; ids after the
-last separator of a file are a last document that is not closed; an odd byte at
-the end is an error.
+separator is the end-of-document id, so no other sink is needed. The task that
+writes a token file writes its manifest too, which row stands where, in the same
+attempt: both become visible together, and no second reading of the input has to
+meet the rows in the same order. So any input will do, re-dealt, sampled or
+joined, and a task that is run again brings its own manifest. A file is read
+whole by one task, a block at a time; a task begins a new file after
+``FILE_BYTES``, so a file is larger only by its last document.
+
+Defined results: a null or empty text is a document of no tokens; a null id and
+repeated rows are documents like others; ids after the last separator of a file
+are a last document that is not closed; an odd byte at the end is an error; an
+empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freightlens.plans.session import checkpoint_dir, materialise
@@ -34,6 +40,9 @@ from freightlens.plans.session import checkpoint_dir, materialise
 END_OF_DOCUMENT = 50256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1 << 20  # ids
+SEPARATOR = END_OF_DOCUMENT.to_bytes(2, "little").decode("latin-1")
+FILE_BYTES = 1 << 28
+MANIFEST, TOKENS = 0, 1  # kinds of file
 
 
 @lru_cache(maxsize=2)
@@ -43,32 +52,62 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_token_files(docs: DataFrame, path: str, ranks_path: str, id_col: str, text_col: str) -> DataFrame:
-    """Write the documents' tokens as flat files under ``path``. Returns the
-    manifest ``(part, ordinal, id)``: which row stands where."""
+def write_token_files(docs: DataFrame, path: str, ranks_path: str, id_col: str, text_col: str) -> None:
+    """Write the documents' tokens as flat files under ``path/kind=1`` and, with
+    the same names under ``path/kind=0``, the lines ``ordinal,id`` of each."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)
+        file, ordinal, size = 0, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [np.array(enc.encode_ordinary(t.as_py() or ""), "<u2").tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
+                kinds, files, ordinals, values = [], [], [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    ids = np.array(enc.encode_ordinary(text.as_py() or ""), "<u2").tobytes()
+                    if size >= FILE_BYTES:
+                        file, ordinal, size = file + 1, 0, 0
+                    kinds += [MANIFEST, TOKENS]
+                    files += [file, file]
+                    ordinals += [ordinal, ordinal]
+                    values += [f"{ordinal},{'' if key is None else key}".encode(), ids]
+                    ordinal, size = ordinal + 1, size + len(ids) + 2
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(kinds, pa.int32()),
+                        pa.array(files, pa.int32()),
+                        pa.array(ordinals, pa.int64()),
+                        pa.array(values, pa.binary()),
+                    ],
+                    ["kind", "file", "ordinal", "ids"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    separator = END_OF_DOCUMENT.to_bytes(2, "little").decode("latin-1")
-    writer = rows.mapInArrow(encode, "ids binary").select(F.col("ids").cast("string").alias("value")).write
-    writer.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
-    # The same scan again, split into the same partitions in the same order.
-    place = F.monotonically_increasing_id()
-    return rows.select(
-        F.spark_partition_id().alias("part"),
-        place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"),
-        "id",
-        F.octet_length("text").alias("text_bytes"),
+    coded = rows.mapInArrow(encode, "kind int, file int, ordinal long, ids binary")
+    # Within a task only: the order of rows in a file is that of the manifest.
+    coded = coded.sortWithinPartitions("kind", "file", "ordinal")
+    writer = coded.select("kind", "file", F.col("ids").cast("string").alias("value")).write
+    writer = writer.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1")
+    writer.option("maxRecordsPerFile", 0).partitionBy("kind", "file").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, file, ordinal, id)``: which row stands where in the token files."""
+    reader = spark.read.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1")
+    lines = reader.text(f"{path}/kind={MANIFEST}")
+    fields = F.split("value", ",")
+    return lines.select(
+        part_of("_metadata.file_name").alias("part"),
+        F.col("file").cast("int"),
+        fields[0].cast("long").alias("ordinal"),
+        F.nullif(fields[1], F.lit("")).cast("long").alias("id"),
     )
 
 
+def part_of(name: str) -> Column:
+    return F.regexp_extract(name, r"part-(\d+)-[^/]*$", 1).cast("int")
+
+
 def scan_blocks(spark: SparkSession, path: str) -> DataFrame:
     """``(file, block, n_ids, ends)``: the places of a block's separators."""
 
@@ -146,16 +185,24 @@ def count_tokens(spark: SparkSession, path: str) -> DataFrame:
 def document_tokens(
     docs: DataFrame, ranks_path: str, name: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(id, shard, ordinal, start, n_tokens)`` of every row of ``docs``, by
-    writing its tokens as flat files and scanning those."""
+    """``(id, shard, file, ordinal, start, n_tokens)`` of every row of ``docs``,
+    by writing its tokens as flat files and scanning those."""
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/token-files/{name}"
-    manifest = write_token_files(docs, path, ranks_path, id_col, text_col)
-    counts = count_tokens(spark, path)
-    part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")
-    counts = counts.withColumn("part", part)
-    found = manifest.join(counts, ["part", "ordinal"], "left")
+    write_token_files(docs, path, ranks_path, id_col, text_col)
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if written.select("path").isEmpty():  # names only, no content
+        return spark.createDataFrame(
+            [], "id long, shard int, file int, ordinal long, start long, n_tokens long"
+        )
+    counts = count_tokens(spark, f"{path}/kind={TOKENS}")
+    counts = counts.withColumn("part", part_of("file")).withColumn(
+        "file", F.regexp_extract("file", r"/file=(\d+)/[^/]*$", 1).cast("int")
+    )
+    found = read_manifest(spark, path).join(counts, ["part", "file", "ordinal"], "left")
     checked = F.when(F.col("n_tokens").isNotNull(), F.col("n_tokens")).otherwise(
         F.raise_error(F.lit("a document is missing from the token files")).cast("long")
     )
-    return found.select("id", F.col("part").alias("shard"), "ordinal", "start", checked.alias("n_tokens"))
+    return found.select(
+        "id", F.col("part").alias("shard"), "file", "ordinal", "start", checked.alias("n_tokens")
+    )

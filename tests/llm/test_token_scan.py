@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import random
+import uuid
+
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from freightlens.llm import queries, token_scan
 from tests.conftest import SF_SMALL
@@ -50,10 +55,70 @@ def test_query_on_the_table(spark):
     assert got == {d.doc_id: len(enc.encode_ordinary(d.text or "")) for d in docs}
 
 
+def tokens_of(text):
+    return len(token_scan.encoding(queries.BYTE_RANKS).encode_ordinary(text or ""))
+
+
+@pytest.mark.parametrize("dealt", ["repartition", "sample", "join", "one long task"])
+def test_any_input_keeps_its_ids(spark, dealt):
+    docs = queries.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    if dealt == "repartition":
+        docs = docs.repartition(7)
+    elif dealt == "sample":
+        docs = docs.sample(0.5).repartition(3)  # another sample each time it is read
+    elif dealt == "join":
+        docs = docs.join(docs.select("doc_id").where("doc_id % 3 > 0").repartition(5), "doc_id")
+    else:
+        docs = docs.coalesce(1)
+    want = {r.doc_id: tokens_of(r.text) for r in queries.table(spark, SF_SMALL, "documents").collect()}
+    out = token_scan.document_tokens(docs, queries.BYTE_RANKS, f"dealt-{uuid.uuid4().hex}").collect()
+    assert len(out) > len(want) // 3 and len({r.id for r in out}) == len(out)
+    assert [r for r in out if r.n_tokens != want[r.id]] == []
+
+
+def test_tasks_that_meet_rows_in_another_order(spark):
+    """Rows come in another order each time a task runs, as after a lost shuffle."""
+    rows = [(i, "word " * i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    seen = docs.count()
+
+    def shuffled(batches):
+        rng = random.Random()
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            rng.shuffle(order)
+            yield batch.take(pa.array(order))
+
+    out = token_scan.document_tokens(
+        docs.mapInArrow(shuffled, docs.schema), queries.BYTE_RANKS, f"order-{uuid.uuid4().hex}"
+    ).collect()
+    docs.unpersist()
+    assert len(out) == seen == 300
+    assert [r for r in out if r.n_tokens != tokens_of("word " * r.id)] == []
+
+
+def test_files_are_bounded_and_long_texts_whole(spark):
+    old, token_scan.FILE_BYTES = token_scan.FILE_BYTES, 400
+    try:
+        rows = [(i, "word " * (i % 90)) for i in range(100)] + [(100, "long text " * 60_000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        name = f"bounded-{uuid.uuid4().hex}"
+        out = token_scan.document_tokens(docs, queries.BYTE_RANKS, name).collect()
+    finally:
+        token_scan.FILE_BYTES = old
+    want = {i: tokens_of(text) for i, text in rows}
+    assert {r.id: r.n_tokens for r in out} == want
+    assert len({r.file for r in out}) > 5
+    sizes = {}
+    for r in out:
+        sizes.setdefault(r.file, []).append(2 * r.n_tokens + 2)
+    assert all(sum(s) - s[-1] < 400 for s in sizes.values() if len(s) > 1)
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(1, None, 9), (2, "", 9), (3, "some words here", 9), (3, "some words here", 9), (None, "x", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ordinal int").coalesce(2)
-    out = token_scan.document_tokens(docs, queries.BYTE_RANKS, "odd-rows").collect()
+    out = token_scan.document_tokens(docs, queries.BYTE_RANKS, f"odd-{uuid.uuid4().hex}").collect()
     assert sorted((r.id or 0, r.n_tokens) for r in out) == [(0, 1), (1, 0), (2, 0), (3, 3), (3, 3)]
-    none = token_scan.document_tokens(docs.limit(0), queries.BYTE_RANKS, "no-rows").collect()
+    none = token_scan.document_tokens(docs.limit(0), queries.BYTE_RANKS, f"none-{uuid.uuid4().hex}").collect()
     assert none == []
