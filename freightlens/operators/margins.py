@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.constants import COST_FLAGS, EROSION_COST_LIMIT, EROSION_MIN_ORDERS, PROFIT_FLAGS
-from freightlens.functions.columns import exact_mean, pct_of, round_half_up
+from freightlens.functions.columns import pct_of, round_half_up
+from freightlens.functions.exact import exact_mean_of, exact_sum_of, grouped
 
 EROSION_KEYS = ("Market", "Order_Region", "Shipping_Mode", "Category_Name")
 
@@ -34,18 +35,17 @@ def cost_erosion(
     discount, a cost flag (cost share above ``cost_limit``) and a
     profitability flag. A group with no revenue has a NULL share and is
     'Normal'."""
-    sales, profit, cost = F.sum("Sales"), F.sum("Order_Profit_Per_Order"), F.sum("implied_total_cost")
-    agg = (
-        da.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("total_orders"),
-            sales.alias("_sales"),
-            profit.alias("_profit"),
-            cost.alias("_cost"),
-            exact_mean("Order_Item_Discount_Rate").alias("_disc"),
-        )
-        .where(F.col("total_orders") >= F.lit(min_n))
-    )
+    agg = grouped(
+        da,
+        keys,
+        {
+            "total_orders": F.count(F.lit(1)),
+            "_sales": exact_sum_of("Sales"),
+            "_profit": exact_sum_of("Order_Profit_Per_Order"),
+            "_cost": exact_sum_of("implied_total_cost"),
+            "_disc": exact_mean_of("Order_Item_Discount_Rate"),
+        },
+    ).where(F.col("total_orders") >= F.lit(min_n))
     cost_pct = _ratio_pct(F.col("_cost"), F.col("_sales"))
     margin_pct = _ratio_pct(F.col("_profit"), F.col("_sales"))
     return agg.select(
@@ -71,12 +71,16 @@ def route_lookup(shipments: DataFrame) -> DataFrame:
     ids), mean delay, count of the source late-risk flag, mean sales and
     profit, and on-time rate = (1 - late / shipments) * 100."""
     seg = shipments.where(F.col("route_segment").isNotNull())
-    agg = seg.groupBy("route_segment").agg(
-        F.count("Order_Id").alias("total_shipments"),
-        exact_mean("delay_days").alias("avg_delay"),
-        F.coalesce(F.sum("Late_delivery_risk"), F.lit(0)).cast("bigint").alias("late_count"),
-        exact_mean("Sales").alias("avg_sales"),
-        exact_mean("Order_Profit_Per_Order").alias("avg_profit"),
+    agg = grouped(
+        seg,
+        ["route_segment"],
+        {
+            "total_shipments": F.count("Order_Id"),
+            "avg_delay": exact_mean_of("delay_days"),
+            "late_count": F.coalesce(F.sum("Late_delivery_risk"), F.lit(0)).cast("bigint"),
+            "avg_sales": exact_mean_of("Sales"),
+            "avg_profit": exact_mean_of("Order_Profit_Per_Order"),
+        },
     )
     on_time = (
         F.lit(1.0)

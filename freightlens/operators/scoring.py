@@ -33,7 +33,8 @@ from freightlens.constants import (
     SCORECARD_TIERS,
     SCORECARD_WEIGHTS,
 )
-from freightlens.functions.columns import exact_mean, exact_stddev_samp, pct_of, round_half_up
+from freightlens.functions.columns import pct_of, round_half_up
+from freightlens.functions.exact import exact_mean_of, exact_stddev_of, exact_sum_of, grouped
 from freightlens.operators.ranking import ranks_below
 from freightlens.plans.session import materialise
 
@@ -111,19 +112,21 @@ def segment_metrics(
     ``min_n`` shipments are dropped."""
     late = F.sum(F.when(F.col("delay_days") > 0, 1).otherwise(0))
     n = F.count(F.lit(1))
-    return (
-        da.groupBy(*keys)
-        .agg(
-            n.alias("total_shipments"),
-            exact_mean("delay_days").alias("avg_delay_days"),
-            pct_of(late, n).alias("late_rate_pct"),
-            (F.lit(100.0) - pct_of(late, n)).alias("on_time_rate_pct"),
-            exact_mean("implied_total_cost").alias("avg_implied_cost"),
-            exact_mean("Order_Profit_Per_Order").alias("avg_profit"),
-            F.sum("Sales").cast("double").alias("total_revenue"),
-        )
-        .where(F.col("total_shipments") >= F.lit(min_n))
+    metrics = grouped(
+        da,
+        keys,
+        {
+            "total_shipments": n,
+            "avg_delay_days": exact_mean_of("delay_days"),
+            "late_rate_pct": pct_of(late, n),
+            "on_time_rate_pct": F.lit(100.0) - pct_of(late, n),
+            "avg_implied_cost": exact_mean_of("implied_total_cost"),
+            "avg_profit": exact_mean_of("Order_Profit_Per_Order"),
+            "total_revenue": exact_sum_of("Sales"),
+        },
     )
+    metrics = metrics.where(F.col("total_shipments") >= F.lit(min_n))
+    return metrics.withColumn("total_revenue", F.col("total_revenue").cast("double"))
 
 
 def segment_scorecard(
@@ -178,20 +181,26 @@ def corridor_metrics(
     revenue and count of loss-making orders."""
     n = F.count(F.lit(1))
     cancels = F.sum(F.when(F.col("Order_Status").isin(*cancel_statuses), 1).otherwise(0))
-    return (
-        da.groupBy(*keys)
-        .agg(
-            n.alias("total_orders"),
-            pct_of(cancels, n).alias("cancel_fraud_rate"),
-            (exact_mean("Late_delivery_risk") * F.lit(100.0)).alias("late_delivery_rate"),
-            (exact_mean("Order_Item_Discount_Rate") * F.lit(100.0)).alias("avg_discount_pct"),
-            exact_stddev_samp("Order_Item_Profit_Ratio").alias("profit_volatility"),
-            F.sum("Sales").cast("double").alias("total_revenue"),
-            F.sum(F.when(F.col("Order_Profit_Per_Order") < 0, 1).otherwise(0))
-            .cast("bigint")
-            .alias("negative_profit_orders"),
-        )
-        .where(F.col("total_orders") >= F.lit(min_n))
+    losses = F.sum(F.when(F.col("Order_Profit_Per_Order") < 0, 1).otherwise(0))
+    metrics = grouped(
+        da,
+        keys,
+        {
+            "total_orders": n,
+            "cancel_fraud_rate": pct_of(cancels, n),
+            "late_delivery_rate": exact_mean_of("Late_delivery_risk"),
+            "avg_discount_pct": exact_mean_of("Order_Item_Discount_Rate"),
+            "profit_volatility": exact_stddev_of("Order_Item_Profit_Ratio"),
+            "total_revenue": exact_sum_of("Sales"),
+            "negative_profit_orders": losses.cast("bigint"),
+        },
+    )
+    return metrics.where(F.col("total_orders") >= F.lit(min_n)).withColumns(
+        {
+            "late_delivery_rate": F.col("late_delivery_rate") * F.lit(100.0),
+            "avg_discount_pct": F.col("avg_discount_pct") * F.lit(100.0),
+            "total_revenue": F.col("total_revenue").cast("double"),
+        }
     )
 
 
