@@ -4,19 +4,27 @@ Each source asks for its weight's share of the words to take and is clamped at
 ``max_epochs`` times its own size; what it cannot take is shared among the
 others by weight, until none is above its cap. A target of 1.4 epochs is taken
 as one whole repetition of every document and a seeded sample of 0.4: the
-documents with the least seeded hashes, up to the hash at which their words
-come nearest to what is still missing. That hash is found by bucket sums and a
+documents with the least seeded hashes, up to the place at which their words
+come nearest to what is still missing. That place is found by bucket sums and a
 window over one bucket of each source, so no source is ever sorted whole.
 
+The hash is that of the whole row, so only equal rows share one, and they are
+summed before the window. If the sample ends among equal rows, as many of them
+are taken as are needed: they are counted, and one stands for all of them.
+
 Defined results: null texts have size 0; null is a source of its own; rows that
-share a document id are taken alike; an empty source has target 0; with nothing
-to take the result is empty or all zero.
+share an id but differ are taken apart; of equal rows (columns with maps left
+aside) any may be the ones taken once more; an empty source has target 0; with
+nothing to take the result is empty or all zero.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +32,7 @@ from freightlens.llm.textops import n_words, null_safe_key
 from freightlens.plans.session import materialise
 
 DOCS_PER_BUCKET = 4096
+PART = 100_000
 
 
 def ranked_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -61,8 +70,10 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     )
 
 
-def seeded_hash(id_col: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), id_col)
+def seeded_hash(docs: DataFrame, seed: int) -> Column:
+    """Of the whole row; columns that hold maps have no hash and are left aside."""
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in sorted(hashed)])
 
 
 def plan_mix(
@@ -76,8 +87,9 @@ def plan_mix(
     source_col: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
     """``(sized, plan)``: every document as ``(id, key, size, h)``, and one row
-    per source: ``key, source, size, weight, target, whole`` and the bucket and
-    hash up to which one more repetition is taken."""
+    per source: ``key, source, size, weight, target, whole``, the bucket and hash up
+    to which one more repetition is taken, and how many of the ``last_rows`` rows
+    of that hash take it."""
     spark = docs.sparkSession
     sized = materialise(
         spark,
@@ -86,7 +98,7 @@ def plan_mix(
             F.col(source_col).alias("source"),
             null_safe_key(F.col(source_col)).alias("key"),
             n_words(F.col(text_col)).alias("size"),
-            seeded_hash(F.col(id_col), seed).alias("h"),
+            seeded_hash(docs, seed).alias("h"),
         ),
         "mix-sizes",
     )
@@ -114,44 +126,115 @@ def plan_mix(
         .select("key", "missing", "b.bucket", (F.col("b.upto") - F.col("b.words")).alias("before"))
     )
     inside = sized.withColumn("bucket", bucket).join(ends, ["key", "bucket"])
-    by_hash = Window.partitionBy("key").orderBy("h")  # ties in h are summed together
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(by_hash))
-    off = F.abs(F.col("upto") - F.col("missing"))
-    last = inside.groupBy("key", "bucket", "before", "missing").agg(
-        F.min(F.struct(off.alias("off"), F.col("h"))).alias("best")
+    inside = inside.groupBy("key", "bucket", "before", "missing", "h").agg(
+        F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")
+    )
+    by_hash = Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("words").over(by_hash), F.lit(0))
+    inside = inside.withColumn("short", F.col("missing") - start)
+    each = F.col("words") / F.col("n")
+    fit = F.round(F.col("short") / F.nullif(each, F.lit(0.0))).cast("long")
+    taken = F.least(F.greatest(F.coalesce(fit, F.col("n")), F.lit(0)), F.col("n"))
+    inside = inside.withColumn("taken", taken)
+    off = F.abs(F.col("short") - F.col("taken") * each)
+    best = F.min(F.struct(off.alias("off"), "h", "taken", "n")).alias("best")
+    last = inside.groupBy("key", "bucket").agg(best)
+    last = last.select(
+        "key",
+        "bucket",
+        F.col("best.h").alias("last_h"),
+        F.col("best.taken").alias("last_taken"),
+        F.col("best.n").alias("last_rows"),
     )
-    nearer = F.col("best.off") < F.abs(F.col("before") - F.col("missing"))
-    last = last.select("key", "bucket", F.when(nearer, F.col("best.h")).alias("last_h"))
     plan = materialise(spark, targets.join(last, "key", "left"), "mix-plan")
     return sized, plan.withColumn("bits", F.lit(bits))
 
 
 def copies(h: Column) -> Column:
-    """Repetitions of a document whose seeded hash is ``h``, from a plan row."""
+    """Repetitions of a row whose seeded hash is ``h``, from a plan row."""
     place = F.call_function("shiftright", h, F.lit(64) - F.col("bits"))
-    more = (place < F.col("bucket")) | ((place == F.col("bucket")) & (h <= F.col("last_h")))
+    last = (h == F.col("last_h")) & (F.col("last_taken") == F.col("last_rows"))
+    more = (place < F.col("bucket")) | ((place == F.col("bucket")) & ((h < F.col("last_h")) | last))
     return F.col("whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
 
 
+def split_group(h: Column) -> Column:
+    """Whether the row is one of several equal ones among which the sample ends."""
+    part = (F.col("last_taken") > 0) & (F.col("last_taken") < F.col("last_rows"))
+    return F.coalesce((h == F.col("last_h")) & part, F.lit(False))
+
+
+def ends_among_equal(plan: DataFrame) -> bool:
+    return not plan.where(split_group(F.col("last_h"))).isEmpty()
+
+
+def times(rows: DataFrame, n: Column) -> DataFrame:
+    """Each row ``n`` times, with its turn ``at`` from 1. A row is dealt to tasks
+    in parts of ``PART`` turns, as one row may stand for very many."""
+    n = n.cast("long")
+    parts = F.call_function("div", n + (PART - 1), F.lit(PART).cast("long"))
+    dealt = rows.withColumns({"_n": n, "_parts": parts}).where("_n > 0")
+    dealt = dealt.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    dealt = dealt.repartition("_p")
+    first = F.col("_p") * PART + 1
+    turns = F.sequence(first, F.least(first + (PART - 1), F.col("_n")))
+    return dealt.withColumn("at", F.explode(turns)).drop("_n", "_parts", "_p")
+
+
+def one_for_all(rows: DataFrame) -> DataFrame:
+    """One row of each ``(key, h)`` and their number ``n``. Each task keeps one
+    row a hash, at most one hash a source; no row is shuffled or sorted."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[tuple, pa.RecordBatch] = {}
+        counts: Counter = Counter()
+        for batch in batches:
+            pairs = zip(batch.column("key").to_pylist(), batch.column("h").to_pylist())
+            for i, pair in enumerate(pairs):
+                if pair not in first:
+                    first[pair] = batch.take(pa.array([i]))
+                counts[pair] += 1
+        for pair, row in first.items():
+            yield row.set_column(row.schema.get_field_index("n"), "n", pa.array([counts[pair]], pa.int64()))
+
+    found = rows.withColumn("n", F.lit(0).cast("long"))
+    found = found.mapInArrow(kept, found.schema)
+    others = [F.any_value(c).alias(c) for c in rows.columns if c not in ("key", "h")]
+    return found.groupBy("key", "h").agg(*others, F.sum("n").alias("n"))
+
+
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """Every document as ``(id, size, source_size, target, n_copies)``."""
     sized, plan = plan_mix(docs, **options)
     plan = plan.withColumnRenamed("size", "source_size").drop("source")
-    return sized.join(plan, "key").select(
-        "id", "size", "source_size", "target", copies(F.col("h")).alias("n_copies")
-    )
+    joined = sized.join(plan, "key")
+    columns = ["id", "size", "source_size", "target"]
+    alike = split_group(F.col("h"))
+    plain = joined.where(~alike).select(*columns, copies(F.col("h")).alias("n_copies"))
+    if not ends_among_equal(plan):
+        return plain
+    equal = joined.where(alike).groupBy("key", "id", *columns[1:], "whole", "last_taken")
+    equal = times(equal.agg(F.count(F.lit(1)).alias("n")), F.col("n"))
+    more = F.when(F.col("at") <= F.col("last_taken"), 1).otherwise(0)
+    return plain.unionByName(equal.select(*columns, (F.col("whole") + more).alias("n_copies")))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
+    source_col = options.get("source_col", "source")
     _, plan = plan_mix(docs, seed=seed, **options)
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         null_safe_key(F.col(source_col)).alias("key"),
-        seeded_hash(F.col(id_col), seed).alias("h"),
+        seeded_hash(docs, seed).alias("h"),
     )
-    taken = packed.join(plan.drop("source", "size"), "key")
-    taken = taken.withColumn("n", copies(F.col("h"))).where("n > 0")
+    joined = packed.join(plan.drop("source", "size"), "key")
+    alike = split_group(F.col("h"))
+    taken = joined.where(~alike).withColumn("n", copies(F.col("h"))).where("n > 0")
     repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return repeated.select("row.*")
+    mixed = repeated.select("row.*")
+    if not ends_among_equal(plan):
+        return mixed
+    equal = one_for_all(joined.where(alike).select("key", "h", "row", "whole", "last_taken"))
+    equal = times(equal, F.col("n") * F.col("whole") + F.col("last_taken"))
+    return mixed.unionByName(equal.select("row.*"))

@@ -61,8 +61,6 @@ def test_nulls_ties_and_repeated_rows(spark):
     assert len(out) == len(rows)
     z = next(r for r in out if r.id == 70)
     assert z["size"] == 0 and z.target == 0.0
-    once = {r.n_copies for r in out if r.id == 1}
-    assert len(once) == 1
     mixed = mixing.mixed_documents(docs_of(spark, rows))
     assert mixed.columns == docs_of(spark, rows).columns
     assert mixed.count() == sum(r.n_copies for r in out)
@@ -88,3 +86,34 @@ def test_many_buckets(spark):
         mixing.DOCS_PER_BUCKET = old
     for target in {r.target for r in out}:
         assert abs(sum(r["size"] * r.n_copies for r in out if r.target == target) - target) <= 6
+
+
+@pytest.mark.parametrize("text", ["a b c d", "differs"])
+def test_repeated_ids_meet_the_target(spark, text):
+    """All but one row share an id: as equal rows, and with texts of their own."""
+    rows = [(7, text if text != "differs" else f"a b c {i}", "x", "s", 1, 2) for i in range(2000)]
+    rows.append((8, "one two", "x", "s", 1, 2))
+    docs = docs_of(spark, rows).repartition(5)
+    old, mixing.PART = mixing.PART, 300
+    try:
+        out = mixing.mix_counts(docs, share=1.125).collect()
+        mixed = mixing.mixed_documents(docs, share=1.125).collect()
+    finally:
+        mixing.PART = old
+    assert len(out) == 2001 and max(r.n_copies for r in out) <= 2
+    target = out[0].target
+    assert target == pytest.approx(1.125 * 8002)
+    assert abs(sum(r["size"] * r.n_copies for r in out) - target) <= 4
+    assert abs(sum(len(r.text.split()) for r in mixed) - target) <= 4
+    assert {tuple(r) for r in mixed} <= {tuple(r) for r in rows}
+
+
+def test_long_texts_and_columns_without_a_hash(spark):
+    rows = [(i, "word " * (200_000 if i == 3 else 5), "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr(
+        "*", "map('a', doc_id) AS labels", "array(1, 2) AS h", "doc_id AS key", "1 AS whole"
+    )
+    out = mixing.mix_counts(docs).collect()
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.n_copies for r in out)
+    assert next(r for r in out if r.id == 3)["size"] == 200_000
