@@ -115,7 +115,10 @@ def plan_mix(
     # Which bucket of hashes holds the place at which the sample ends.
     bits = max(1, math.ceil(math.log2(max(1, (most or 0) / DOCS_PER_BUCKET))))
     bucket = F.shiftright(F.col("h"), 64 - bits)
-    sums = sized.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    # Equal rows share a hash: one row from here on, combined map-side.
+    hashes = sized.groupBy("key", "h").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    hashes = materialise(spark, hashes.withColumn("bucket", bucket), "mix-hashes")
+    sums = hashes.groupBy("key", "bucket").agg(F.sum("words").alias("words"))
     along = Window.partitionBy("key").orderBy("bucket")
     sums = sums.withColumn("upto", F.sum("words").over(along))
     ends = (
@@ -125,10 +128,7 @@ def plan_mix(
         .agg(F.min(F.struct("bucket", "words", "upto")).alias("b"))
         .select("key", "missing", "b.bucket", (F.col("b.upto") - F.col("b.words")).alias("before"))
     )
-    inside = sized.withColumn("bucket", bucket).join(ends, ["key", "bucket"])
-    inside = inside.groupBy("key", "bucket", "before", "missing", "h").agg(
-        F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")
-    )
+    inside = hashes.join(ends, ["key", "bucket"])
     by_hash = Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("words").over(by_hash), F.lit(0))
     inside = inside.withColumn("short", F.col("missing") - start)
