@@ -9,14 +9,15 @@
    others as revisits that refer to it and carry no payload. Each archive is a
    file of Spark's text writer, one record a row, with the record separator as
    line separator; the files go to the shared folder, gzipped unless told
-   otherwise.
-3. Archives are read back whole file by file (a file holds at most
-   ``RECORDS_PER_FILE`` records) and cut by their Content-Length, never by
-   searching for separators, so payloads may hold anything.
+   otherwise. Each writing task deals its records to files by the running sum
+   of their bytes: no file holds more than ``FILE_BYTES`` and one record.
+3. Archives are read back file by file and cut by their Content-Length, never
+   by searching for separators, so payloads may hold anything.
 
 Defined results: a null payload is empty; a null url is left out of the
 header; rows that share an id and a payload are written as equal records of
-the same type; payloads shorter than ``min_bytes`` are always responses.
+the same type; payloads shorter than ``min_bytes`` are always responses;
+columns other than the three named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-RECORDS_PER_FILE = 4000
+FILE_BYTES = 64 << 20  # of records, before compression
 RECORD_ID = "<urn:page:"  # of the record: this, the id and ">"
 
 
@@ -120,21 +124,40 @@ def records(
     return rows.select(F.concat(head, http, body).alias("record"))
 
 
+def dealt(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """``(file, record)``: the number of the record's file within its task, from
+    the bytes of the records before it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = before + np.cumsum(sizes) - sizes
+            before += int(sizes.sum())
+            file = pa.array(starts // file_bytes, pa.int64())
+            yield pa.RecordBatch.from_arrays([file, batch.column(0)], ["file", "record"])
+
+    return rows.select("record").mapInArrow(deal, "file long, record string")
+
+
 def write_archives(
     pages: DataFrame,
     path: str,
     min_bytes: int = 0,
-    date: str = "2024-01-01T00:00:00Z",
+    date: str | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
     payload_col: str = "html",
     compression: str = "gzip",
+    file_bytes: int = FILE_BYTES,
 ) -> None:
-    """Write every row of ``pages`` as a record of deduplicated archives."""
+    """Write every row of ``pages`` as a record of deduplicated archives, dated
+    now unless told otherwise."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisits = resolve_revisits(payload_headers(pages, id_col, payload_col), min_bytes)
-    rows = records(pages, revisits, date, id_col, url_col, payload_col)
-    writer = rows.write.option("lineSep", END).option("compression", compression)
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = dealt(records(pages, revisits, date, id_col, url_col, payload_col), file_bytes)
+    writer = rows.write.partitionBy("file").option("lineSep", END)
+    writer.option("compression", compression).text(path)
 
 
 def _headers_of(block: bytes) -> dict[str, str]:

@@ -1,7 +1,12 @@
 from __future__ import annotations
 
 import base64
+import glob
+import gzip
 import hashlib
+import os
+
+from pyspark.sql import functions as F
 
 from freightlens.llm import queries, warc
 from tests.conftest import SF_SMALL
@@ -23,7 +28,7 @@ def brute(rows, min_bytes=0):
 
 def round_trip(spark, rows, path, **options):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write_archives(pages.withColumnRenamed("x", "digest"), path, **options)
+    warc.write_archives(pages, path, **options)
     read = warc.resolved(warc.read_archives(spark, path)).collect()
     return sorted(((r.id, r.n_bytes, r.digest, r.record_type, r.refers_to) for r in read), key=str), read
 
@@ -62,6 +67,40 @@ def test_one_payload_very_many_times(spark, tmp_dir):
     assert got == brute(rows)
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_dir):
+    rows = [(i, f"http://h/{i}", f"{i:04d}" * (25_000 if i % 10 == 0 else 50)) for i in range(200)]
+    path = tmp_dir + "/bytes"
+    got, _ = round_trip(spark, rows, path, file_bytes=150_000)
+    assert got == brute(rows)
+    largest_record = 100_000 + 1_000
+    sizes = [len(gzip.decompress(open(f, "rb").read())) for f in glob.glob(path + "/*/*.gz")]
+    assert len(sizes) > 10 and max(sizes) <= 150_000 + largest_record
+
+
+def test_columns_with_clashing_names(spark, tmp_dir):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    for name in ("id", "digest", "n_bytes", "original", "payload", "record", "file", "least"):
+        pages = pages.withColumn(name, F.lit(f"other {name}"))
+    warc.write_archives(pages, tmp_dir + "/e")
+    read = warc.resolved(warc.read_archives(spark, tmp_dir + "/e")).collect()
+    got = sorted(((r.id, r.n_bytes, r.digest, r.record_type, r.refers_to) for r in read), key=str)
+    assert got == brute(ROWS)
+
+
+def test_headers_carry_the_date(spark, tmp_dir):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    warc.write_archives(pages, tmp_dir + "/f", date="2031-05-06T07:08:09Z", compression="none")
+    found = 0
+    for folder, _, names in os.walk(tmp_dir + "/f"):
+        for name in names:
+            if name.startswith("part-"):
+                with open(os.path.join(folder, name), "rb") as stream:
+                    for headers, _ in warc.parse_records(stream):
+                        assert headers["warc-date"] == "2031-05-06T07:08:09Z"
+                        found += 1
+    assert found == len(ROWS)
+
+
 def test_empty_table(spark, tmp_dir):
     assert round_trip(spark, [], tmp_dir + "/d")[0] == []
 
