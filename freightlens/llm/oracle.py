@@ -2,6 +2,211 @@
 
 from __future__ import annotations
 
+_OP1 = r"""
+WITH RECURSIVE rules(rule, verdict) AS (
+  VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')
+), page AS (
+  SELECT page_id, url, html,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), tags AS (
+  SELECT url, host, path, regexp_extract(tag, CASE kind WHEN 'link'
+           THEN '(?i)^<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)'
+           ELSE '(?i)^<meta\b[^>]*?\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*''?([^"''\s>]+)' END, 1) AS found,
+         kind, pos, id
+  FROM (
+    SELECT id, url, host, path, 'link' AS kind, unnest(all_links) AS tag, generate_subscripts(all_links, 1) AS pos
+    FROM (SELECT row_number() OVER () AS id, url, host, path,
+                 regexp_extract_all(html, '(?i)<link\b[^>]*') AS all_links FROM page)
+    UNION ALL
+    SELECT id, url, host, path, 'meta' AS kind, unnest(all_metas) AS tag, generate_subscripts(all_metas, 1) AS pos
+    FROM (SELECT row_number() OVER () AS id, url, host, path,
+                 regexp_extract_all(html, '(?i)<meta\b[^>]*') AS all_metas FROM page)
+  )
+  WHERE regexp_matches(tag, CASE kind WHEN 'link' THEN '(?i)\brel\s*=\s*["'']?canonical\b'
+                                      ELSE '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b' END)
+), named AS (
+  SELECT url, host, path, replace(arg_min(found, pos), '&amp;', '&') AS target
+  FROM tags WHERE found <> '' GROUP BY id, kind, url, host, path
+), parted AS (
+  SELECT *, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme,
+         regexp_extract(target, '(?s)^([^?#]*)', 1) AS own,
+         regexp_extract(target, '(?s)^[^?#]*(.*)$', 1) AS rest,
+         CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/'
+              ELSE regexp_replace(path, '[^/]*$', '') END AS folder
+  FROM named
+), folded AS (
+  SELECT *, list_reduce(
+    string_split(regexp_replace(CASE WHEN own LIKE '/%' THEN own ELSE folder || own END,
+                                '(^|/)(\.\.?)$', '\1\2/'), '/')[2:],
+    lambda done, part: CASE part WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done
+                       ELSE done || '/' || part END, '') AS whole
+  FROM parted
+), resolved AS (
+  SELECT url, CASE
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN target LIKE '//%' THEN scheme || ':' || target
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') OR NOT contains(url, '://') THEN NULL
+    WHEN target LIKE '#%' THEN url
+    WHEN target LIKE '?%' THEN scheme || '://' || host || path || target
+    ELSE scheme || '://' || host || CASE whole WHEN '' THEN '/' ELSE whole END || rest END AS goal
+  FROM folded
+), urls AS (
+  SELECT url FROM page UNION SELECT goal FROM resolved
+), nodes AS (
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+         || CASE WHEN tail LIKE '/%' THEN tail ELSE '/' || tail END AS node
+  FROM (SELECT url, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS tail FROM urls)
+  WHERE contains(url, '://')
+), edges AS (
+  SELECT a.node AS a, b.node AS b
+  FROM resolved r JOIN nodes a ON r.url = a.url JOIN nodes b ON r.goal = b.url WHERE a.node <> b.node
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reached AS (
+  SELECT a AS node, a AS other FROM both_ways
+  UNION
+  SELECT r.node, e.b FROM reached r JOIN both_ways e ON r.other = e.a
+), places AS (
+  SELECT host, path FROM page
+  UNION
+  SELECT regexp_extract(node, '(?s)^([^/?#]*)', 1), regexp_extract(node, '(?s)^[^/?#]*([^?#]*)', 1) FROM reached
+), ruled AS (
+  SELECT p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM places p JOIN rules r
+    ON (p.host = split_part(rule, '/', 1) OR ends_with(p.host, '.' || split_part(rule, '/', 1)))
+   AND starts_with(p.path, substr(rule, strpos(rule, '/')))
+  GROUP BY p.host, p.path
+), blocked AS (
+  SELECT DISTINCT node FROM reached JOIN ruled
+    ON host = regexp_extract(other, '(?s)^([^/?#]*)', 1) AND path = regexp_extract(other, '(?s)^[^/?#]*([^?#]*)', 1)
+  WHERE verdict = 'block'
+)
+SELECT p.page_id, p.host, p.path, r.rule,
+       coalesce(r.verdict, CASE WHEN b.node IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       r.rule IS NULL AND b.node IS NOT NULL AS by_alias
+FROM page p LEFT JOIN ruled r ON p.host = r.host AND p.path = r.path
+LEFT JOIN nodes n ON p.url = n.url LEFT JOIN blocked b ON n.node = b.node
+"""
+
+_OP3 = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS shingle
+  FROM texts
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id,
+       d.doc_id = min(r.other) AS kept
+FROM documents d JOIN reached r ON d.doc_id = r.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+GROUP BY d.doc_id
+"""
+
+_OP4 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, x, list_dot_product(x, x) AS norm
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+  WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+    ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND a.norm > 0 AND b.norm > 0
+  WHERE list_dot_product(a.x, b.x) / sqrt(a.norm * b.norm) >= 0.95
+), reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT r.vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(r.other) AS component_id,
+       r.vec_id = min(r.other) AS kept
+FROM reached r LEFT JOIN counts c ON r.vec_id = c.vec_id GROUP BY r.vec_id
+"""
+
+_OP5 = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), named AS (
+  SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS hexed,
+         max(page_id) OVER (PARTITION BY payload) AS original
+  FROM payloads
+)
+SELECT page_id, payload_bytes,
+       array_to_string([
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hexed, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)
+         for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < original THEN original END AS refers_to
+FROM named
+"""
+
+_OP7 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS text FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts
+), windows AS (
+  SELECT nr, unnest(range(1, len(w) - 3)) AS place,
+         unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS five
+  FROM worded WHERE len(w) >= 5
+), repeated AS (
+  SELECT nr, unnest(range(place, place + 5)) AS place
+  FROM (SELECT nr, place, count(*) OVER (PARTITION BY nr, five) AS n FROM windows) WHERE n >= 2
+), repeats AS (
+  SELECT nr, count(DISTINCT place) AS n FROM repeated GROUP BY nr
+), split AS (
+  SELECT nr, unnest(string_split(text, chr(10))) AS line FROM texts
+), lines AS (
+  SELECT nr, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM split
+), counted AS (
+  SELECT nr, line, len(w) AS n, length(array_to_string(w, '')) AS chars,
+         len([x for x in w if regexp_full_match(x, '[|»›·•>/]+')]) AS separators,
+         length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols
+  FROM lines WHERE len(w) > 0
+), judged AS (
+  SELECT *, (separators >= 3 AND n - separators <= 3 * (separators + 1))
+    OR (n <= 25 AND (regexp_matches(line, '(?i)\b((enable|requires?|turn on) javascript|uses? cookies|cookie (policy|settings)|privacy policy|terms of (use|service)|all rights reserved|subscribe to (our|the) newsletter|sign up for (our|the))\b')
+      OR regexp_matches(line, '(?i)^[\x20\x09-\x0D]*(log ?in|sign in|sign up|read more|share this|skip to content|back to top)[^A-Za-z0-9_]*$')))
+    OR (n >= 16 AND NOT regexp_matches(line, '[.!?,;:…。！？、，；：؟،۔।]'))
+    OR (n >= 4 AND 4 * symbols > n) AS fails
+  FROM counted
+), per_text AS (
+  SELECT nr, count(*) - count(DISTINCT line) AS dups, count(*) FILTER (WHERE fails) AS failed,
+         coalesce(sum(chars) FILTER (WHERE fails), 0)::BIGINT AS lost
+  FROM judged GROUP BY nr
+), base AS (
+  SELECT d.doc_id, len(d.w)::BIGINT AS n_words, length(array_to_string(d.w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(p.dups, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(p.failed, 0)::BIGINT AS n_lines_failed, coalesce(p.lost, 0)::BIGINT AS lost_chars
+  FROM worded d LEFT JOIN per_text p ON d.nr = p.nr LEFT JOIN repeats r ON d.nr = r.nr
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * lost_chars <= word_chars AS kept,
+       n_lines_failed, lost_chars
+FROM base
+"""
+
 _OP10 = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -72,6 +277,11 @@ QUALIFY rank <= 10
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": _OP1,
+    "op3_minhash": _OP3,
+    "op4_nn_descent": _OP4,
+    "op5_warc_revisits": _OP5,
+    "op7_line_quality": _OP7,
     "op10_line_dedup": _OP10,
     "op12_chunk_recipes": _OP12,
     "op13_ranked_search": _OP13,
