@@ -122,13 +122,17 @@ GROUP BY d.doc_id
 
 _OP4 = """
 WITH RECURSIVE vectors AS (
-  SELECT vec_id, x, list_dot_product(x, x) AS norm
-  FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
-  WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  SELECT vec_id, x, CASE WHEN usable THEN list_dot_product(x, x) END AS norm
+  FROM (
+    SELECT vec_id, list_transform(embedding, lambda c: coalesce(c, 0)::DOUBLE) AS x,
+           len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AS usable
+    FROM embeddings
+  )
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
-    ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND a.norm > 0 AND b.norm > 0
-  WHERE list_dot_product(a.x, b.x) / sqrt(a.norm * b.norm) >= 0.95
+    ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+  WHERE CASE WHEN len(a.x) = len(b.x) AND a.norm > 0 AND b.norm > 0
+             THEN list_dot_product(a.x, b.x) / sqrt(a.norm * b.norm) END >= 0.95
 ), reached AS (
   SELECT vec_id, vec_id AS other FROM embeddings
   UNION

@@ -1,0 +1,130 @@
+"""Queries against their SQL on small tables of hard cases, which the given
+tables lack: alias links of every form, near copies on both sides of the
+threshold, unusable vectors, failing lines of every rule."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from tests.oracle_check import compare, duck_connection
+
+HOSTS = ["a.com", "B.com", "x.net", "www.example.net", "example.com", "w.org", "c.io:80"]
+PATHS = ["", "/", "/en/1", "/en/2?p=1", "/de/1", "/fr/a/b", "/fr/a/c#top", "/q", "/q/r/", "?p=2"]
+TARGETS = [
+    "/en/1", "/de/1", "../c", "./b", "b", "..", ".", "?p=1", "#top", "//x.net/q", "/a/../q", "/q/r/./s/..",
+    "https://example.com/de/1", "HTTP://W.org/fr/a/b", "mailto:me@a.com", "https://gone.net/q?a=1&amp;b=2", "/q//r",
+]
+
+
+def pages(rng):
+    rows = [(900, None, "<link rel=canonical href=/en/1>"), (901, "no-scheme/de/", None), (902, "http://a.com/q", "")]
+    for i in range(90):
+        url = rng.choice(["http", "https"]) + "://" + rng.choice(HOSTS) + rng.choice(PATHS)
+        html = "<p>text</p>" if i % 5 else "<p>same</p>"
+        if rng.random() < 0.25:
+            html += f'<LINK href="{rng.choice(TARGETS)}" data-x=1 rel="canonical"><link rel=canonical href=/never>'
+        if rng.random() < 0.15:
+            html += f"<link rel='alternate' href='/no'><link rel='canonical' href='{rng.choice(TARGETS)}'>"
+        if rng.random() < 0.15:
+            html += f'<meta http-equiv="Refresh" content="0; URL={rng.choice(TARGETS)}">'
+        rows.append((i, url, html))
+    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]
+    return pa.table([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+
+
+LINES = [
+    "A plain sentence of prose, which ends here.",
+    "Another one says more than the first and stops.",
+    "Home | About us | News | Contact",
+    "» Start » Help > Shop / Terms",
+    "one | two | three words and then a good many more words of prose that follow them here, so no menu.",
+    "We use cookies on this site",
+    "  READ MORE  >>",
+    "read more of it in the book",
+    " ".join(f"word{i}" for i in range(16)),
+    " ".join(f"word{i}" for i in range(15)),
+    "a* b# c$ d",
+    "a* b c d",
+    "",
+    " \t\x0b",
+    "一个没有空格的句子。",
+    "All rights reserved " + "by the house " * 9 + "today.",
+]
+
+
+def documents(rng):
+    texts = [None, "", " \n ", "one", "one two", "ONE two", "a b c", "A\tb\nc"]
+    for _ in range(60):
+        texts.append("\n".join(rng.choice(LINES) for _ in range(rng.randrange(1, 14))))
+    vocabulary = [f"v{i}" for i in range(400)]
+    for _ in range(25):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 160))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(0, 4)):
+            words = list(words)
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary).upper()
+            texts.append("  ".join(words))
+    columns = [range(1, len(texts) + 1), texts, ["en"] * len(texts), ["web"] * len(texts), [len(t or "") for t in texts]]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def embeddings():
+    rng = np.random.default_rng(5)
+    rows = [None, [], [0.0] * 8, [1.0, None] + [0.0] * 6, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [1.0] * 4]
+    for _ in range(12):
+        centre = rng.normal(size=8)
+        for _ in range(rng.integers(1, 9)):
+            spread = rng.choice([0.0, 0.1, 0.2, 0.35])
+            rows.append((centre + spread * rng.normal(size=8)).tolist())
+    ids = pa.array(range(1, len(rows) + 1), pa.int64())
+    return pa.table(
+        [ids, pa.array(rows, pa.list_(pa.float32())), pa.array([0] * len(rows), pa.int32())],
+        names=["vec_id", "embedding", "label"],
+    )
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    path = tmp_path_factory.mktemp("tables")
+    rng = random.Random(11)
+    pq.write_table(pages(rng), path / "pages.parquet")
+    pq.write_table(documents(rng), path / "documents.parquet")
+    pq.write_table(embeddings(), path / "embeddings.parquet")
+    return str(path)
+
+
+NAMES = [
+    "op1_url_filter", "op3_minhash", "op4_nn_descent", "op5_warc_revisits", "op7_line_quality", "op10_line_dedup",
+    "op12_chunk_recipes",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_hard_cases(spark, folder, name):
+    r = compare(spark, name, folder, duck_connection(folder))
+    assert r["spark_rows"] == r["oracle_rows"] > 0
+    assert r["values_match"], r
+    assert not r["type_diffs"], r
+
+
+def test_the_fixture_holds_the_cases(spark, folder):
+    con = duck_connection(folder)
+    from freightlens.llm.oracle import ORACLE_SQL
+
+    def count(name, where):
+        return con.sql(f"SELECT count(*) FROM ({ORACLE_SQL[name]}) WHERE {where}").fetchall()[0][0]
+
+    assert count("op1_url_filter", "by_alias") > 0
+    assert count("op1_url_filter", "verdict = 'allow' AND rule IS NOT NULL") > 0
+    assert count("op3_minhash", "NOT kept") > 5 and count("op4_nn_descent", "n_links > 0") > 5
+    assert count("op5_warc_revisits", "record_type = 'revisit'") > 5
+    assert count("op7_line_quality", "NOT base_failed AND NOT kept") > 0
+    assert count("op7_line_quality", "kept AND n_lines_failed > 0") > 0
