@@ -4,6 +4,8 @@ A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``, with A-Z lower-cased;
 in UTF-8 that equals splitting code points. A word's hash is a polynomial over
 its bytes modulo 2**64 with random byte values, computed for all words of a
 slice of text at once; a shingle's hash mixes its words' hashes in order.
+Polynomials modulo a power of two have known equal pairs among words of a
+thousand bytes and more, so words over ``LONG`` bytes are hashed by BLAKE2.
 Texts are taken in slices of about ``SLICE`` bytes, cut between words, so a
 very long text needs no more memory per byte than a short one.
 """
@@ -11,11 +13,13 @@ very long text needs no more memory per byte than a short one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+LONG = 256
 _U = np.uint64
 
 
@@ -56,7 +60,11 @@ def _slice_words(data: np.ndarray) -> np.ndarray:
     terms = _VALUE[_LOWER[data]] * _power_table("up", _BASE, len(data))
     np.cumsum(terms, out=sums[1:])
     back = _power_table("down", pow(_BASE, -1, 1 << 64), len(data))
-    return _mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    found = _mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG):
+        word = _LOWER[data[start[i] : end[i]]].tobytes()
+        found[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    return found
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from freightlens.llm import minhash, queries, shingles
@@ -108,3 +109,18 @@ def test_words_of_slices_and_long_words():
     whole = shingles.word_hashes(np.frombuffer(text.encode(), np.uint8))
     assert (sliced == whole).all() and len(whole) == len(text.split())
     assert len(set(whole.tolist())) == len(set(text.split()))
+
+
+def test_long_words_of_a_known_colliding_family():
+    """The two sequences of Thue and Morse have equal polynomials modulo 2**64."""
+    turn, other = bytearray(b"a"), bytearray(b"b")
+    for _ in range(12):
+        turn, other = turn + other, other + turn
+    data = np.frombuffer(bytes(turn) + b" " + bytes(other) + b" " + bytes(turn).upper(), np.uint8)
+    first, second, again = shingles.word_hashes(data)
+    assert first != second and first == again
+    long = shingles.LONG
+    for n in (long, long + 1):  # where the hash of a word changes: equal words stay equal
+        data = np.frombuffer(b"x" * n + b" " + b"X" * n + b" " + b"x" * (n - 1) + b"y", np.uint8)
+        a, b, c = shingles.word_hashes(data)
+        assert a == b and a != c
