@@ -12,6 +12,9 @@ again only steps through both; pairs are remembered too.
 Texts are cut before white space marks and around line ends, where the
 vocabulary proves that no piece crosses, and the ids of each cut are kept in a
 bounded memo, so the automaton sees every distinct word about once per task.
+A worker lives as long as its executor and shares the executor's memory, so
+what is remembered is packed: cuts with blanks, not marks (one byte a character
+in most texts), ids as 32-bit numbers, pairs of pieces by the pieces' numbers.
 The vocabulary's path is a parameter; the model is loaded once per worker and
 decodes the ids.
 
@@ -27,13 +30,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a space inside pieces
-MEMO = 1 << 19  # cuts, pieces and pairs remembered per worker, each
+MEMO = 1 << 18  # cuts, pieces and pairs remembered per worker, each
 NONE = float("-inf")  # the score of what is no piece
 
 
@@ -63,10 +67,15 @@ class PieceCodec:
         self.matches.make_automaton()
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces cross the cuts")
-        self.cuts = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bool, list[float], list[str], list[str]]] = {}
+        self.cuts = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+|\n")
+        self.shown = [str(i) for i in range(m.get_piece_size())]
+        # Two generations: what is used of the old one moves to the young one,
+        # which takes its place when it is half of the memo.
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known: dict[str, tuple[bool, list[float], list[str], list[str], int]] = {}
+        self.numbers = 0  # of the pieces in ``known``, never dealt twice
 
     # -- merging two neighbours again ---------------------------------------
     def merges(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
@@ -92,28 +101,30 @@ class PieceCodec:
             lasts.append(parts[-1])
         return parts, done, firsts, lasts
 
-    def history(self, piece: str) -> tuple[bool, list[float], list[str], list[str]]:
-        """Whether the merges of a piece's characters reach it, and the scores
-        and outer parts on the way (see ``merges``), remembered."""
+    def history(self, piece: str) -> tuple[bool, list[float], list[str], list[str], int]:
+        """Whether the merges of a piece's characters reach it, the scores and
+        outer parts on the way (see ``merges``), and its number, remembered."""
         found = self.known.get(piece)
         if found is None:
             if len(self.known) >= MEMO:
                 self.known.clear()
             parts, *rest = self.merges(piece)
-            found = self.known[piece] = (parts == [piece], *rest)
+            self.numbers += 1
+            found = self.known[piece] = (parts == [piece], *rest, self.numbers)
         return found
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the text of both again gives both, remembered."""
+    def compatible(self, left: tuple, right: tuple) -> bool:
+        """Whether merging the text of two pieces again gives both, from their
+        histories, remembered."""
         if len(self.pairs) >= MEMO:
             self.pairs.clear()
-        found = self.pairs[left, right] = self.stay_apart(self.history(left), self.history(right))
+        found = self.pairs[left[4] << 32 | right[4]] = self.stay_apart(left, right)
         return found
 
     def stay_apart(self, left: tuple, right: tuple) -> bool:
         """Each side merges as it does alone, the better next merge first,
         until the parts that meet in the middle would merge before either."""
-        get, (_, a, _, lasts), (_, b, firsts, _) = self.scores.get, left, right
+        get, a, lasts, b, firsts = self.scores.get, left[1], left[3], right[1], right[2]
         i, j, n_a, n_b = 0, 0, len(a), len(b)
         while True:
             next_a = a[i] if i < n_a else NONE
@@ -143,7 +154,7 @@ class PieceCodec:
         pairs, known = self.pairs, self.known
         failed = 0  # bit i: no way on from place i after what led there
         pieces: list[str] = []
-        choice: list[int] = []  # which of the lengths each piece took
+        choice: list[tuple[int, tuple]] = []  # which of the lengths each piece took, its history
         at, pick, before = 0, len(lengths[0]) - 1, None
         while at < size:
             own, step = lengths[at], None
@@ -151,10 +162,11 @@ class PieceCodec:
                 n = own[pick]
                 if not failed >> (at + n) & 1:
                     piece = text[at : at + n]
-                    if n == 1 or (known.get(piece) or self.history(piece))[0]:
-                        fits = before is None or pairs.get((before, piece))
+                    now = known.get(piece) or self.history(piece)
+                    if now[0]:
+                        fits = before is None or pairs.get(before[4] << 32 | now[4])
                         if fits is None:
-                            fits = self.compatible(before, piece)
+                            fits = self.compatible(before, now)
                         if fits:
                             step = piece
                             break
@@ -164,43 +176,46 @@ class PieceCodec:
                     raise ValueError(f"no encoding of {text!r}")
                 failed |= 1 << at
                 at -= len(pieces.pop())
-                pick = choice.pop() - 1
-                before = pieces[-1] if pieces else None
+                pick = choice.pop()[0] - 1
+                before = choice[-1][1] if choice else None
                 continue
             pieces.append(step)
-            choice.append(pick)
-            before = step
+            choice.append((pick, now))
+            before = now
             at += n
             pick = len(lengths[at]) - 1 if at < size else -1
         return pieces
 
-    def cut_ids(self, cut: str) -> tuple[tuple[int, ...], str]:
+    def cut_ids(self, cut: str) -> bytes:
+        """The ids of a cut as 32-bit numbers."""
         out: list[int] = []
-        for piece in self.pieces(cut):
+        for piece in self.pieces(cut.replace(" ", MARK)):
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
             else:
                 out += [self.byte_ids[b] for b in piece.encode()]
-        return tuple(out), ",".join(map(str, out))
+        return np.array(out, np.int32).tobytes()
+
+    def remembered(self, cut: str) -> bytes:
+        """``cut_ids`` of a cut that the young generation lacks."""
+        found = self.old.get(cut)
+        if found is None:
+            found = self.cut_ids(cut)
+        if len(cut) <= 64:
+            if 2 * len(self.memo) >= MEMO:
+                self.old, self.memo = self.memo, {}
+            self.memo[cut] = found
+        return found
 
     # -- whole texts -----------------------------------------------------------
     def encode_with_text(self, text: str) -> tuple[list[int], str]:
         """The ids and their decimal form joined by commas."""
         if not text:
             return [], ""
-        memo, ids, shown = self.memo, [], []
-        for cut in self.cuts.findall(MARK + text.replace(" ", MARK)):
-            found = memo.get(cut)
-            if found is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                found = self.cut_ids(cut)
-                if len(cut) <= 64:
-                    memo[cut] = found
-            ids += found[0]
-            shown.append(found[1])
-        return ids, ",".join(shown)
+        packed = [self.memo.get(cut) or self.remembered(cut) for cut in self.cuts.findall(" " + text)]
+        ids = np.frombuffer(b"".join(packed), np.int32).tolist()
+        return ids, ",".join([self.shown[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
         return self.encode_with_text(text)[0]

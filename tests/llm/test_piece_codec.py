@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -91,3 +92,18 @@ def test_nulls_repeats_and_empty_table(spark):
     assert [r.n_tokens for r in out if r.id in (1, 2)] == [0, 0]
     assert {tuple(r.ids) for r in out if r.id == 3} == {tuple(piece_codec.codec(queries.PIECE_MODEL).encode("two words"))}
     assert piece_codec.encode_documents(docs.limit(0), queries.PIECE_MODEL).collect() == []
+
+
+def test_memo_is_small():
+    """A worker's share of its executor: what a full memo of cuts and pieces takes."""
+    fresh = piece_codec.PieceCodec(queries.PIECE_MODEL)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdehilnorst", k=9)) for _ in range(500)) for _ in range(20)]
+    tracemalloc.start()
+    try:
+        for text in texts:
+            fresh.encode_with_text(text)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held / 10_000 * piece_codec.MEMO < 200e6
