@@ -11,7 +11,12 @@ the blocks then tells where records begin:
 2. The maps of a file's blocks (one small row a block) are scanned in order,
    which gives the state every block begins in.
 3. Each block is cut into records from its true state. A record that runs over
-   the end of a block is put together from its pieces, at most two a block.
+   the end of a block is put together from its pieces, at most two a block; for
+   these only the blocks that begin or end inside quotes are cut once more.
+
+Most lines need no pattern: one without a quote, or one that ends in a closing
+quote, tells its states by its last characters. Lines that are whole records
+are passed on as they are, without a step per line.
 
 Quotes are escaped by doubling. A line ends with ``\\n``; a ``\\r`` before it
 belongs to the line end outside quotes and to the field inside; alone it ends
@@ -44,15 +49,39 @@ BROADCAST_BLOCKS = 1 << 20
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """``(file, block, pos, line, from_out, from_in)``: the lines of all files
-    in their order within a block, and whether each ends inside quotes."""
+    """``(file, block, pos, line)``: the lines of all files in their order
+    within a block."""
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
-    ).withColumns({"from_out": F.rlike("line", F.lit(STAYS_OUT)), "from_in": F.rlike("line", F.lit(STAYS_IN))})
+    )
+
+
+def _ends_closed(line: Column) -> Column:
+    """Whether the line ends in a quote after another character than a quote or
+    a comma. No field is open behind it: the quote opens none, as these open at
+    a field's begin, and is not doubled."""
+
+    def closed(end: str) -> Column:
+        opens = F.endswith(line, F.lit(f',"{end}')) | F.endswith(line, F.lit(f'""{end}'))
+        return F.endswith(line, F.lit(f'"{end}')) & ~opens & (line != f'"{end}')
+
+    return closed("") | closed("\r")
+
+
+def _with_maps(lines: DataFrame) -> DataFrame:
+    """With ``from_out`` and ``from_in``: whether each line ends inside quotes."""
+    line = F.col("line")
+    plain, closed = ~F.contains(line, F.lit('"')), _ends_closed(line)
+    return lines.withColumns(
+        {
+            "from_out": F.when(plain | closed, F.lit(False)).otherwise(F.rlike(line, F.lit(STAYS_OUT))),
+            "from_in": F.when(plain, F.lit(True)).when(closed, F.lit(False)).otherwise(F.rlike(line, F.lit(STAYS_IN))),
+        }
+    )
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
@@ -93,8 +122,9 @@ def _block_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_states(lines: DataFrame) -> DataFrame:
-    """``(file, block, inside)``: the blocks that begin inside quotes."""
-    maps = lines.select("file", "block", "from_out", "from_in").mapInArrow(
+    """``(file, block, inside, ends_inside)``: the blocks that begin or end
+    inside quotes."""
+    maps = _with_maps(lines).select("file", "block", "from_out", "from_in").mapInArrow(
         _block_maps, "file string, block long, ends_out boolean, ends_in boolean"
     )
     # No line of a file is in two blocks, but several tasks may share a block's
@@ -106,8 +136,10 @@ def _block_states(lines: DataFrame) -> DataFrame:
     last = F.last(F.when(sets, F.struct("ends_out", "_turns")), ignorenulls=True).over(before)
     turned = F.coalesce(F.last("_turns").over(before), F.lit(0)) - F.coalesce(last["_turns"], F.lit(0))
     inside = F.coalesce(last["ends_out"].cast("int"), F.lit(0)) + turned
-    states = maps.select("file", "block", (F.pmod(inside, F.lit(2)) == 1).alias("inside"))
-    return states.where("inside")
+    states = maps.withColumn("inside", F.pmod(inside, F.lit(2)) == 1)
+    ends_inside = F.when(F.col("inside"), F.col("ends_in")).otherwise(F.col("ends_out"))
+    states = states.select("file", "block", "inside", ends_inside.alias("ends_inside"))
+    return states.where("inside or ends_inside")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +148,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of the block before, ``is_open`` goes on in the next. A piece that is both
     has no text."""
     key, state = None, False
-    held: list = []  # file, block, pos, lines, goes_on, first
+    held: list = []  # of a record of several lines: file, block, pos, lines, goes_on, first
     rows: list[tuple] = []
 
     def close(is_open: bool) -> None:
@@ -135,6 +167,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["file", "block", "pos", "text", "goes_on", "is_open", "first"],
         )
 
+    def whole(run: pa.RecordBatch, alone: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        no = pa.array(np.zeros(len(alone), bool))
+        columns = [*(run.column(c) for c in ("file", "block", "pos", "line")), no, no, pa.array(first)]
+        names = ["file", "block", "pos", "text", "goes_on", "is_open", "first"]
+        found = pa.RecordBatch.from_arrays(columns, names)
+        return found if alone.all() else found.filter(pa.array(alone))
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -144,20 +183,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close(state)
                 key, state = own, bool(run.column("inside")[0].as_py())
             after = _after(state, *(run.column(c).to_numpy(False) for c in ("from_out", "from_in")))
-            before = [state, *after[:-1].tolist()]
-            lines, at = run.column("line").to_pylist(), run.column("pos").to_pylist()
-            for k, inside in enumerate(before):
-                if not inside:
-                    close(False)
-                    held[:] = [*own, at[k], [lines[k]], False, begins and k == 0 and own[1] == 0]
+            before = np.r_[state, after[:-1]]
+            alone = ~before & ~after
+            first = np.zeros(run.num_rows, bool)
+            first[0] = begins and own[1] == 0
+            if alone.any():
+                yield whole(run, alone, first)
+            others = np.flatnonzero(~alone)
+            rest = run.take(pa.array(others))
+            lines, at = rest.column("line").to_pylist(), rest.column("pos").to_pylist()
+            for k, line, pos in zip(others.tolist(), lines, at):
+                if not before[k]:
+                    held[:] = [*own, pos, [line], False, bool(first[k])]
                 elif held:
                     # Of a piece that only goes on, the text is not needed
                     # unless it ends here; it is kept while the block lasts.
-                    held[3].append(lines[k])
+                    held[3].append(line)
                 else:
-                    held[:] = [*own, at[k], [lines[k]], True, False]
+                    held[:] = [*own, pos, [line], True, False]
+                if not after[k]:
+                    close(False)
             state = bool(after[-1])
-        yield table()
+        if rows:
+            yield table()
     close(state)
     if rows:
         yield table()
@@ -185,19 +233,26 @@ def read_records(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     states = materialise(spark, _block_states(lines), "block-states")
     crossed = states.count()
     key = ["file", "block"]
-    if crossed <= BROADCAST_BLOCKS:
-        told = lines.join(F.broadcast(states), key, "left")
-    else:
-        told = lines.join(states, key, "left").repartition(*key).sortWithinPartitions(*key, "pos")
-    told = told.withColumn("inside", F.coalesce("inside", F.lit(False)))
-    told = told.select(*key, "pos", "line", "from_out", "from_in", "inside")
-    cut = told.mapInArrow(
-        _cut, "file string, block long, pos long, text string, goes_on boolean, is_open boolean, first boolean"
-    )
-    whole = cut.where("not goes_on and not is_open")
+
+    def cut(how: str) -> DataFrame:
+        if not crossed:
+            told = lines.withColumn("inside", F.lit(False))
+        elif crossed <= BROADCAST_BLOCKS:
+            told = lines.join(F.broadcast(states), key, how)
+        else:
+            told = lines.join(states, key, how).repartition(*key).sortWithinPartitions(*key, "pos")
+        told = _with_maps(told.withColumn("inside", F.coalesce("inside", F.lit(False))))
+        told = told.select(*key, "pos", "line", "from_out", "from_in", "inside")
+        return told.mapInArrow(
+            _cut, "file string, block long, pos long, text string, goes_on boolean, is_open boolean, first boolean"
+        )
+
+    whole = cut("left").where("not goes_on and not is_open")
     records = whole.select(*key, "pos", "text", "first", F.lit(False).alias("broken"))
-    crossing = cut.where("goes_on or is_open")
-    records = records.unionByName(_put_together(crossing))
+    if crossed:
+        # A crossing piece begins or ends its block, which then begins or ends inside.
+        crossing = cut("inner").where("goes_on or is_open")
+        records = records.unionByName(_put_together(crossing))
     trimmed = F.regexp_replace("text", "\r\\z", "")
     return records.withColumn("text", trimmed).where(F.col("broken") | (F.col("text") != ""))
 

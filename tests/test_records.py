@@ -130,3 +130,25 @@ def test_states_after_lines(maps, state):
     for (from_out, from_in), after in zip(maps, got.tolist()):
         state = from_in if state else from_out
         assert after == state
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(['"', '""', ",", "x", "é", "\r", " "]), max_size=8).map("".join))
+def test_lines_that_need_no_pattern(line):
+    """What their last characters tell is what the patterns tell."""
+    as_python = lambda p: re.compile(p.replace("\\z", "\\Z"))
+    maps = tuple(bool(as_python(p).search(line)) for p in (STAYS_OUT, STAYS_IN))
+    if '"' not in line:
+        assert maps == (False, True)
+    for end in ('"', '"\r'):
+        if line.endswith(end) and line != end and not line.endswith((f",{end}", f'"{end}')):
+            assert maps == (False, False)
+
+
+def test_records_within_blocks_are_cut_once(spark, tmp_path):
+    """Without a record over the end of a block no line is cut twice."""
+    path = str(tmp_path / "plain.csv")
+    _file(path, _rows(3, 50), "\n")
+    found = read_records(spark, path, "ISO-8859-1")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
