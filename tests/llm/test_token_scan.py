@@ -122,3 +122,44 @@ def test_nulls_repeats_and_empty_table(spark):
     assert sorted((r.id or 0, r.n_tokens) for r in out) == [(0, 1), (1, 0), (2, 0), (3, 3), (3, 3)]
     none = token_scan.document_tokens(docs.limit(0), queries.BYTE_RANKS, f"none-{uuid.uuid4().hex}").collect()
     assert none == []
+
+
+def test_files_are_read_in_pieces(spark, tmp_dir):
+    """No row holds a file, wherever its splits, its blocks and its documents end."""
+    rng = np.random.default_rng(7)
+    files = {
+        "part-00000-a": rng.choice([1, 0x50C4, 0xC450, 0x50, 0xC4, END], 3000, p=[0.3, 0.2, 0.1, 0.2, 0.1, 0.1]),
+        "part-00001-a": np.r_[[0xBBEF, 0x50BF, 0xC4, 5, END], rng.choice([7, 0x5000, 0xC4, END], 3000)],
+        "part-00002-a": np.array([0xBBEF, 0x00BF, 9]),  # two ids with the bytes of a mark
+        "part-00003-a": np.full(2000, END),
+        "part-00004-a": np.r_[np.full(5000, 3), END, 4],
+    }
+    for name, ids in files.items():
+        with open(f"{tmp_dir}/{name}", "wb") as f:
+            f.write(ids.astype("<u2").tobytes())
+    old, token_scan.BLOCK = token_scan.BLOCK, 100
+    asked = {"spark.sql.files.maxPartitionBytes": "301", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in asked}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        scanned = token_scan.scan_blocks(spark, tmp_dir)
+        got = token_scan.count_tokens(spark, tmp_dir).collect()
+        splits = scanned.groupBy("file").agg({"at": "max", "n_bytes": "max"}).collect()
+    finally:
+        token_scan.BLOCK = old
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, ids in files.items():
+        own = sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in got if r.file.endswith(name))
+        assert own == brute(ids.tolist()), name
+    assert max(r["max(at)"] for r in splits) > 0
+    most = {r.file[-12:]: r["max(n_bytes)"] for r in splits}
+    assert most.pop("part-00004-a") == 10_002 and max(most.values()) < 700  # one long document
+
+
+def test_an_odd_byte_is_an_error(spark, tmp_dir):
+    with open(f"{tmp_dir}/part-00000-a", "wb") as f:
+        f.write(b"\1\0\2")
+    with pytest.raises(Exception, match="odd number of bytes"):
+        token_scan.count_tokens(spark, tmp_dir).collect()
