@@ -13,9 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def write_csv_quoted(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv_quoted(
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    compression: str = "none",
+    max_lines: int = 0,
+) -> None:
+    """A compressed file is read by one task, so give ``max_lines`` a file with
+    ``compression``; 0 sets no bound."""
     (
         df.write.mode(mode)
+        .option("compression", compression)
+        .option("maxRecordsPerFile", max_lines)
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')

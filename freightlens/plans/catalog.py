@@ -21,6 +21,8 @@ from freightlens.plans.session import checkpoint_dir
 from freightlens.sources.files import FILE_ORDER_KEY, read_raw_order_lines_csv
 from freightlens.sources.tpch import LINE_SORT_KEY
 
+EXPORT_LINES = 1 << 19  # of a compressed file of the raw export, some 120 MB of text
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -56,15 +58,22 @@ def q_shipments(spark, sf):
     return P.shipments(spark, sf)
 
 
+def raw_lines_by_order(spark, sf):
+    """The raw lines with the lines of an order one after the other. Sort-merge
+    joins leave them dealt by the order key; then they are not shuffled again."""
+    lines = P.raw_lines(spark, sf)
+    return lines.repartition("Order Id").sortWithinPartitions("Order Id", LINE_SORT_KEY)
+
+
 @query("raw_csv_roundtrip")
 def q_raw_csv_roundtrip(spark, sf):
     """All raw lines as a quoted CSV export with its columns in another order,
     read back by header name and cleaned."""
-    lines = P.raw_lines(spark, sf)
-    columns = sorted(c for c in lines.columns if c != LINE_SORT_KEY)
-    ordered = lines.repartition("Order Id").sortWithinPartitions("Order Id", LINE_SORT_KEY)
+    ordered = raw_lines_by_order(spark, sf)
+    columns = sorted(c for c in ordered.columns if c != LINE_SORT_KEY)
     path = f"{checkpoint_dir(spark)}/tables/raw-export-{uuid.uuid4().hex}"
-    write_csv_quoted(ordered.select([f"`{c}`" for c in columns]), path)
+    # Plain, the text is about ten times the tables it was joined from.
+    write_csv_quoted(ordered.select([f"`{c}`" for c in columns]), path, compression="lz4", max_lines=EXPORT_LINES)
     raw = read_raw_order_lines_csv(spark, path, encoding="UTF-8")
     ships = clean.clean_shipments(raw, order_by=[FILE_ORDER_KEY], drop=[FILE_ORDER_KEY])
     return ships.select(P.shipments(spark, sf).columns)

@@ -103,16 +103,25 @@ def order_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def to_raw_layout(lines: DataFrame, orders: DataFrame, parts: DataFrame) -> DataFrame:
+def to_raw_layout(
+    lines: DataFrame, orders: DataFrame, parts: DataFrame, parts_first: bool = False
+) -> DataFrame:
     """Join lines with their order (order key) and part (part key) and map
     them to the raw export layout (plus ``line_sort_key``).
 
     The order join comes first: lines that are already partitioned by the
     order key (after the first-line step) then move at most once more, for
-    the part join, and not at all when the part side is broadcast.
+    the part join, and not at all when the part side is broadcast. Lines that
+    are not partitioned yet and whose result is wanted by order take the part
+    join first (``parts_first``): the order join then leaves them dealt by the
+    order key, and the wide rows of the layout do not move.
     """
-    with_order = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    joined = with_order.join(parts, with_order.l_partkey == parts.p_partkey)
+    on_order = F.col("l_orderkey") == F.col("o_orderkey")
+    on_part = F.col("l_partkey") == F.col("p_partkey")
+    if parts_first:
+        joined = lines.join(parts, on_part).join(orders, on_order)
+    else:
+        joined = lines.join(orders, on_order).join(parts, on_part)
     key = F.col("l_orderkey")
     priority_digit = F.substring("o_orderpriority", 1, 1).cast("int")
     real_days = (
@@ -183,7 +192,10 @@ def raw_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw order lines in the export layout (column names with blanks,
     dates as ``M/d/yyyy H:mm`` text), one per line, plus ``line_sort_key``."""
     return to_raw_layout(
-        lineitem_lines(spark, sf_dir), order_side(spark, sf_dir), part_side(spark, sf_dir)
+        lineitem_lines(spark, sf_dir),
+        order_side(spark, sf_dir),
+        part_side(spark, sf_dir),
+        parts_first=True,
     )
 
 

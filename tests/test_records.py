@@ -152,3 +152,33 @@ def test_records_within_blocks_are_cut_once(spark, tmp_path):
     found = read_records(spark, path, "ISO-8859-1")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_the_raw_export_takes_little_disk(spark, monkeypatch):
+    """Wide lines are not shuffled, and the export is compressed, in bounded files."""
+    import glob
+    import os
+
+    from freightlens.plans import catalog
+    from freightlens.plans.session import checkpoint_dir
+    from tests.conftest import SF_SMALL
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = catalog.raw_lines_by_order(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, old)
+    assert "SortMergeJoin" in plan and "REPARTITION_BY" not in plan
+    monkeypatch.setattr(catalog, "EXPORT_LINES", 200)
+    folder = checkpoint_dir(spark).removeprefix("file:") + "/tables/raw-export-*"
+    before = set(glob.glob(folder))
+    got = catalog.QUERIES["raw_csv_roundtrip"](spark, SF_SMALL)
+    want = catalog.QUERIES["shipments"](spark, SF_SMALL)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    (export,) = set(glob.glob(folder)) - before
+    files = glob.glob(f"{export}/part-*")
+    assert len(files) > 20 and all(f.endswith(".csv.lz4") for f in files)
+    plain = spark.read.text(export).selectExpr("sum(length(value) + 1)").first()[0]
+    assert sum(map(os.path.getsize, files)) < plain / 2
