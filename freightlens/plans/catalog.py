@@ -17,7 +17,7 @@ from freightlens.functions.columns import round_half_up
 from freightlens.operators import clean, inventory as inv, margins, outliers, scoring, trends, views
 from freightlens.operators.sinks import write_csv_quoted
 from freightlens.plans import tables as P
-from freightlens.plans.session import checkpoint_dir
+from freightlens.plans.session import checkpoint_dir, shuffles_removed
 from freightlens.sources.files import FILE_ORDER_KEY, read_raw_order_lines_csv
 from freightlens.sources.tpch import LINE_SORT_KEY
 
@@ -73,10 +73,12 @@ def q_raw_csv_roundtrip(spark, sf):
     columns = sorted(c for c in ordered.columns if c != LINE_SORT_KEY)
     path = f"{checkpoint_dir(spark)}/tables/raw-export-{uuid.uuid4().hex}"
     # Plain, the text is about ten times the tables it was joined from.
-    write_csv_quoted(ordered.select([f"`{c}`" for c in columns]), path, compression="lz4", max_lines=EXPORT_LINES)
+    with shuffles_removed(spark):
+        write_csv_quoted(ordered.select([f"`{c}`" for c in columns]), path, compression="lz4", max_lines=EXPORT_LINES)
+        wanted = P.shipments(spark, sf).columns
     raw = read_raw_order_lines_csv(spark, path, encoding="UTF-8")
     ships = clean.clean_shipments(raw, order_by=[FILE_ORDER_KEY], drop=[FILE_ORDER_KEY])
-    return ships.select(P.shipments(spark, sf).columns)
+    return ships.select(wanted)
 
 
 @query("delivery_analysis")

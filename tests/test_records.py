@@ -8,6 +8,7 @@ import io
 import os
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -182,3 +183,24 @@ def test_the_raw_export_takes_little_disk(spark, monkeypatch):
     assert len(files) > 20 and all(f.endswith(".csv.lz4") for f in files)
     plain = spark.read.text(export).selectExpr("sum(length(value) + 1)").first()[0]
     assert sum(map(os.path.getsize, files)) < plain / 2
+
+
+def test_shuffles_are_removed_when_a_step_ends(spark):
+    import glob
+    import tempfile
+
+    from freightlens.plans.session import shuffles_removed
+
+    def written():
+        where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in where for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+
+    key, old = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", written()
+    before = spark.conf.get(key, None)
+    with shuffles_removed(spark):
+        spark.range(1000).repartition(5, "id").write.parquet(tempfile.mkdtemp() + "/out")
+    for _ in range(50):
+        if not written() - old:
+            break
+        time.sleep(0.2)
+    assert not written() - old and spark.conf.get(key, None) == before
